@@ -30,6 +30,7 @@ ids with other texts are separate texts whose component is named by the id; ties
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,8 @@ COMMON, MOST_COMMON = 20, 250_000
 HELD = 1 << 20
 #: Top bit of the order: common tokens come last.
 LAST = np.int64(1 << 62)
+#: Low bits of a digest tell the band of the set's size; sets that link lie at most REACH bands apart.
+BAND_BITS, BAND_BASE, REACH = 7, 1.15, 3
 _SALTS = mix(np.arange(1, MINIMA + 3, dtype=np.uint64))
 
 
@@ -73,8 +76,11 @@ def token_sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def digest(s: np.ndarray) -> int:
-    h = mix(s.astype(np.uint64) + _SALTS[-1])
-    return int(mix((h.sum(dtype=np.uint64, keepdims=True) * np.uint64(3)) ^ np.uint64(len(s)))[0].astype(np.int64))
+    """57 bits of hash over the band of the size."""
+    h = mix(s.astype(np.uint64) + _SALTS[-1]).sum(dtype=np.uint64, keepdims=True)
+    h = mix((h * np.uint64(3)) ^ np.uint64(len(s))).astype(np.int64)
+    band = min(2**BAND_BITS - 1, int(math.log(max(len(s), 1)) / math.log(BAND_BASE)))
+    return int(h[0]) >> BAND_BITS << BAND_BITS | band
 
 
 def minima(s: np.ndarray) -> list[int]:
@@ -195,7 +201,10 @@ def _among(s: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Rows (token, digest) of tokens that two digests hold; what negative buckets hold is passed on, ends as `is_end`."""
+    """Rows (token, digest) of tokens that another digest holds whose size allows a link.
+
+    What negative buckets hold is passed on, ends as `is_end`.
+    """
     if not table.num_rows:
         return pa.table({"token": pa.array([], pa.int64()), "digest": pa.array([], pa.int64()), "is_end": pa.array([], pa.bool_())})
     tokens = np.frombuffer(b"".join(table["tokens"].to_pylist()), "<i8")
@@ -215,8 +224,11 @@ def _shared(table: pa.Table) -> pa.Table:
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (m[1:] != m[:-1])
     t, m = t[new], m[new]
+    band = m & (2**BAND_BITS - 1)
+    order = np.lexsort((band, t))
+    t, m, band = t[order], m[order], band[order]
     same = np.zeros(len(t), bool)
-    same[1:] = t[1:] == t[:-1]
+    same[1:] = (t[1:] == t[:-1]) & (band[1:] - band[:-1] <= REACH)
     same[:-1] |= same[1:]
     return pa.table({"token": t[same], "digest": m[same], "is_end": np.zeros(int(same.sum()), bool)})
 
@@ -272,9 +284,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     info = classes.select("digest", "n").join(groups.withColumnRenamed("vertex", "digest"), "digest", "left").join(ends, "digest")
     info = info.select(
         "digest", "n", F.coalesce("component", "digest").alias("group"), "end", (F.col("n") - part).alias("rest"),
-        F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.15))).cast("int").alias("band"),
+        F.col("digest").bitwiseAND(F.lit(2**BAND_BITS - 1)).alias("band"),
     )
-    cells = settle(matrix.filter(~F.col("is_end")).select("token", "digest").distinct().join(info, "digest"))
+    cells = settle(matrix.filter(~F.col("is_end")).select("token", "digest").join(info, "digest"))
     pairs = settle(_open(cells))
 
     best = F.row_number().over(Window.partitionBy("a", "b_group").orderBy(F.col("s").desc(), "b"))
