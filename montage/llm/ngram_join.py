@@ -3,26 +3,26 @@
 A text's set holds the hashes of its distinct shingles; texts with equal sets are one class, represented by the smallest
 id. Two classes link when 100 * |A n B| >= 75 * |A u B|. The work is on classes, and the result is their components:
 
-1. Profile. One pass gives each text its set's size and digest, a few minimum hashes, and the counts of the tokens in the
-   first part of the set (a set whose tokens are in any fixed order must share one of its first n - ceil(0.75 n) + 1
-   tokens with every text it links to).
-2. Groups. Classes that agree in most minimum hashes with the least class of such a hash are verified against it; the
-   components of those links are the groups of similar texts. All members of a group are in one component already, so
-   nothing needs to be compared inside it again, however many near copies it has.
-3. Matrix. Tokens get one global order: by hash, those that many texts share last. One row per token and group (a group
-   is split by size of set) stands for the union of its members' first tokens.
-4. Bound. Counting a text's first tokens in a group's row set bounds its overlap with every member. Only groups that can
-   still reach the threshold are opened; the same count, per member, bounds each pair once more.
-5. The pairs that are left are verified on their whole sets, the most promising of each text and group first, and the
-   rest only if that did not join them.
-
-Steps 2 to 5 lose no link that joins two components: the order may be any, bounds are exact, and a pair is left out only
-if its ends are joined already. Sets are compared by 64-bit hashes of shingles and digests.
+1. Profile. One pass gives each text its set's size and digest, a few minimum hashes, a parity bitmap, and the counts of
+   the tokens in the first part of the set (a set whose tokens are in any fixed order must share one of its first
+   n - ceil(0.75 n) + 1 tokens with every text it links to).
+2. Groups. A class joins the group of the class that it agrees with in most minimum hashes, if any. Each is verified
+   against that one; linked classes are one component from here on and are not compared again, however many they are.
+3. Matrix. Tokens get one global order: by hash, those that many texts share last. A row per token, group and band of set
+   sizes stands for the union of the first tokens of the group's members.
+4. Bound. Counting a text's first tokens in a group's row set bounds its overlap with every member; only groups that can
+   still reach the threshold, and that hold another component, are opened.
+5. Opened groups are compared in blocks: sizes and the parity bitmaps (their Hamming distance never exceeds the size of
+   the symmetric difference) leave few pairs. These are verified on whole sets: the best of each text and component
+   first, the rest only if that did not join them.
+
+No link that joins two components is lost: the order may be any, the bounds are exact, and a pair is left out only if its
+ends are joined already. Sets are compared by 64-bit hashes of shingles and digests.
 
 The tokens put last are those that count over `COMMON` texts in step 1, at most `MOST_COMMON` of them (the most frequent)
 so that their broadcast is bounded; beyond it the result stays exact and only the matrix grows. Token lists travel as
 packed arrays in buckets whose number follows the input; common tokens, which may be in a third of all texts, travel in
-separate, salted buckets.
+separate, salted buckets. Blocks bound what a task holds of a group of any size.
 
 Defined cases: null text or no words give an empty set, linked with nothing; rows without an id get no component; equal
 ids with other texts are separate texts whose component is named by the id; ties go to the smaller id.
@@ -44,8 +44,12 @@ from .components import components
 from .textbytes import mix, shingles, spans, utf8, words
 
 WIDTH = 5
-#: Minimum hashes of a text, and how many must agree before a pair is verified in step 2.
+#: Minimum hashes of a text, and how many must agree for two texts to be in one group.
 MINIMA, AGREE = 6, 3
+#: Bits of the parity map of a set.
+PARITY = 2048
+#: Members and queries that a task compares at once.
+MEMBERS, ASKING = 1024, 4096
 #: Texts above which a token is put last, and the most tokens so treated.
 COMMON, MOST_COMMON = 20, 250_000
 #: Packed tokens that a task gathers before it hands them on.
@@ -88,27 +92,34 @@ def minima(s: np.ndarray) -> list[int]:
     return [int((mix(u ^ _SALTS[k]).min() >> np.uint64(1)).astype(np.int64)) for k in range(MINIMA)]
 
 
-_PROFILE = "id long, n long, digest long, minima array<long>, bucket int, tokens binary, counts binary"
+def parity(s: np.ndarray) -> bytes:
+    """Bit k tells whether an odd number of the set's tokens falls on k."""
+    place = (mix(s.astype(np.uint64) ^ _SALTS[MINIMA]) & np.uint64(PARITY - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
+_PROFILE = "id long, n long, digest long, minima array<long>, bits binary, bucket int, tokens binary, counts binary"
 
 
 def _profiles(buckets: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("minima", pa.list_(pa.int64())), ("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("minima", pa.list_(pa.int64())), ("bits", pa.binary()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
         rows = []
         for b, (t, c) in _dealt(tokens, counts.astype("<i4"), buckets):
-            rows.append((None, None, None, None, b, t.astype("<i8").tobytes(), c.tobytes()))
+            rows.append((None, None, None, None, None, b, t.astype("<i8").tobytes(), c.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
         for b in batches:
-            n, marks, least = [], [], []
+            n, marks, least, bits = [], [], [], []
             for s in token_sets(b.column(1)):
                 n.append(len(s))
                 marks.append(digest(s))
                 least.append(minima(s) if len(s) else None)
+                bits.append(parity(s))
                 if len(s) and marks[-1] not in seen:
                     seen.add(marks[-1])
                     held.append(s[: first_part(len(s))])
@@ -117,7 +128,7 @@ def _profiles(buckets: int):
                         yield counted(held)
                         held, size, seen = [], 0, set()
             none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(marks, pa.int64()), pa.array(least, pa.list_(pa.int64())), *none], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(marks, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(bits, pa.binary()), *none], schema=schema)
         if held:
             yield counted(held)
 
@@ -151,17 +162,15 @@ def common_tokens(profile: DataFrame) -> np.ndarray:
 
 
 def _matrix_tokens(common: np.ndarray, buckets: int):
-    """(id, text) to packed first parts in the global order; negative buckets hold common tokens and the parts' ends."""
-    schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("digests", pa.binary()), ("ends", pa.binary())])
+    """(text) to packed first parts in the global order; negative buckets hold common tokens, salted by text."""
+    schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("digests", pa.binary())])
 
     def packed(held: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
         tokens = np.concatenate([t for t, _ in held])
         marks = np.repeat(np.array([m for _, m in held], np.int64), [len(t) for t, _ in held])
         late = tokens >= LAST
-        rows = [(b, t.astype("<i8").tobytes(), m.astype("<i8").tobytes(), b"") for b, (t, m) in _dealt(tokens[~late], marks[~late], buckets)]
-        ends, own = np.array([t[-1] for t, _ in held], np.int64), np.array([m for _, m in held], np.int64)
-        for b, k in _homes(marks[late], own, buckets):
-            rows.append((-1 - b, tokens[late][k[0]].tobytes(), marks[late][k[0]].tobytes() + own[k[1]].tobytes(), ends[k[1]].tobytes()))
+        rows = [(b, t.astype("<i8").tobytes(), m.astype("<i8").tobytes()) for b, (t, m) in _dealt(tokens[~late], marks[~late], buckets)]
+        rows += [(-1 - b, t.astype("<i8").tobytes(), m.astype("<i8").tobytes()) for b, (m, t) in _dealt(marks[late], tokens[late], buckets)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,14 +195,6 @@ def _matrix_tokens(common: np.ndarray, buckets: int):
     return run
 
 
-def _homes(marks: np.ndarray, own: np.ndarray, buckets: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
-    a, b = marks % buckets, own % buckets
-    for k in range(buckets):
-        i, j = np.flatnonzero(a == k), np.flatnonzero(b == k)
-        if len(i) or len(j):
-            yield k, (i, j)
-
-
 def _among(s: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     at = np.searchsorted(ordered, s)
     at[at == len(ordered)] = 0
@@ -201,36 +202,23 @@ def _among(s: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Rows (token, digest) of tokens that another digest holds whose size allows a link.
-
-    What negative buckets hold is passed on, ends as `is_end`.
-    """
+    """Rows (token, digest) of tokens that another digest holds whose size allows a link; common tokens are passed on."""
     if not table.num_rows:
-        return pa.table({"token": pa.array([], pa.int64()), "digest": pa.array([], pa.int64()), "is_end": pa.array([], pa.bool_())})
-    tokens = np.frombuffer(b"".join(table["tokens"].to_pylist()), "<i8")
-    if table["bucket"][0].as_py() < 0:
-        marks, ends, own = [], [], []
-        for t, m, e in zip(table["tokens"].to_pylist(), table["digests"].to_pylist(), table["ends"].to_pylist(), strict=True):
-            marks.append(m[: len(t)])
-            own.append(m[len(t) :])
-            ends.append(e)
-        marks, own, ends = (np.frombuffer(b"".join(x), "<i8") for x in (marks, own, ends))
-        both = np.unique(np.stack((tokens, marks), axis=1), axis=0) if len(tokens) else np.zeros((0, 2), np.int64)
-        one = np.unique(own, return_index=True)[1]
-        return pa.table({"token": np.concatenate((both[:, 0], ends[one])), "digest": np.concatenate((both[:, 1], own[one])), "is_end": np.arange(len(both) + len(one)) >= len(both)})
-    marks = np.frombuffer(b"".join(table["digests"].to_pylist()), "<i8")
-    order = np.lexsort((marks, tokens))
-    t, m = tokens[order], marks[order]
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (m[1:] != m[:-1])
-    t, m = t[new], m[new]
+        return pa.table({"token": pa.array([], pa.int64()), "digest": pa.array([], pa.int64())})
+    t = np.frombuffer(b"".join(table["tokens"].to_pylist()), "<i8")
+    m = np.frombuffer(b"".join(table["digests"].to_pylist()), "<i8")
     band = m & (2**BAND_BITS - 1)
-    order = np.lexsort((band, t))
+    order = np.lexsort((m, band, t))
     t, m, band = t[order], m[order], band[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (m[1:] != m[:-1])
+    t, m, band = t[new], m[new], band[new]
+    if table["bucket"][0].as_py() < 0:
+        return pa.table({"token": t, "digest": m})
     same = np.zeros(len(t), bool)
     same[1:] = (t[1:] == t[:-1]) & (band[1:] - band[:-1] <= REACH)
     same[:-1] |= same[1:]
-    return pa.table({"token": t[same], "digest": m[same], "is_end": np.zeros(int(same.sum()), bool)})
+    return pa.table({"token": t[same], "digest": m[same]})
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,67 +258,111 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     source = docs.select(quoted(id_col).cast("long").alias("id"), as_text(text_col).alias("text"))
     buckets = max(16, source.rdd.getNumPartitions())
     profile = settle(source.mapInArrow(_profiles(buckets), _PROFILE))
-    rows = profile.filter(F.col("bucket").isNull()).select("id", "n", "digest", "minima")
-    classes = settle(
-        rows.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("minima").alias("minima"))
-    )
-    groups = settle(components(_near_links(classes, docs, id_col, text_col)))
-    common = common_tokens(profile)
-    packed = source.select("text").mapInArrow(_matrix_tokens(common, buckets), "bucket int, tokens binary, digests binary, ends binary")
-    matrix = settle(packed.groupBy("bucket").applyInArrow(_shared, "token long, digest long, is_end boolean"))
-
-    ends = matrix.filter("is_end").groupBy("digest").agg(F.min("token").alias("end"))
-    part = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1
-    info = classes.select("digest", "n").join(groups.withColumnRenamed("vertex", "digest"), "digest", "left").join(ends, "digest")
-    info = info.select(
-        "digest", "n", F.coalesce("component", "digest").alias("group"), "end", (F.col("n") - part).alias("rest"),
+    rows = profile.filter(F.col("bucket").isNull()).select("id", "n", "digest", "minima", "bits")
+    some = rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
+    classes = settle(some.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "minima", "bits"))))
+    near = settle(_nearest(classes))
+    links = verify(near.select(F.col("lead").alias("a"), F.col("digest").alias("b")), classes, docs, id_col, text_col)
+    joined = settle(components(links))
+
+    packed = source.select("text").mapInArrow(_matrix_tokens(common_tokens(profile), buckets), "bucket int, tokens binary, digests binary")
+    matrix = packed.groupBy("bucket").applyInArrow(_shared, "token long, digest long")
+    info = classes.select("digest", "n", "bits").join(near, "digest", "left").join(joined.withColumnRenamed("vertex", "digest"), "digest", "left")
+    info = settle(info.select(
+        "digest", "n", "bits", F.coalesce("lead", "digest").alias("group"), F.coalesce("component", "digest").alias("component"),
         F.col("digest").bitwiseAND(F.lit(2**BAND_BITS - 1)).alias("band"),
-    )
-    cells = settle(matrix.filter(~F.col("is_end")).select("token", "digest").join(info, "digest"))
-    pairs = settle(_open(cells))
-
-    best = F.row_number().over(Window.partitionBy("a", "b_group").orderBy(F.col("s").desc(), "b"))
-    top = settle(verify(pairs.withColumn("r", best).filter("r = 1"), classes, docs, id_col, text_col))
-    merged = components(_grouped(top, groups))
-    now = _merge(groups, merged)
-    left = _across(pairs, now)
-    rest = verify(left, classes, docs, id_col, text_col)
-    final = _merge(now, components(_grouped(rest, now)))
-
-    named = classes.select("digest", "rep").join(final.withColumnRenamed("vertex", "digest"), "digest", "left")
+    ))
+    pairs = settle(_opened(_bounded(matrix, info), info))
+
+    best = F.row_number().over(Window.partitionBy("a", "to").orderBy("apart", "b"))
+    top = verify(pairs.withColumn("r", best).filter("r = 1"), classes, docs, id_col, text_col)
+    joined = _merge(joined, components(_grouped(top, joined)))
+    rest = verify(_across(pairs, joined), classes, docs, id_col, text_col)
+    joined = _merge(joined, components(_grouped(rest, joined)))
+
+    named = classes.select("digest", "rep").join(joined.withColumnRenamed("vertex", "digest"), "digest", "left")
     named = named.select("digest", "rep", F.coalesce("component", "digest").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = named.join(least, "component").select("digest", "component_id")
     own = F.when(F.col("id").isNotNull(), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")))
-    return rows.join(labels, "digest", "left").select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    out = rows.select("id", "n", "digest").join(labels, "digest", "left")
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _near_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Verified links (a, b) of classes with the least class that has a minimum hash in common."""
+def _nearest(classes: DataFrame) -> DataFrame:
+    """(digest, lead) of classes that agree in minimum hashes with the least class of such a hash."""
     keys = classes.select("digest", "n", "minima", F.posexplode("minima").alias("k", "m"))
     lead = keys.groupBy("k", "m").agg(F.min(F.struct("digest", "n", "minima")).alias("lead"), F.count(F.lit(1)).alias("many"))
     agree = F.aggregate(F.zip_with("minima", F.col("lead.minima"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     size = 4 * F.least("n", F.col("lead.n")) >= 3 * F.greatest("n", F.col("lead.n"))
-    pairs = keys.join(lead.filter("many > 1"), ["k", "m"]).filter((F.col("digest") != F.col("lead.digest")) & size & (agree >= AGREE))
-    return verify(settle(pairs.select(F.col("lead.digest").alias("a"), F.col("digest").alias("b")).distinct()), classes, docs, id_col, text_col)
+    met = keys.join(lead.filter("many > 1"), ["k", "m"]).withColumn("agree", agree)
+    met = met.filter((F.col("digest") != F.col("lead.digest")) & size & (F.col("agree") >= AGREE))
+    best = met.groupBy("digest").agg(F.min(F.struct(-F.col("agree"), F.col("lead.digest").alias("lead"))).alias("best"))
+    return best.select("digest", F.col("best.lead").alias("lead"))
+
+
+def _rest(n: str):
+    """Tokens of a set of n that are not in its first part."""
+    return F.floor((3 * F.col(n) + 3) / 4) - 1
+
+
+def _bounded(matrix: DataFrame, info: DataFrame) -> DataFrame:
+    """(q: digest, group, band) whose bound reaches the threshold."""
+    cells = matrix.join(info.select("digest", "n", "group", "component", "band"), "digest")
+    apart = cells.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token")
+    cells = settle(cells.join(apart, "token"))
+    union = cells.groupBy("token", "group", "band").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("c0"), F.max("component").alias("c1")
+    )
+    q = cells.select("token", F.col("digest").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_c"))
+    other = (F.col("c0") != F.col("q_c")) | (F.col("c1") != F.col("q_c"))
+    met = q.join(union, "token").filter(other & (4 * F.col("most") >= 3 * F.col("q_n")) & (3 * F.col("least") <= 4 * F.col("q_n")))
+    held = met.groupBy("q", "group", "band").agg(
+        F.count(F.lit(1)).alias("s"), F.first("q_n").alias("q_n"), F.min("least").alias("least"), F.max("most").alias("most")
+    )
+    reach = F.col("s") + F.greatest(_rest("q_n"), _rest("most"))
+    return held.filter(7 * reach >= 3 * (F.col("q_n") + F.col("least"))).select("q", "group", "band")
 
 
-def _open(cells: DataFrame) -> DataFrame:
-    """Pairs (a, b, s: first tokens in common, b_group) of other groups that the bounds leave."""
-    q = cells.select("token", *(F.col(c).alias(f"q_{c}") for c in ("digest", "n", "group", "end", "rest")))
-    union = cells.groupBy("token", "group", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
-    met = q.join(union, "token").filter((F.col("q_group") < F.col("group")) & (4 * F.col("most") >= 3 * F.col("q_n")) & (3 * F.col("least") <= 4 * F.col("q_n")))
-    held = met.groupBy("q_digest", "group", "band").agg(
-        F.count(F.lit(1)).alias("s"), F.first("q_n").alias("q_n"), F.first("q_rest").alias("q_rest"), F.min("least").alias("least"), F.max("rest").alias("rest")
+def _opened(bounded: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs (a < b, to: component of b, apart: Hamming distance) of opened groups that sizes and bitmaps leave.
+
+    Members are dealt into blocks of MEMBERS and queries into blocks of ASKING on average, by hashes; each pair of
+    blocks is one piece of work.
+    """
+    cell = ["group", "band"]
+    asked = settle(bounded)
+    many = asked.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("qs")).join(info.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("ms")), cell)
+    own = ["digest", "n", "bits", "component"]
+    hashed = F.xxhash64("digest")
+    members = info.join(many, cell).select(
+        *cell, F.pmod(hashed, "ms").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)).alias("j"), *own
+    )
+    asking = asked.join(many, cell).join(info.select(*own), F.col("q") == F.col("digest")).select(
+        *cell, F.explode(F.sequence(F.lit(0).cast("long"), F.col("ms") - 1)).alias("i"), F.pmod(hashed, "qs").alias("j"), *own
     )
-    opened = held.filter(7 * (F.col("s") + F.greatest("q_rest", "rest")) >= 3 * (F.col("q_n") + F.col("least"))).select("q_digest", "group", "band")
-    asked = q.join(opened, "q_digest")
-    pairs = asked.join(cells, ["token", "group", "band"]).filter((4 * F.col("n") >= 3 * F.col("q_n")) & (3 * F.col("n") <= 4 * F.col("q_n")))
-    counted = pairs.groupBy(F.col("q_digest").alias("a"), F.col("digest").alias("b")).agg(
-        F.count(F.lit(1)).alias("s"), F.first("group").alias("b_group"), F.first("q_n").alias("q_n"), F.first("n").alias("n"),
-        F.first(F.when(F.col("q_end") <= F.col("end"), F.col("q_rest")).otherwise(F.col("rest"))).alias("rest"),
-    )
-    return counted.filter(7 * (F.col("s") + F.col("rest")) >= 3 * (F.col("q_n") + F.col("n"))).select("a", "b", "s", "b_group")
+    keys = [*cell, "i", "j"]
+    pairs = asking.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(_compared, "a long, b long, to long, apart int")
+    return pairs.distinct()
+
+
+def _compared(asking: pa.Table, members: pa.Table) -> pa.Table:
+    def columns(t: pa.Table) -> list[np.ndarray]:
+        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+        return [*(t[c].to_numpy() for c in ("digest", "n", "component")), bits]
+
+    d, n, c, bits = columns(members)
+    out = []
+    for q, m, own, mine in zip(*columns(asking), strict=True):
+        fit = np.flatnonzero((d > q) & (c != own) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)))
+        if len(fit):
+            far = np.bitwise_count(bits[fit] ^ mine).sum(axis=1).astype(np.int64)
+            # overlap <= (n + m - far) / 2, and 7 * overlap >= 3 * (n + m) is asked
+            ok = 7 * (n[fit] + m - far) >= 6 * (n[fit] + m)
+            fit, far = fit[ok], far[ok]
+            out.append((np.full(len(fit), q), d[fit], c[fit], far.astype(np.int32)))
+    kinds = (np.int64, np.int64, np.int64, np.int32)
+    return pa.table({k: np.concatenate([o[i] for o in out] or [np.zeros(0, kinds[i])]) for i, k in enumerate(("a", "b", "to", "apart"))})
 
 
 def _label(pairs: DataFrame, groups: DataFrame) -> DataFrame:
