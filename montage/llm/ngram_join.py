@@ -6,8 +6,8 @@ id. Two classes link when 100 * |A n B| >= 75 * |A u B|. The work is on classes,
 1. Profile. One pass gives each text its set's size and digest, a few minimum hashes, a parity bitmap, and the counts of
    the tokens in the first part of the set (a set whose tokens are in any fixed order must share one of its first
    n - ceil(0.75 n) + 1 tokens with every text it links to).
-2. Groups. A class joins the group of the class that it agrees with in most minimum hashes, if any. Each is verified
-   against that one; linked classes are one component from here on and are not compared again, however many they are.
+2. Groups. A class points to the class that it agrees with in most minimum hashes, if any; what hangs together by these
+   pointers is a group. Each is verified against the one it points to; linked classes are one component from here on and are not compared again, however many they are.
 3. Matrix. Tokens get one global order: by hash, those that many texts share last. A row per token, group and band of set
    sizes stands for the union of the first tokens of the group's members.
 4. Bound. Counting a text's first tokens in a group's row set bounds its overlap with every member; only groups that can
@@ -44,8 +44,8 @@ from .components import components
 from .textbytes import mix, shingles, spans, utf8, words
 
 WIDTH = 5
-#: Minimum hashes of a text, and how many must agree for two texts to be in one group.
-MINIMA, AGREE = 6, 3
+#: Minimum hashes of a text, and how many must agree for one text to point to another.
+MINIMA, AGREE = 6, 2
 #: Bits of the parity map of a set.
 PARITY = 2048
 #: Members and queries that a task compares at once.
@@ -267,7 +267,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     packed = source.select("text").mapInArrow(_matrix_tokens(common_tokens(profile), buckets), "bucket int, tokens binary, digests binary")
     matrix = packed.groupBy("bucket").applyInArrow(_shared, "token long, digest long")
-    info = classes.select("digest", "n", "bits").join(near, "digest", "left").join(joined.withColumnRenamed("vertex", "digest"), "digest", "left")
+    group = components(near.select(F.col("lead").alias("a"), F.col("digest").alias("b"))).select(F.col("vertex").alias("digest"), F.col("component").alias("lead"))
+    info = classes.select("digest", "n", "bits").join(group, "digest", "left").join(joined.withColumnRenamed("vertex", "digest"), "digest", "left")
     info = settle(info.select(
         "digest", "n", "bits", F.coalesce("lead", "digest").alias("group"), F.coalesce("component", "digest").alias("component"),
         F.col("digest").bitwiseAND(F.lit(2**BAND_BITS - 1)).alias("band"),
