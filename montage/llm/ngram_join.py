@@ -6,8 +6,9 @@ id. Two classes link when 100 * |A n B| >= 75 * |A u B|. The work is on classes,
 1. Profile. One pass gives each text its set's size and digest, a few minimum hashes, a parity bitmap, and the counts of
    the tokens in the first part of the set (a set whose tokens are in any fixed order must share one of its first
    n - ceil(0.75 n) + 1 tokens with every text it links to).
-2. Groups. A class points to the class that it agrees with in most minimum hashes, if any; what hangs together by these
-   pointers is a group. Each is verified against the one it points to; linked classes are one component from here on and are not compared again, however many they are.
+2. Groups. Among the classes with a minimum hash in common the first is their lead, in an order that changes from hash to
+   hash; a class points to those leads that it shares another minimum hash with. What hangs together by these pointers is
+   a group. Pointers that are likely links are verified; linked classes are one component from here on and are not compared again, however many they are.
 3. Matrix. Tokens get one global order: by hash, those that many texts share last. A row per token, group and band of set
    sizes stands for the union of the first tokens of the group's members.
 4. Bound. Counting a text's first tokens in a group's row set bounds its overlap with every member; only groups that can
@@ -44,8 +45,10 @@ from .components import components
 from .textbytes import mix, shingles, spans, utf8, words
 
 WIDTH = 5
-#: Minimum hashes of a text, and how many must agree for one text to point to another.
-MINIMA, AGREE = 6, 2
+#: Minimum hashes of a text, how many must agree for one text to point to another, and for the pair to be verified.
+MINIMA, AGREE, LIKELY = 12, 2, 6
+#: Orders of the classes that leads are taken from.
+LEADS = 6
 #: Bits of the parity map of a set.
 PARITY = 2048
 #: Members and queries that a task compares at once.
@@ -262,7 +265,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     some = rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
     classes = settle(some.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "minima", "bits"))))
     near = settle(_nearest(classes))
-    links = verify(near.select(F.col("lead").alias("a"), F.col("digest").alias("b")), classes, docs, id_col, text_col)
+    links = verify(near.filter("likely").select(F.col("lead").alias("a"), F.col("digest").alias("b")), classes, docs, id_col, text_col)
     joined = settle(components(links))
 
     packed = source.select("text").mapInArrow(_matrix_tokens(common_tokens(profile), buckets), "bucket int, tokens binary, digests binary")
@@ -291,15 +294,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _nearest(classes: DataFrame) -> DataFrame:
-    """(digest, lead) of classes that agree in minimum hashes with the least class of such a hash."""
-    keys = classes.select("digest", "n", "minima", F.posexplode("minima").alias("k", "m"))
-    lead = keys.groupBy("k", "m").agg(F.min(F.struct("digest", "n", "minima")).alias("lead"), F.count(F.lit(1)).alias("many"))
-    agree = F.aggregate(F.zip_with("minima", F.col("lead.minima"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    size = 4 * F.least("n", F.col("lead.n")) >= 3 * F.greatest("n", F.col("lead.n"))
-    met = keys.join(lead.filter("many > 1"), ["k", "m"]).withColumn("agree", agree)
-    met = met.filter((F.col("digest") != F.col("lead.digest")) & size & (F.col("agree") >= AGREE))
-    best = met.groupBy("digest").agg(F.min(F.struct(-F.col("agree"), F.col("lead.digest").alias("lead"))).alias("best"))
-    return best.select("digest", F.col("best.lead").alias("lead"))
+    """(digest, lead, likely) of classes that agree in AGREE minimum hashes with the lead of one of them."""
+    keys = classes.select("digest", F.posexplode("minima").alias("k", "m"))
+    first = F.min(F.struct(F.xxhash64("digest", F.col("k") % LEADS).alias("h"), "digest"))["digest"]
+    lead = keys.groupBy("k", "m").agg(first.alias("lead"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("k", "m", "lead")
+    met = keys.join(lead, ["k", "m"]).filter(F.col("digest") != F.col("lead")).select("digest", "lead").distinct()
+    own = classes.select("digest", "n", "minima")
+    both = met.join(own, "digest").join(own.select(F.col("digest").alias("lead"), F.col("n").alias("lead_n"), F.col("minima").alias("lead_minima")), "lead")
+    agree = F.aggregate(F.zip_with("minima", "lead_minima", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    size = 4 * F.least("n", "lead_n") >= 3 * F.greatest("n", "lead_n")
+    return both.withColumn("agree", agree).filter(F.col("agree") >= AGREE).select("digest", "lead", (size & (F.col("agree") >= LIKELY)).alias("likely"))
 
 
 def _rest(n: str):
