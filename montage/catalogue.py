@@ -1,2 +1,337 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries over the test tables by name, and for each the SQL it must agree with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from montage.functions import scalars, vectors
+from montage.operators import clusters, series, shots, speakers
+from montage.sources.tables import frames, motion, read, segments
+
+Query = Callable[[SparkSession, str], DataFrame]
+#: A gap that gives the short test videos several shots.
+GAP = 5
+EPS = 0.7
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+_FRAMES = "f AS (SELECT label AS media_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, embedding AS clip FROM embeddings)"
+_SERIES = "s AS (SELECT user_id AS media_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value AS score FROM events)"
+_SEGMENTS = """g AS (SELECT conv_id AS media_id, turn AS seg_index, a / 10 AS start, a / 10 + n / 10 AS "end", text, role AS speaker FROM (
+  SELECT *, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM conversations))"""
+_DIFFS = f"""{_FRAMES}, p AS (SELECT media_id, frame_idx, clip, lag(clip) OVER (PARTITION BY media_id ORDER BY frame_idx) AS b FROM f),
+e AS (SELECT media_id, frame_idx, CAST(unnest(clip) AS DOUBLE) AS x, CAST(unnest(b) AS DOUBLE) AS y FROM p WHERE b IS NOT NULL),
+d AS (SELECT media_id, frame_idx AS idx, round(1 - coalesce(corr(x, y), 1), 6) AS diff FROM e GROUP BY ALL)"""
+_LIMIT = """t AS (SELECT media_id, round(CASE WHEN avg(diff) + 2.5 * stddev_pop(diff) > quantile_cont(diff, 0.98) THEN quantile_cont(diff, 0.95)
+  ELSE avg(diff) + 2.5 * stddev_pop(diff) END, 6) AS threshold FROM d GROUP BY media_id)"""
+_FLOW = f"""{_SERIES}, d AS (SELECT * FROM (SELECT media_id, idx, round(abs(score - lag(score) OVER (PARTITION BY media_id ORDER BY idx)), 6) AS diff FROM s) WHERE diff IS NOT NULL),
+t AS (SELECT media_id, round(quantile_cont(diff, 0.95), 6) AS threshold FROM d GROUP BY media_id)"""
+
+
+def _bounds(gap: int) -> str:
+    return f"""h AS (SELECT media_id, list_concat([[0]], coalesce(list([idx] ORDER BY idx) FILTER (diff > threshold), [])) AS l FROM d JOIN t USING (media_id) GROUP BY media_id),
+b AS (SELECT media_id, unnest(list_reduce(l, lambda a, x: CASE WHEN x[1] - a[len(a)] > {gap} THEN list_concat(a, x) ELSE a END)) AS boundary FROM h)"""
+
+
+def _shots(base: str, total: str) -> str:
+    return f"""n AS (SELECT media_id, count(*) AS total FROM {total} GROUP BY media_id),
+i AS (SELECT media_id, row_number() OVER w - 1 AS shot_id, boundary AS start_frame, coalesce(lead(boundary) OVER w, total) AS end_frame
+  FROM {base} JOIN n USING (media_id) WINDOW w AS (PARTITION BY media_id ORDER BY boundary)),
+k AS (SELECT *, end_frame - start_frame AS duration_frames FROM i)"""
+
+
+_HIST = f"{_DIFFS}, {_LIMIT}, {_bounds(GAP)}, {_shots('b', 'f')}"
+_PAIRS = f"""{_FRAMES}, q AS (SELECT x.media_id, x.frame_idx AS a, y.frame_idx AS b,
+  round(1 - greatest(-1, least(1, list_cosine_similarity(x.clip::DOUBLE[], y.clip::DOUBLE[]))), 6) AS dist FROM f x JOIN f y ON x.media_id = y.media_id AND x.frame_idx < y.frame_idx)"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with its SQL if it has one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"WITH {_DIFFS} SELECT media_id, idx, diff FROM d")
+def shot_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    return shots.changes(frames(spark, sf))
+
+
+@query(f"WITH {_DIFFS}, {_LIMIT} SELECT * FROM t")
+def shot_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return shots.histogram_threshold(shots.changes(frames(spark, sf)))
+
+
+@query(f"WITH {_DIFFS}, {_LIMIT}, {_bounds(GAP)} SELECT media_id, boundary FROM b")
+def shot_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    diffs = shots.changes(frames(spark, sf))
+    return shots.boundaries(diffs, shots.histogram_threshold(diffs), GAP)
+
+
+@query(f"""WITH {_HIST} SELECT k.media_id, shot_id, start_frame, end_frame, duration_frames,
+  round(coalesce(greatest(0.1, least(1, 1 - avg(diff))), 0.5), 4) AS confidence
+  FROM k LEFT JOIN d ON k.media_id = d.media_id AND d.idx >= start_frame AND d.idx < end_frame GROUP BY ALL""")
+def shots_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return shots.histogram_shots(frames(spark, sf), GAP)
+
+
+@query(f"WITH {_FLOW}, {_bounds(GAP)}, {_shots('b', 's')} SELECT *, 0.7::DOUBLE AS confidence FROM k")
+def shots_flow(spark: SparkSession, sf: str) -> DataFrame:
+    return shots.flow_shots(motion(spark, sf), GAP)
+
+
+def _usable_sql(least: int, most: int) -> str:
+    return f"""WITH {_HIST}, r AS (SELECT *, duration_frames BETWEEN {least} AND {most} AS fit,
+  count(*) FILTER (duration_frames BETWEEN {least} AND {most}) OVER p AS fits, count(*) OVER p AS n, max(end_frame) OVER p AS total,
+  row_number() OVER (PARTITION BY media_id ORDER BY duration_frames DESC, shot_id) AS rank FROM k WINDOW p AS (PARTITION BY media_id)),
+u AS (SELECT *, CASE WHEN fits > 0 THEN shot_id ELSE rank END AS place FROM r WHERE CASE WHEN fits > 0 THEN fit ELSE rank <= greatest(1, n // 2) END)
+SELECT media_id, shot_id, CASE WHEN place = min(place) OVER p THEN 0 ELSE start_frame END AS start_frame,
+  CASE WHEN place = max(place) OVER p THEN total ELSE end_frame END AS end_frame, duration_frames FROM u WINDOW p AS (PARTITION BY media_id)"""
+
+
+@query(_usable_sql(10, 3000))
+def shots_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return shots.usable(shots.histogram_shots(frames(spark, sf), GAP), 10, 3000)
+
+
+@query(_usable_sql(3001, 9000))
+def longest_half_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    return shots.usable(shots.histogram_shots(frames(spark, sf), GAP), 3001, 9000)
+
+
+@query(f"WITH {_HIST} SELECT k.media_id, shot_id, frame_idx FROM k JOIN f ON k.media_id = f.media_id AND frame_idx BETWEEN start_frame AND end_frame")
+def frames_in_shots(spark: SparkSession, sf: str) -> DataFrame:
+    rows = frames(spark, sf)
+    return shots.frames_in_shots(rows, shots.histogram_shots(rows, GAP))
+
+
+@query(f"""WITH {_HIST}, o AS (SELECT k.media_id, shot_id, frame_idx, abs(frame_idx - (start_frame + end_frame) // 2) AS off FROM k JOIN f USING (media_id))
+SELECT media_id, shot_id, frame_idx, off FROM o QUALIFY row_number() OVER (PARTITION BY media_id, shot_id ORDER BY off, frame_idx) = 1""")
+def nearest_frame(spark: SparkSession, sf: str) -> DataFrame:
+    rows = frames(spark, sf)
+    return shots.nearest_frame(rows, shots.histogram_shots(rows, GAP))
+
+
+@query(f"WITH {_HIST} SELECT k.media_id, shot_id FROM k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.media_id = k.media_id AND frame_idx BETWEEN start_frame AND end_frame AND frame_idx % 20 = 0)")
+def shots_without_frames(spark: SparkSession, sf: str) -> DataFrame:
+    rows = frames(spark, sf)
+    found = shots.histogram_shots(rows, GAP)
+    return found.join(shots.frames_in_shots(rows.filter(F.col("frame_idx") % 20 == 0), found), ["media_id", "shot_id"], "left_anti").select("media_id", "shot_id")
+
+
+@query("""SELECT o.o_custkey AS media_id, o.o_orderpriority AS shot_id, o.o_orderkey AS frame_idx, 90 AS duration_frames, o.o_totalprice AS confidence,
+  row_number() OVER (PARTITION BY o.o_custkey, o.o_orderpriority ORDER BY o.o_totalprice DESC, o.o_orderkey)::INTEGER AS rank FROM orders o QUALIFY rank <= 3""")
+def topk_per_shot(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "orders").select(
+        F.col("o_custkey").alias("media_id"), F.col("o_orderpriority").alias("shot_id"), F.col("o_orderkey").alias("frame_idx"),
+        F.lit(90).alias("duration_frames"), F.col("o_totalprice").alias("confidence"),
+    )
+    return shots.best_per_shot(rows, 5)
+
+
+@query(f"WITH {_FLOW} SELECT media_id, idx, diff FROM d")
+def motion_delta(spark: SparkSession, sf: str) -> DataFrame:
+    return shots.deltas(motion(spark, sf))
+
+
+def _smooth_sql() -> str:
+    at = lambda k: f"lag(score, {-k}) OVER w" if k <= 0 else f"lead(score, {k}) OVER w"
+    cases = "WHEN n < 5 THEN score"
+    for k, weights in enumerate(series.EDGE):
+        for place, turn in ((f"idx = {k}", 1), (f"n - 1 - idx = {k}", -1)):
+            cases += f" WHEN {place} THEN (" + " + ".join(f"{c}.0 * ({at(turn * (j - k))})" for j, c in enumerate(weights)) + ") / 35"
+    inner = " + ".join(f"{c}.0 * ({at(j - 2)})" for j, c in enumerate(series.SMOOTH))
+    return f"m AS (SELECT media_id, idx, n, round(CASE {cases} ELSE ({inner}) / 35 END, 6) AS smooth FROM (SELECT *, count(*) OVER (PARTITION BY media_id) AS n FROM s) WINDOW w AS (PARTITION BY media_id ORDER BY idx))"
+
+
+_PEAKS = f"""{_SERIES}, {_smooth_sql()}, z AS (SELECT *, lag(smooth) OVER w AS before, lead(smooth) OVER w AS after,
+  quantile_cont(smooth, 0.7) OVER (PARTITION BY media_id) AS low FROM m WINDOW w AS (PARTITION BY media_id ORDER BY idx)),
+pk AS (SELECT media_id, idx, smooth FROM z WHERE n < 3 OR (smooth > before AND smooth > after AND smooth >= low))"""
+
+
+@query(f"WITH {_SERIES}, {_smooth_sql()} SELECT media_id, idx, smooth FROM m")
+def motion_smooth(spark: SparkSession, sf: str) -> DataFrame:
+    return series.smoothed(motion(spark, sf))
+
+
+@query(f"WITH {_PEAKS} SELECT * FROM pk")
+def motion_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    return series.peaks(motion(spark, sf))
+
+
+@query(f"WITH {_SERIES} SELECT media_id, idx, round(score + stddev_pop(score) OVER (PARTITION BY media_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS rolled FROM s")
+def rolling_motion_score(spark: SparkSession, sf: str) -> DataFrame:
+    return series.rolling(motion(spark, sf))
+
+
+@query(f"""WITH {_SERIES}, c AS (SELECT *, count(*) OVER (PARTITION BY media_id) AS n FROM s)
+SELECT media_id, idx, score FROM c WHERE list_contains(list_transform(range(0, least(n, 3)), lambda i: i * (n - 1) // greatest(least(n, 3) - 1, 1)), idx)""")
+def uniform_pick(spark: SparkSession, sf: str) -> DataFrame:
+    return series.uniform_pick(motion(spark, sf))
+
+
+@query(f"""WITH {_PEAKS}, c AS (SELECT *, count(*) OVER (PARTITION BY media_id) AS n FROM s),
+u AS (SELECT media_id, idx FROM c WHERE idx = 0 OR idx = n - 1 OR (n > 5 AND (idx = n // 3 OR idx = 2 * n // 3)) UNION SELECT media_id, idx FROM pk),
+v AS (SELECT media_id, count(*) AS have FROM u GROUP BY media_id)
+SELECT * FROM u UNION SELECT media_id, idx FROM c JOIN v USING (media_id) WHERE have < 3 AND n > 3 AND idx > 0 AND idx % greatest(n // 5, 1) = 0 AND idx <= 4 * (n // 5)""")
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return series.candidates(motion(spark, sf))
+
+
+@query("""SELECT event_id, date_trunc('day', ts) AS bucket, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY md5(event_id::VARCHAR), event_id)::INTEGER AS rank
+FROM events QUALIFY rank <= 3""")
+def random_per_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "events")
+    return series.sampled(rows, F.date_trunc("day", "ts").cast("timestamp_ntz"), F.col("event_id"), 3).select("event_id", "bucket", "rank")
+
+
+@query(f"WITH {_FRAMES}, n AS (SELECT media_id, count(*) AS total FROM f GROUP BY media_id) SELECT media_id, frame_idx FROM f JOIN n USING (media_id) WHERE frame_idx % greatest(1, total // 10) = 0")
+def frame_stride_sample(spark: SparkSession, sf: str) -> DataFrame:
+    rows = frames(spark, sf)
+    stride = F.greatest(F.lit(1), F.floor(F.col("total") / 10))
+    return rows.join(shots.totals(rows), "media_id").filter(F.col("frame_idx") % stride == 0).select("media_id", "frame_idx")
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM q")
+def pairwise_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.pairs(frames(spark, sf))
+
+
+@query(f"""WITH {_PAIRS}, z AS (SELECT media_id, a, min(dist) AS near FROM (SELECT media_id, a, dist FROM q UNION ALL SELECT media_id, b, dist FROM q) GROUP BY ALL)
+SELECT media_id, round(greatest(0.05, least(0.3, 1.5 * median(near))), 6) AS eps FROM z WHERE near < 2 GROUP BY media_id""")
+def adaptive_eps(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.adaptive_eps(clusters.pairs(frames(spark, sf)))
+
+
+_DENSITY = f"""{_PAIRS}, e AS (SELECT media_id, a, b FROM q WHERE dist <= {EPS} UNION ALL SELECT media_id, b, a FROM q WHERE dist <= {EPS}),
+r AS (SELECT media_id, a AS v, a AS label FROM e UNION SELECT e.media_id, e.b, r.label FROM r JOIN e ON r.media_id = e.media_id AND r.v = e.a),
+c AS (SELECT media_id, v AS frame_idx, dense_rank() OVER (PARTITION BY media_id ORDER BY min(label)) - 1 AS cluster_id FROM r GROUP BY media_id, v),
+cl AS (SELECT f.media_id, f.frame_idx, coalesce(cluster_id, -1) AS cluster_id FROM f LEFT JOIN c ON f.media_id = c.media_id AND f.frame_idx = c.frame_idx)"""
+
+
+def _clustered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = frames(spark, sf)
+    return rows, clusters.density_clusters(rows, clusters.pairs(rows), EPS)
+
+
+@query(f"WITH RECURSIVE {_DENSITY} SELECT * FROM cl")
+def density_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return _clustered(spark, sf)[1]
+
+
+_CENTRES = f"""{_DENSITY}, x AS (SELECT cl.media_id, cluster_id, cl.frame_idx, CAST(unnest(clip) AS DOUBLE) AS x, generate_subscripts(clip, 1) AS i FROM cl JOIN f USING (media_id, frame_idx) WHERE cluster_id >= 0),
+ce AS (SELECT media_id, cluster_id, i, avg(x) AS m FROM x GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_CENTRES} SELECT media_id, cluster_id, count(*) AS dims, round(sum(m), 6) AS total FROM ce GROUP BY ALL")
+def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    found = clusters.centroids(*_clustered(spark, sf))
+    return found.select("media_id", "cluster_id", F.size("centroid").cast("long").alias("dims"), F.round(vectors.total(F.col("centroid")), 6).alias("total"))
+
+
+@query(f"""WITH RECURSIVE {_CENTRES}, di AS (SELECT media_id, cluster_id, frame_idx, sqrt(sum((x - m) * (x - m))) AS d FROM x JOIN ce USING (media_id, cluster_id, i) GROUP BY ALL),
+w AS (SELECT *, max(d) OVER p AS most, count(*) OVER p AS n, row_number() OVER (PARTITION BY media_id, cluster_id ORDER BY round(d, 9), frame_idx) AS rank FROM di WINDOW p AS (PARTITION BY media_id, cluster_id))
+SELECT media_id, cluster_id, frame_idx, round(greatest(0.3, least(1, 1 - d / (CASE WHEN n = 1 THEN 1 ELSE most END + 1e-8))), 4) AS confidence FROM w WHERE rank = 1
+UNION ALL SELECT media_id, cluster_id, frame_idx, 0.6 FROM cl WHERE cluster_id < 0""")
+def cluster_representatives(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.representatives(*_clustered(spark, sf))
+
+
+@query()
+def speaker_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.speaker_clusters(frames(spark, sf))
+
+
+@query(f"""WITH {_SEGMENTS} SELECT media_id, seg_index, round(greatest(0, start - 0.1), 4) AS cut_start, round("end" - start + 0.2, 4) AS cut_duration,
+  printf('segment_%04d', seg_index) AS name FROM g""")
+def segment_cut_interval(spark: SparkSession, sf: str) -> DataFrame:
+    return speakers.cut_intervals(segments(spark, sf))
+
+
+@query(f"WITH {_SEGMENTS} SELECT media_id, seg_index, t AS text FROM (SELECT *, regexp_replace(replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS t FROM g) WHERE t <> ''")
+def segment_text_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return speakers.cleaned(segments(spark, sf))
+
+
+@query(f"""WITH {_SEGMENTS} SELECT media_id, speaker, seg_index, printf('%s_%03d', speaker, row_number() OVER (PARTITION BY media_id, speaker ORDER BY start, seg_index) - 1) AS file,
+  round("end" - start, 4) AS duration FROM g""")
+def speaker_export(spark: SparkSession, sf: str) -> DataFrame:
+    return speakers.exported(segments(spark, sf))
+
+
+@query(f"""WITH {_SEGMENTS}, a AS (SELECT media_id, speaker, count(*) AS segments, round(sum("end" - start), 4) AS seconds, round(avg("end" - start), 4) AS mean_seconds,
+  list(text ORDER BY start, seg_index) AS t FROM g GROUP BY ALL)
+SELECT media_id, speaker, segments, seconds, mean_seconds, array_to_string(t[1:3], ' / ') AS first_texts, greatest(0, segments - 3) AS more,
+  printf('%02d:%05.2f', CAST(floor(seconds / 60) AS INTEGER), seconds % 60) AS clock FROM a""")
+def speaker_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return speakers.summary(segments(spark, sf))
+
+
+@query(f"""WITH {_SEGMENTS} SELECT CASE WHEN grouping(speaker) = 1 THEN '(all)' ELSE speaker END AS speaker, count(*) AS segments, round(sum("end" - start), 3) AS seconds FROM g GROUP BY ROLLUP (speaker)""")
+def speaker_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return speakers.rollup(segments(spark, sf))
+
+
+@query("SELECT source AS method, count(*) AS n, count(DISTINCT lang) AS kinds FROM documents GROUP BY source")
+def method_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").groupBy(F.col("source").alias("method")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("kinds"))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, round(stddev_pop(value), 6) AS deviation FROM events GROUP BY event_type")
+def confidence_stats(spark: SparkSession, sf: str) -> DataFrame:
+    agg = F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.stddev_pop("value"), 6).alias("deviation")
+    return read(spark, sf, "events").groupBy("event_type").agg(*agg)
+
+
+@query("""SELECT label AS media_id, round(avg(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS mean_norm,
+  round(sum(list_sum(embedding::DOUBLE[])) / sum(len(embedding)), 8) AS mean_cell FROM embeddings GROUP BY label""")
+def feature_summary(spark: SparkSession, sf: str) -> DataFrame:
+    clip = vectors.doubles(F.col("embedding"))
+    return read(spark, sf, "embeddings").groupBy(F.col("label").alias("media_id")).agg(
+        F.round(F.avg(vectors.norm(clip)), 6).alias("mean_norm"), F.round(F.sum(vectors.total(clip)) / F.sum(F.size("embedding")), 8).alias("mean_cell")
+    )
+
+
+@query("SELECT event_type, CAST(least(15, floor(value * 16 / 512)) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY ALL")
+def value_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    place = F.least(F.lit(15), F.floor(F.col("value") * 16 / 512)).cast("long").alias("bin")
+    return read(spark, sf, "events").groupBy("event_type", place).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT p_partkey, CASE WHEN d > 3600 THEN least(5, f // 4) WHEN d > 1800 THEN least(8, f // 3) ELSE least(12, f // 2) END AS target_fps,
+  CASE WHEN d > 1800 THEN greatest(3, 8) ELSE 10 END AS keyframes FROM (SELECT p_partkey, p_size + 10 AS f, p_retailprice * 2 AS d FROM part)""")
+def config_optimise(spark: SparkSession, sf: str) -> DataFrame:
+    f, d = F.col("p_size") + 10, F.col("p_retailprice") * 2
+    target = F.when(d > 3600, F.least(F.lit(5), F.floor(f / 4))).when(d > 1800, F.least(F.lit(8), F.floor(f / 3))).otherwise(F.least(F.lit(12), F.floor(f / 2)))
+    return read(spark, sf, "part").select("p_partkey", target.alias("target_fps"), F.when(d > 1800, 8).otherwise(10).alias("keyframes"))
+
+
+@query("SELECT p_partkey, CAST(floor(w * s) AS BIGINT) AS w, CAST(floor(h * s) AS BIGINT) AS h FROM (SELECT *, least(1.0::DOUBLE, 512 / w, 384 / h) AS s FROM (SELECT p_partkey, CAST(p_size * 40 AS DOUBLE) AS w, p_retailprice AS h FROM part))")
+def bounded_resize(spark: SparkSession, sf: str) -> DataFrame:
+    w, h = scalars.bounded((F.col("p_size") * 40).cast("double"), F.col("p_retailprice"), 512, 384)
+    return read(spark, sf, "part").select("p_partkey", w.alias("w"), h.alias("h"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[^\\p{L}\\p{N}._-]', '', 'g') AS name, contains(url, '.') AND lower(list_last(string_split(url, '.'))) IN ('mp4', 'html') AS listed FROM pages")
+def safe_filename(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "pages").select("page_id", scalars.safe_name(F.col("url")).alias("name"), scalars.has_kind(F.col("url"), ("mp4", "html")).alias("listed"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_discount), 6) AS mean, round(count(*) * avg(l_discount), 3) AS efficiency,
+  row_number() OVER (ORDER BY count(*) DESC, l_returnflag, l_linestatus)::INTEGER AS rank FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def efficiency_rank(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = read(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("mean"))
+    # one row per flag and status is left here
+    rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "l_returnflag", "l_linestatus"))
+    return rows.select("l_returnflag", "l_linestatus", "n", F.round("mean", 6).alias("mean"), F.round(F.col("n") * F.col("mean"), 3).alias("efficiency"), rank.alias("rank"))
