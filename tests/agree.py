@@ -15,7 +15,9 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(v: object) -> str | None:
         if v is None or v is pd.NA or (isinstance(v, float) and v != v):
             return None
-        return repr(round(v, 8) + 0.0) if isinstance(v, float) else str(v)
+        if isinstance(v, float) and v == int(v):
+            return str(int(v))
+        return repr(round(v, 8)) if isinstance(v, float) else str(v)
 
     out = [tuple(plain(v) for v in r) for r in df.astype(object).where(df.notna(), None).values.tolist()]
     return sorted(out, key=lambda r: tuple((x is None, x or "") for x in r))
