@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from montage.functions import scalars, vectors
 from montage.operators import clusters, series, shots, speakers
+from montage.plans import keyframes
+from montage.sources import results, sinks
 from montage.sources.tables import frames, motion, read, segments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -335,3 +337,126 @@ def efficiency_rank(spark: SparkSession, sf: str) -> DataFrame:
     # one row per flag and status is left here
     rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "l_returnflag", "l_linestatus"))
     return rows.select("l_returnflag", "l_linestatus", "n", F.round("mean", 6).alias("mean"), F.round(F.col("n") * F.col("mean"), 3).alias("efficiency"), rank.alias("rank"))
+
+
+def _spaced_sql() -> str:
+    def kept(name: str, share: float, least: int, part: int, source: str) -> str:
+        return f"""{name}h AS (SELECT media_id, n, quantile_cont(smooth, {share}) OVER (PARTITION BY media_id) AS low, idx, smooth, before, after FROM z),
+{name}l AS (SELECT media_id, CASE WHEN n < 3 THEN 0 ELSE greatest({least}, n // {part}) END AS apart, list([idx] ORDER BY smooth DESC, idx) AS l FROM {name}h
+  WHERE (n < 3 OR (smooth > before AND smooth > after AND smooth >= low)) {source} GROUP BY ALL),
+{name} AS (SELECT media_id, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda k: abs(k - x[1]) < apart)) = 0 THEN list_concat(a, x) ELSE a END)) AS idx FROM {name}l)"""
+
+    return f"WITH {_PEAKS}, {kept('hi', 0.7, 3, 20, '')}, {kept('lo', 0.5, 2, 30, 'AND media_id NOT IN (SELECT media_id FROM hi)')} SELECT * FROM hi UNION ALL SELECT * FROM lo"
+
+
+@query(_spaced_sql())
+def motion_peaks_spaced(spark: SparkSession, sf: str) -> DataFrame:
+    return series.spaced_peaks(motion(spark, sf))
+
+
+@query(f"""WITH {_SERIES}, c AS (SELECT *, count(*) OVER (PARTITION BY media_id) AS n, lag(score) OVER w AS b, lead(score) OVER w AS a FROM s WINDOW w AS (PARTITION BY media_id ORDER BY idx)),
+i AS (SELECT * FROM c WHERE idx >= 2 AND idx < n - 2)
+SELECT media_id, idx, 'turn' AS kind FROM i WHERE abs((score - b) - (a - score)) > 0.5
+UNION ALL SELECT media_id, idx, 'peak' FROM i WHERE score > b AND score > a AND score > 0.8
+UNION ALL SELECT media_id, idx, 'valley' FROM i WHERE score < b AND score < a AND b > 1.0""")
+def motion_pattern_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return series.pattern_changes(motion(spark, sf))
+
+
+@query(f"""WITH {_FRAMES}, c AS (SELECT media_id, frame_idx, round(list_cosine_similarity(clip::DOUBLE[], (lag(clip) OVER (PARTITION BY media_id ORDER BY frame_idx))::DOUBLE[]), 6) AS similarity FROM f)
+SELECT * FROM c WHERE similarity < 0.85""")
+def semantic_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return shots.semantic_changes(frames(spark, sf))
+
+
+_FIRST = f"""{_HIST}, hs AS (SELECT k.media_id, shot_id, start_frame, end_frame, duration_frames, round(coalesce(greatest(0.1, least(1, 1 - avg(diff))), 0.5), 4) AS confidence
+  FROM k LEFT JOIN d ON k.media_id = d.media_id AND d.idx >= start_frame AND d.idx < end_frame GROUP BY ALL),
+fs AS (WITH {_FLOW}, {_bounds(GAP)}, {_shots('b', 's')} SELECT *, 0.7::DOUBLE AS confidence FROM k)"""
+
+
+@query(f"""WITH {_FIRST} SELECT *, 'histogram' AS method FROM hs UNION ALL SELECT *, 'flow' FROM fs WHERE media_id NOT IN (SELECT media_id FROM hs)
+UNION ALL SELECT c_custkey, 0, 0, c_nationkey, c_nationkey, 0.5, 'whole' FROM customer WHERE c_custkey NOT IN (SELECT media_id FROM hs UNION ALL SELECT media_id FROM fs)
+  AND c_custkey NOT IN (SELECT label FROM embeddings UNION ALL SELECT user_id FROM events)""")
+def shots_first_found(spark: SparkSession, sf: str) -> DataFrame:
+    customers = read(spark, sf, "customer").select(F.col("c_custkey").alias("media_id"), F.col("c_nationkey").cast("long").alias("total"))
+    clips, scores = frames(spark, sf), motion(spark, sf)
+    return shots.first_found(customers, ("histogram", shots.histogram_shots(clips, GAP)), ("flow", shots.flow_shots(scores, GAP)))
+
+
+@query("""SELECT l_linenumber, CAST(floor(l_linenumber * 100 / 7) AS BIGINT) AS percent, CASE WHEN p < 15 THEN 0 WHEN p < 30 THEN 1 WHEN p < 45 THEN 2 WHEN p < 60 THEN 3 WHEN p < 75 THEN 4
+  WHEN p < 90 THEN 5 ELSE 6 END AS step, count(*) AS n FROM (SELECT l_linenumber, floor(l_linenumber * 100 / 7) AS p FROM lineitem) GROUP BY ALL""")
+def progress_steps(spark: SparkSession, sf: str) -> DataFrame:
+    percent, step = scalars.progress(F.col("l_linenumber"), 7)
+    return read(spark, sf, "lineitem").groupBy("l_linenumber", percent.alias("percent"), step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN event_id END AS keyframes, CASE event_type WHEN 'view' THEN event_id END AS shots,
+  CASE WHEN event_type NOT IN ('click', 'view') THEN round(value, 2) END AS confidence FROM events""")
+def log_figures(spark: SparkSession, sf: str) -> DataFrame:
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    line = F.when(kind == "click", F.concat(F.lit("成功提取 "), number, F.lit(" 个关键帧"))).when(kind == "view", F.concat(F.lit("覆盖镜头数: "), number))
+    line = line.otherwise(F.concat(F.lit("平均置信度: "), F.format_string("%.2f", F.round("value", 2))))
+    return read(spark, sf, "events").select("event_id", *(c.alias(name) for name, c in results.log_figures(line).items()))
+
+
+@query("SELECT p_partkey, TRY_CAST(split_part(t, 'x', 1) AS INTEGER) AS w, TRY_CAST(split_part(t, 'x', 2) AS INTEGER) AS h FROM (SELECT p_partkey, p_size || CASE WHEN p_size % 3 = 0 THEN '*' ELSE 'x' END || p_partkey AS t FROM part)")
+def parsed_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 0, "*").otherwise("x"), F.col("p_partkey").cast("string"))
+    w, h = scalars.parsed_size(text)
+    return read(spark, sf, "part").select("p_partkey", w.alias("w"), h.alias("h"))
+
+
+@query("""SELECT p_partkey, rate, rate <= p_size AND p_retailprice * rate <= 10000 AS suits FROM part, (SELECT unnest([2, 5, 8, 10]) AS rate)""")
+def config_suits(spark: SparkSession, sf: str) -> DataFrame:
+    rate = F.col("rate")
+    rows = read(spark, sf, "part").withColumn("rate", F.explode(F.array(*map(F.lit, (2, 5, 8, 10)))))
+    return rows.select("p_partkey", "rate", ((rate <= F.col("p_size")) & (F.col("p_retailprice") * rate <= 10000)).alias("suits"))
+
+
+@query("""SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS succeeded, count(*) FILTER (o_orderstatus <> 'F') AS failed,
+  arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best FROM orders GROUP BY o_orderpriority""")
+def run_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    ok = F.col("o_orderstatus") == "F"
+    best = F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey")))
+    return read(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), best.alias("best"))
+
+
+@query(f"""WITH {_SEGMENTS} SELECT media_id, count(DISTINCT speaker) AS speakers, count(*) AS segments, round(sum("end" - start), 4) AS seconds,
+  round(count(*) / count(DISTINCT speaker), 4) AS mean_segments FROM g GROUP BY media_id""")
+def speaker_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return speakers.totals(segments(spark, sf))
+
+
+@query(f"WITH {_FRAMES} SELECT media_id, least(8, greatest(2, count(*) // 15)) AS k FROM f GROUP BY media_id")
+def auto_cluster_count(spark: SparkSession, sf: str) -> DataFrame:
+    return frames(spark, sf).groupBy("media_id").agg(F.least(F.lit(8), F.greatest(F.lit(2), F.floor(F.count(F.lit(1)) / 15))).alias("k"))
+
+
+@query()
+def threshold_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.threshold_clusters(frames(spark, sf))
+
+
+def _keyframes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = frames(spark, sf)
+    return keyframes.keyframes(rows, motion(spark, sf), shots.histogram_shots(rows, GAP))
+
+
+@query()
+def keyframe_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return keyframes.described(_keyframes(spark, sf))
+
+
+@query()
+def keyframe_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return keyframes.statistics(_keyframes(spark, sf))
+
+
+@query()
+def keyframe_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.keyframe_text(keyframes.described(_keyframes(spark, sf)))
+
+
+@query()
+def speaker_text(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.speaker_text(segments(spark, sf))

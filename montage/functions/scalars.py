@@ -48,3 +48,18 @@ def bounded(w: Column, h: Column, most_w: int, most_h: int) -> tuple[Column, Col
 def padded(start: Column, end: Column, before: float = 0.1, more: float = 0.2) -> tuple[Column, Column]:
     """Start and duration of an interval with a margin; the start stays at 0 or more."""
     return F.greatest(F.lit(0.0), start - before), end - start + more
+
+
+def progress(step: Column, total: int) -> tuple[Column, Column]:
+    """Whole percent and the place (0 to 6) of the stage that it falls in."""
+    percent = F.floor(step * 100 / total)
+    place = F.lit(0)
+    for bound in (15, 30, 45, 60, 75, 90):
+        place = place + (percent >= bound).cast("int")
+    return percent, place
+
+
+def parsed_size(text: Column) -> tuple[Column, Column]:
+    """Width and height of `WxH`; null where a part is no whole number."""
+    parts = F.split(text, "x")
+    return F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")

@@ -44,6 +44,44 @@ def peaks(series: DataFrame, share: float = 0.7) -> DataFrame:
     return rows.filter((F.col("n") < 3) | high).select("media_id", "idx", "smooth")
 
 
+def spaced_peaks(series: DataFrame) -> DataFrame:
+    """Peaks that keep a distance: the highest first, lower ones strictly nearer than max(3, n / 20) are dropped.
+
+    Series without a peak at the 70th percentile try the median with a distance of max(2, n / 30). Of equal peaks the
+    earlier is kept. Series of under three keep all their places. The peaks of one series fit a row.
+    """
+    n = series.groupBy("media_id").agg(F.count(F.lit(1)).alias("n"))
+    high, low = (
+        peaks(series, share).join(n, "media_id").groupBy("media_id", "n").agg(F.collect_list(F.struct((-F.col("smooth")).alias("depth"), "idx")).alias("found"))
+        for share in (0.7, 0.5)
+    )
+
+    def kept(found: DataFrame, least: int, part: int) -> DataFrame:
+        apart = F.when(F.col("n") < 3, 0).otherwise(F.greatest(F.lit(least), F.floor(F.col("n") / part)))
+        places = F.transform(F.array_sort("found"), lambda p: p["idx"].cast("long"))
+        fits = lambda have, x: ~F.exists(have, lambda k: F.abs(k - x) < F.col("apart"))
+        chosen = F.aggregate(places, F.array().cast("array<long>"), lambda have, x: F.when(fits(have, x), F.concat(have, F.array(x))).otherwise(have))
+        return found.withColumn("apart", apart).select("media_id", F.explode(chosen).alias("idx"))
+
+    return kept(high, 3, 20).union(kept(low.join(high, "media_id", "left_anti"), 2, 30))
+
+
+def pattern_changes(series: DataFrame) -> DataFrame:
+    """media_id, idx, kind: turns of the slope by over 0.5, peaks above 0.8 and valleys after over 1.0.
+
+    The first and last two rows of a series never count. A row may be of two kinds and is then given twice.
+    """
+    w = in_order()
+    before, now, after = F.lag("score").over(w), F.col("score"), F.lead("score").over(w)
+    place = F.row_number().over(w) - 1
+    rows = series.withColumns({"b": before, "a": after, "r": place, "n": F.count(F.lit(1)).over(whole())})
+    b, a = F.col("b"), F.col("a")
+    turn = F.when(F.abs((now - b) - (a - now)) > 0.5, F.lit("turn"))
+    tip = F.when((now > b) & (now > a) & (now > 0.8), F.lit("peak")).when((now < b) & (now < a) & (b > 1.0), F.lit("valley"))
+    inner = rows.filter((F.col("r") >= 2) & (F.col("r") < F.col("n") - 2))
+    return inner.select("media_id", "idx", F.explode(F.array_compact(F.array(turn, tip))).alias("kind"))
+
+
 def rolling(series: DataFrame) -> DataFrame:
     """media_id, idx, rolled: the score plus the deviation of the five around it, fewer at the ends."""
     return series.select("media_id", "idx", F.round(F.col("score") + F.stddev_pop("score").over(in_order().rowsBetween(-2, 2)), 6).alias("rolled"))
@@ -57,12 +95,15 @@ def uniform_pick(series: DataFrame, most: int = 3) -> DataFrame:
     return rows.filter(F.array_contains(wanted, F.col("r").cast("long"))).select("media_id", "idx", "score")
 
 
-def candidates(series: DataFrame) -> DataFrame:
-    """Distinct places of both ends, thirds of series of over five, peaks, and fifths where those are under three."""
+def candidates(series: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Distinct places of both ends, thirds of series of over five, peaks, and fifths where those are under three.
+
+    `found` (media_id, idx) may stand in for the plain peaks.
+    """
     rows = series.withColumns({"n": F.count(F.lit(1)).over(whole()), "r": F.row_number().over(in_order()) - 1})
     n, r = F.col("n"), F.col("r")
     ends = (r == 0) | (r == n - 1) | ((n > 5) & ((r == F.floor(n / 3)) | (r == F.floor(2 * n / 3))))
-    some = rows.filter(ends).select("media_id", "idx").union(peaks(series).select("media_id", "idx")).distinct()
+    some = rows.filter(ends).select("media_id", "idx").union((peaks(series) if found is None else found).select("media_id", "idx")).distinct()
     fifth = F.floor(n / 5)
     more = rows.join(some.groupBy("media_id").agg(F.count(F.lit(1)).alias("have")), "media_id").filter(
         (F.col("have") < 3) & (n > 3) & (r > 0) & (r % F.greatest(fifth, F.lit(1)) == 0) & (r <= 4 * fifth)

@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from montage.functions.vectors import clamp, pearson
+from montage.functions.vectors import clamp, cosine, pearson
 
 MIN_GAP = 30
+#: Frames of a bin in which frames and shots meet, so that one long video is many pieces of work.
+BIN = 512
 
 
 def by_media() -> WindowSpec:
@@ -62,11 +64,20 @@ def intervals(bounds: DataFrame, totals: DataFrame) -> DataFrame:
     return rows.withColumn("duration_frames", F.col("end_frame") - F.col("start_frame"))
 
 
+def binned(place: str) -> Column:
+    return F.floor(F.col(place) / BIN)
+
+
+def in_bins(shots: DataFrame) -> DataFrame:
+    """A row per shot and bin that it touches."""
+    return shots.withColumn("bin", F.explode(F.sequence(binned("start_frame"), binned("end_frame"))))
+
+
 def confident(shots: DataFrame, diffs: DataFrame) -> DataFrame:
     """Adds confidence: one minus the mean change inside [start, end), 0.5 without any, between 0.1 and 1."""
-    scores = diffs.select(F.col("media_id").alias("m"), "idx", "diff")
-    inside = (F.col("media_id") == F.col("m")) & (F.col("idx") >= F.col("start_frame")) & (F.col("idx") < F.col("end_frame"))
-    mean = shots.join(scores, inside, "left").groupBy(*shots.columns).agg(F.avg("diff").alias("mean"))
+    scores = diffs.select(F.col("media_id").alias("m"), "idx", "diff", binned("idx").alias("at"))
+    inside = (F.col("media_id") == F.col("m")) & (F.col("bin") == F.col("at")) & (F.col("idx") >= F.col("start_frame")) & (F.col("idx") < F.col("end_frame"))
+    mean = in_bins(shots).join(scores, inside, "left").groupBy(*shots.columns).agg(F.avg("diff").alias("mean"))
     return mean.withColumn("confidence", F.round(F.coalesce(clamp(1 - F.col("mean"), 0.1, 1.0), F.lit(0.5)), 4)).drop("mean")
 
 
@@ -85,6 +96,26 @@ def flow_shots(series: DataFrame, gap: int = MIN_GAP) -> DataFrame:
     return found.withColumn("confidence", F.lit(0.7))
 
 
+def semantic_changes(frames: DataFrame, least: float = 0.85) -> DataFrame:
+    """media_id, frame_idx, similarity of frames whose cosine with the frame before is under `least`."""
+    rows = frames.withColumn("before", F.lag("clip").over(by_media().orderBy("frame_idx"))).filter(F.col("before").isNotNull())
+    near = rows.select("media_id", "frame_idx", F.round(cosine(F.col("before"), F.col("clip")), 6).alias("similarity"))
+    return near.filter(F.col("similarity") < least)
+
+
+def first_found(totals: DataFrame, *found: tuple[str, DataFrame]) -> DataFrame:
+    """The shots of each media by the first method that found any; one shot of the whole at 0.5 where none did.
+
+    `found` names the methods in their order, `totals` (media_id, total) the media.
+    """
+    columns = ["media_id", "shot_id", "start_frame", "end_frame", "duration_frames", "confidence"]
+    whole = totals.select("media_id", F.lit(0).alias("shot_id"), F.lit(0).cast("long").alias("start_frame"), F.col("total").alias("end_frame"), F.col("total").alias("duration_frames"), F.lit(0.5).alias("confidence"))
+    rows = whole.withColumns({"method": F.lit("whole"), "turn": F.lit(len(found))})
+    for turn, (method, shots) in enumerate(found):
+        rows = rows.unionByName(shots.select(*columns).withColumns({"method": F.lit(method), "turn": F.lit(turn)}))
+    return rows.withColumn("first", F.min("turn").over(by_media())).filter(F.col("turn") == F.col("first")).select(*columns, "method")
+
+
 def usable(shots: DataFrame, least: int, most: int) -> DataFrame:
     """Shots of a fitting length; the longest half of a video's shots where none fits.
 
@@ -102,8 +133,8 @@ def usable(shots: DataFrame, least: int, most: int) -> DataFrame:
 
 def frames_in_shots(frames: DataFrame, shots: DataFrame) -> DataFrame:
     """(media_id, shot_id, frame_idx) with both ends included: a frame on a boundary is in two shots."""
-    spans = shots.select(F.col("media_id").alias("m"), "shot_id", "start_frame", "end_frame")
-    inside = (F.col("media_id") == F.col("m")) & F.col("frame_idx").between(F.col("start_frame"), F.col("end_frame"))
+    spans = in_bins(shots.select(F.col("media_id").alias("m"), "shot_id", "start_frame", "end_frame"))
+    inside = (F.col("media_id") == F.col("m")) & (F.col("bin") == binned("frame_idx")) & F.col("frame_idx").between(F.col("start_frame"), F.col("end_frame"))
     return frames.select("media_id", "frame_idx").join(spans, inside).select("media_id", "shot_id", "frame_idx")
 
 

@@ -41,3 +41,11 @@ def rollup(segments: DataFrame) -> DataFrame:
     """Per speaker over all media, and a total row whose speaker is `(all)`."""
     rows = segments.rollup("speaker").agg(F.count(F.lit(1)).alias("segments"), F.round(F.sum(F.col("end") - F.col("start")), 3).alias("seconds"), F.grouping("speaker").alias("g"))
     return rows.select(F.when(F.col("g") == 1, "(all)").otherwise(F.col("speaker")).alias("speaker"), "segments", "seconds")
+
+
+def totals(segments: DataFrame) -> DataFrame:
+    """Per media: speakers, segments, seconds, mean segments of a speaker."""
+    speakers, rows = F.count_distinct("speaker"), F.count(F.lit(1))
+    return segments.groupBy("media_id").agg(
+        speakers.alias("speakers"), rows.alias("segments"), F.round(F.sum(F.col("end") - F.col("start")), 4).alias("seconds"), F.round(rows / speakers, 4).alias("mean_segments")
+    )
