@@ -6,7 +6,8 @@ fills sequences one after the other along the curve, cutting documents where a s
 cut into sequences of powers of two, so nothing is padded.
 
 Texts are tokenised in the tasks that pack them, one sequence held at a time. Ids are those of the byte-level BPE
-vocabulary given by its path, special tokens not added and their strings ordinary text; id 0 closes each document.
+vocabulary given by its path, special tokens not added; id 0 closes each document. The strings of `added` tokens get
+their own ids wherever a text holds them, and the parts between are encoded alone; without `added` they are ordinary text.
 
 Defined cases: null text is empty and packs the closing id alone; equal documents lie side by side; the id of a
 document may be null or repeated; an empty table gives no rows.
@@ -16,7 +17,8 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -86,13 +88,16 @@ class TokenIds(dict):
 
     _beside = re.compile(r" \s|\s ")
 
-    def __init__(self, ranks_path: str):
+    def __init__(self, ranks_path: str, added: Mapping[str, int]):
         import public_tokenizers
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
+        self.encode = partial(encoding.encode, allowed_special="all") if added else encoding.encode_ordinary
+        # an added token with a blank inside must not be cut either
+        self._whole = re.compile("|".join([self._beside.pattern, *(re.escape(a) for a in added if " " in a)]))
         self.forget()
 
     def forget(self) -> None:
@@ -111,7 +116,7 @@ class TokenIds(dict):
             self.forget()
         plan, looked = [], []
         for text in texts:
-            if self._beside.search(text):
+            if self._whole.search(text):
                 plan.append((self.encode(text), 0))
             else:
                 first, *rest = text.split(" ")
@@ -175,17 +180,20 @@ class _Filler:
             left -= size
 
 
-_known: dict[str, TokenIds] = {}
+_known: dict[tuple, TokenIds] = {}
 
 
-def token_ids(ranks_path: str) -> TokenIds:
+def token_ids(ranks_path: str, added: Mapping[str, int]) -> TokenIds:
     """One per worker process: its words stay known from task to task."""
-    if ranks_path not in _known:
-        _known[ranks_path] = TokenIds(ranks_path)
-    return _known[ranks_path]
+    name = (ranks_path, *sorted(added.items()))
+    if name not in _known:
+        _known[name] = TokenIds(ranks_path, added)
+    return _known[name]
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(
+    docs: DataFrame, ranks_path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", added: Mapping[str, int] | None = None
+) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
     start counts the document's ids before the piece, offset the sequence's. sequence_id is unique; it grows along the
@@ -201,7 +209,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, length: int = LENGTH, id_co
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(curve_keys(b.column(1)))], ["id", "text", "key"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, filler = token_ids(ranks_path), _Filler(length, TaskContext.get().partitionId() << 33)
+        known, filler = token_ids(ranks_path, added or {}), _Filler(length, TaskContext.get().partitionId() << 33)
         schema = pa.schema([("id", out_type), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
         def rows() -> pa.RecordBatch:

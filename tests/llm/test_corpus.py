@@ -110,6 +110,23 @@ def test_packing_round_trip(spark, odd):
     assert pieces and zlib.crc32(bytes(pieces[0]["ids"])) is not None
 
 
+def test_packed_ids_are_those_of_the_tokenizer_with_its_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ["a b <|endoftext|> c", end, end + end, f"x{end}y", f"two  {end}  blanks", f" {end}\n {end} it's{end}'s", "<|endoftext |>", "", PROSE, f"é{end}é <|endoftext", f"1{end}2\t{end}\n\n", f"a \n{end} \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in queries.pieces(docs).filter("start = 0").collect()}
+    whole = {r["doc_id"]: bytes(r["ids"]) for r in packing.pack_documents(docs, queries.vocabulary(), 1, added=queries.added_tokens()).groupBy("doc_id").agg(F.expr("aggregate(array_sort(collect_list(struct(start, ids))), cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids")).collect()}
+    for d, t in enumerate(texts):
+        ids = [*known.encode(t, add_special_tokens=False).ids, 0]
+        assert whole[d] == np.array(ids, "<u4").tobytes(), t
+        assert got[d]["doc_tokens"] == len(ids)
+    assert known.encode(texts[0], add_special_tokens=False).ids == [64, 275, 220, 50256, 269]
+
+
 def test_hilbert_curve_visits_neighbours():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     key = packing.hilbert_key(cells, 3)
