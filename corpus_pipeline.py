@@ -10,6 +10,7 @@ from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from montage.llm import line_dedup as lines
@@ -17,6 +18,9 @@ from montage.llm import mixing, ngram_join, quality_classifier
 from montage.llm.common import checkpoint_dir, free, partitions, quoted
 from montage.llm.queries import pieces, read
 
+#: Documents of the mixture that are packed along the curve together: the mixture holds from run to run.
+RUN = 16 * mixing.BLOCK
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. Learns from labelled documents outside the held-out fifth."""
@@ -49,9 +53,32 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.repartitionByRange(partitions(spark), "mix_at").sortWithinPartitions("mix_at").select(*map(quoted, docs.columns))
 
 
+def written_place(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """`docs` plus `name`, each row's number (long, from 0) in the order in which its files were written.
+
+    Part files are named in the order of the partitions that wrote them. One row per file reaches the driver. Rows that
+    were not read from files have no such order: they get the places that `mix` would give them.
+    """
+    file, row, at, before = free(docs, "file", "row", "at", "before")
+    try:
+        placed = docs.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
+    except AnalysisException:
+        mixed = mixing.mix_sources(docs, mixing.tempered_weights(docs))
+        return mixed.select(*map(quoted, docs.columns), F.col("mix_at").alias(name))
+    starts, n = [], 0
+    for path, last in sorted(map(tuple, placed.groupBy(file).agg(F.max(row)).collect())):
+        starts.append((path, n))
+        n += last + 1
+    files = spark.createDataFrame(starts, f"{at} string, {before} long")
+    placed = placed.join(F.broadcast(files), F.col(file) == F.col(at))
+    return placed.select(*map(quoted, docs.columns), (F.col(before) + F.col(row)).alias(name))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
-    return pieces(docs)
+    """Pieces of documents in sequences of 1024 tokens: runs of RUN documents in the mixture's order, each along the curve."""
+    place, run = free(docs, "place", "run")
+    placed = written_place(spark, docs, place)
+    return pieces(placed.withColumn(run, F.floor(F.col(place) / RUN)), run)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -3,7 +3,8 @@
 Each document's hashed word vector is projected to three dimensions and quantised; the Hilbert key of that cell orders
 the documents so that neighbours are alike. Documents are range-partitioned and sorted by (key, id), and every partition
 fills sequences one after the other along the curve, cutting documents where a sequence ends. The rest of a partition is
-cut into sequences of powers of two, so nothing is padded.
+cut into sequences of powers of two, so nothing is padded. With a column of runs, the runs come in their order and the
+curve orders the documents inside each run only.
 
 Texts are tokenised in the tasks that pack them, one sequence held at a time. Ids are those of the byte-level BPE
 vocabulary given by its path, special tokens not added; id 0 closes each document. The strings of `added` tokens get
@@ -192,21 +193,21 @@ def token_ids(ranks_path: str, added: Mapping[str, int]) -> TokenIds:
 
 
 def pack_documents(
-    docs: DataFrame, ranks_path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", added: Mapping[str, int] | None = None
+    docs: DataFrame, ranks_path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", added: Mapping[str, int] | None = None, run_col: str | None = None
 ) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
-    start counts the document's ids before the piece, offset the sequence's. sequence_id is unique; it grows along the
-    curve.
+    start counts the document's ids before the piece, offset the sequence's. sequence_id is unique; it grows with the runs
+    (long, not null) of `run_col`, if given, and along the curve.
     """
     spark = docs.sparkSession
     ship(spark)
     id_type = docs.schema[id_col].dataType
-    keyed = T.StructType([T.StructField("id", id_type), T.StructField("text", T.StringType()), T.StructField("key", T.LongType())])
+    keyed = T.StructType([T.StructField("id", id_type), T.StructField("text", T.StringType()), T.StructField("run", T.LongType()), T.StructField("key", T.LongType())])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(curve_keys(b.column(1)))], ["id", "text", "key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(curve_keys(b.column(1)))], ["id", "text", "run", "key"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, filler = token_ids(ranks_path, added or {}), _Filler(length, TaskContext.get().partitionId() << 33)
@@ -229,8 +230,9 @@ def pack_documents(
             yield rows()
 
     out_type = _arrow_type(id_type)
-    along = docs.select(quoted(id_col).alias("id"), as_text(text_col).alias("text")).mapInArrow(keys, keyed)
-    along = along.repartitionByRange(partitions(spark), "key", "id").sortWithinPartitions("key", "id", F.xxhash64("text")).select("id", "text")
+    run = F.lit(0) if run_col is None else quoted(run_col)
+    along = docs.select(quoted(id_col).alias("id"), as_text(text_col).alias("text"), run.cast("long").alias("run")).mapInArrow(keys, keyed)
+    along = along.repartitionByRange(partitions(spark), "run", "key", "id").sortWithinPartitions("run", "key", "id", F.xxhash64("text")).select("id", "text")
     pieces = T.StructType([
         T.StructField("id", id_type), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()),
         T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),

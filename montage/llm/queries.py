@@ -61,8 +61,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(read(spark, sf_dir, "documents"))
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    packed = packing.pack_documents(docs, vocabulary(), added=added_tokens())
+def pieces(docs: DataFrame, run_col: str | None = None) -> DataFrame:
+    packed = packing.pack_documents(docs, vocabulary(), added=added_tokens(), run_col=run_col)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

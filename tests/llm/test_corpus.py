@@ -246,6 +246,28 @@ def test_empty_tables(spark, odd):
     assert topk_search.topk_search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("written", [True, False])
+def test_packed_sequences_keep_the_mixture(spark, tmp_path, written):
+    """Sources whose texts lie far apart on the curve, which would otherwise stand one after the other."""
+    sizes = {"a": 2000, "b": 900, "c": 300}
+    made = [(f"{s} {i}", f"{s}{s} " * (3 + i % 5), s) for s, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame([(i, t, s) for i, (_, t, s) in enumerate(made)], "doc_id long, text string, source string")
+    mixed = mixing.mix_sources(docs, mixing.tempered_weights(docs)).orderBy("mix_at").collect()
+    if written:
+        corpus_pipeline.mix(spark, docs, "").write.parquet(str(tmp_path / "mix"))
+        docs = spark.read.parquet(str(tmp_path / "mix"))
+    packed = corpus_pipeline.pack(spark, docs, "").filter("start = 0").orderBy("sequence_id", "offset").collect()
+    order = [made[r["doc_id"]][2] for r in packed]
+    assert sorted(r["doc_id"] for r in packed) == list(range(len(made)))
+    share = mixing.tempered_weights(docs)
+    full = [max(i for i, r in enumerate(mixed) if r["source"] == s) for s in sizes]
+    for at in range(corpus_pipeline.RUN, min(full), corpus_pipeline.RUN):  # as long as no source has run out
+        for s, w in share.items():
+            assert abs(order[:at].count(s) - at * w / sum(share.values())) < 2 * mixing.BLOCK
+            if written:
+                assert order[:at].count(s) == sum(r["source"] == s for r in mixed[:at])
+
+
 def test_pipeline(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     kept = corpus_pipeline.near_duplicates(spark, docs, small)
