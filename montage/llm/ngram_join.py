@@ -6,16 +6,17 @@ id. Two classes link when 100 * |A n B| >= 75 * |A u B|. The work is on classes,
 1. Profile. One pass gives each text its set's size and digest, a few minimum hashes, a parity bitmap, and the counts of
    the tokens in the first part of the set (a set whose tokens are in any fixed order must share one of its first
    n - ceil(0.75 n) + 1 tokens with every text it links to).
-2. Groups. Among the classes with a minimum hash in common the first is their lead, in an order that changes from hash to
-   hash; a class points to those leads that it shares another minimum hash with. What hangs together by these pointers is
-   a group. Pointers that are likely links are verified; linked classes are one component from here on and are not compared again, however many they are.
+2. Groups. Classes are ordered by how common their minimum hashes are. Among the classes with a minimum hash in common the
+   first is their lead; a class points to the leads it shares AGREE of them with. Following the pointers some steps gives
+   its group. Pointers that are likely links are verified on whole texts, and following the verified ones gives a root:
+   classes with one root are joined already and are not compared again, however many they are.
 3. Matrix. Tokens get one global order: by hash, those that many texts share last. A row per token, group and band of set
    sizes stands for the union of the first tokens of the group's members.
 4. Bound. Counting a text's first tokens in a group's row set bounds its overlap with every member; only groups that can
-   still reach the threshold, and that hold another component, are opened.
+   still reach the threshold, and that hold a larger root, are opened: of two roots the smaller one's texts ask.
 5. Opened groups are compared in blocks: sizes and the parity bitmaps (their Hamming distance never exceeds the size of
-   the symmetric difference) leave few pairs. These are verified on whole sets: the best of each text and component
-   first, the rest only if that did not join them.
+   the symmetric difference) leave few pairs. These are verified on whole sets: the best of each text and root first, the
+   rest only where that did not join them. Components of the roots follow.
 
 No link that joins two components is lost: the order may be any, the bounds are exact, and a pair is left out only if its
 ends are joined already. Sets are compared by 64-bit hashes of shingles and digests.
@@ -47,8 +48,8 @@ from .textbytes import mix, shingles, spans, utf8, words
 WIDTH = 5
 #: Minimum hashes of a text, how many must agree for one text to point to another, and for the pair to be verified.
 MINIMA, AGREE, LIKELY = 12, 2, 6
-#: Orders of the classes that leads are taken from.
-LEADS = 6
+#: Steps along the pointers to leads.
+STEPS = 3
 #: Bits of the parity map of a set.
 PARITY = 2048
 #: Members and queries that a task compares at once.
@@ -101,17 +102,17 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(place, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
 
 
-_PROFILE = "id long, n long, digest long, minima array<long>, bits binary, bucket int, tokens binary, counts binary"
+_PROFILE = "id long, seal long, n long, digest long, minima array<long>, bits binary, bucket int, tokens binary, counts binary"
 
 
 def _profiles(buckets: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("minima", pa.list_(pa.int64())), ("bits", pa.binary()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("seal", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("minima", pa.list_(pa.int64())), ("bits", pa.binary()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
         rows = []
         for b, (t, c) in _dealt(tokens, counts.astype("<i4"), buckets):
-            rows.append((None, None, None, None, None, b, t.astype("<i8").tobytes(), c.tobytes()))
+            rows.append((None, None, None, None, None, None, b, t.astype("<i8").tobytes(), c.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,7 @@ def _profiles(buckets: int):
                         yield counted(held)
                         held, size, seen = [], 0, set()
             none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(marks, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(bits, pa.binary()), *none], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(marks, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(bits, pa.binary()), *none], schema=schema)
         if held:
             yield counted(held)
 
@@ -226,66 +227,56 @@ def _shared(table: pa.Table) -> pa.Table:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b), sorted by a, to the pairs (a, b) that link."""
-    last_text, last_set, last_mark = None, None, None
+    last_text, last_set = None, None
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         ok = []
         for i, other in enumerate(token_sets(batch.column(3))):
             text = batch.column(2)[i].as_py()
             if text != last_text:
                 last_text, last_set = text, next(token_sets(batch.column(2).slice(i, 1)))
-                last_mark = digest(last_set)
-            # an id may stand for several texts: only those of the pair count
-            ok.append(last_mark == a[i] and digest(other) == b[i] and linked(int(_among(other, last_set).sum()) if len(last_set) else 0, len(last_set), len(other)))
+            ok.append(linked(int(_among(other, last_set).sum()) if len(last_set) else 0, len(last_set), len(other)))
         keep = pa.array(ok, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b: digests) whose whole sets link. Only texts that a pair names are shuffled."""
-    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    named = settle(ends.join(classes.select("digest", "rep"), "digest"))
-    bloom = build(named, "rep")
-    some = bloom.maybe(docs.select(quoted(id_col).cast("long").alias("id"), as_text(text_col).alias("text")), F.col("id"), "maybe").filter("maybe").drop("maybe")
-    texts = some.join(named, some["id"] == named["rep"]).select("digest", "text")
-    b = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-    a = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
-    full = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(_verified, "a long, b long").distinct()
+def verify(pairs: DataFrame, source: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b: digests; at_a, at_b: id and seal of a text of each) whose whole sets link, settled.
+
+    Only texts that a pair may name are shuffled, once each; `most` bounds the texts that are named.
+    """
+    bloom = build(pairs.select(F.explode(F.array("at_a.id", "at_b.id")).alias("id")), "id", most)
+    some = bloom.maybe(source, F.col("id"), "maybe").filter("maybe")
+    texts = some.groupBy("id", "seal").agg(F.first("text").alias("text"))
+    b = texts.select(F.col("id").alias("id_b"), F.col("seal").alias("seal_b"), F.col("text").alias("text_b"))
+    a = texts.select(F.col("id").alias("id_a"), F.col("seal").alias("seal_a"), F.col("text").alias("text_a"))
+    flat = pairs.select("a", "b", *(F.col(f"at_{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("id", "seal")))
+    full = flat.join(b, ["id_b", "seal_b"]).join(a, ["id_a", "seal_a"]).select("a", "b", "text_a", "text_b")
+    return settle(full.mapInArrow(_verified, "a long, b long"))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles (long), component_id (smallest id reachable by links, itself included)."""
-    spark = docs.sparkSession
-    ship(spark)
-    source = docs.select(quoted(id_col).cast("long").alias("id"), as_text(text_col).alias("text"))
+    ship(docs.sparkSession)
+    source = docs.select(quoted(id_col).cast("long").alias("id"), as_text(text_col).alias("text")).withColumn("seal", F.xxhash64("text"))
     buckets = max(16, source.rdd.getNumPartitions())
     profile = settle(source.mapInArrow(_profiles(buckets), _PROFILE))
-    rows = profile.filter(F.col("bucket").isNull()).select("id", "n", "digest", "minima", "bits")
+    rows = profile.filter(F.col("bucket").isNull()).select("id", "seal", "n", "digest", "minima", "bits")
     some = rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = settle(some.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "minima", "bits"))))
-    near = settle(_nearest(classes))
-    links = verify(near.filter("likely").select(F.col("lead").alias("a"), F.col("digest").alias("b")), classes, docs, id_col, text_col)
-    joined = settle(components(links))
+    at = F.min(F.struct("id", "seal")).alias("at")
+    classes = settle(some.groupBy("digest").agg(at, *(F.first(c).alias(c) for c in ("n", "minima", "bits"))))
+    most = classes.count()
 
+    near = settle(_nearest(classes))
+    likely = verify(near.filter(F.col("agree") >= LIKELY).select(F.col("lead").alias("a"), F.col("digest").alias("b"), F.col("lead_at").alias("at_a"), F.col("at").alias("at_b")), source, most)
+    info = settle(_placed(classes, near, likely))
     packed = source.select("text").mapInArrow(_matrix_tokens(common_tokens(profile), buckets), "bucket int, tokens binary, digests binary")
     matrix = packed.groupBy("bucket").applyInArrow(_shared, "token long, digest long")
-    group = components(near.select(F.col("lead").alias("a"), F.col("digest").alias("b"))).select(F.col("vertex").alias("digest"), F.col("component").alias("lead"))
-    info = classes.select("digest", "n", "bits").join(group, "digest", "left").join(joined.withColumnRenamed("vertex", "digest"), "digest", "left")
-    info = settle(info.select(
-        "digest", "n", "bits", F.coalesce("lead", "digest").alias("group"), F.coalesce("component", "digest").alias("component"),
-        F.col("digest").bitwiseAND(F.lit(2**BAND_BITS - 1)).alias("band"),
-    ))
     pairs = settle(_opened(_bounded(matrix, info), info))
 
-    best = F.row_number().over(Window.partitionBy("a", "to").orderBy("apart", "b"))
-    top = verify(pairs.withColumn("r", best).filter("r = 1"), classes, docs, id_col, text_col)
-    joined = _merge(joined, components(_grouped(top, joined)))
-    rest = verify(_across(pairs, joined), classes, docs, id_col, text_col)
-    joined = _merge(joined, components(_grouped(rest, joined)))
-
-    named = classes.select("digest", "rep").join(joined.withColumnRenamed("vertex", "digest"), "digest", "left")
-    named = named.select("digest", "rep", F.coalesce("component", "digest").alias("component"))
+    root = info.select("digest", "root")
+    links = _rooted(likely, root).union(_found(pairs, source, root, most)).filter("u <> v")
+    joined = components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("vertex").alias("root"), "component")
+    named = info.join(joined, "root", "left").select("digest", F.col("at.id").alias("rep"), F.coalesce("component", "root").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = named.join(least, "component").select("digest", "component_id")
     own = F.when(F.col("id").isNotNull(), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")))
@@ -294,16 +285,40 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _nearest(classes: DataFrame) -> DataFrame:
-    """(digest, lead, likely) of classes that agree in AGREE minimum hashes with the lead of one of them."""
-    keys = classes.select("digest", F.posexplode("minima").alias("k", "m"))
-    first = F.min(F.struct(F.xxhash64("digest", F.col("k") % LEADS).alias("h"), "digest"))["digest"]
-    lead = keys.groupBy("k", "m").agg(first.alias("lead"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("k", "m", "lead")
-    met = keys.join(lead, ["k", "m"]).filter(F.col("digest") != F.col("lead")).select("digest", "lead").distinct()
-    own = classes.select("digest", "n", "minima")
-    both = met.join(own, "digest").join(own.select(F.col("digest").alias("lead"), F.col("n").alias("lead_n"), F.col("minima").alias("lead_minima")), "lead")
-    agree = F.aggregate(F.zip_with("minima", "lead_minima", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    size = 4 * F.least("n", "lead_n") >= 3 * F.greatest("n", "lead_n")
-    return both.withColumn("agree", agree).filter(F.col("agree") >= AGREE).select("digest", "lead", (size & (F.col("agree") >= LIKELY)).alias("likely"))
+    """(digest, at, lead, lead_at, rank, agree) of classes that share AGREE minimum hashes with the lead of one of them.
+
+    The order of leads is by falling sum of the logarithms of their minimum hashes' counts, then by digest: a text that
+    others were made from comes before them. rank is the lead's place in it.
+    """
+    keys = classes.select("digest", "at", F.explode("minima").alias("m"))
+    many = keys.groupBy("m").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    fame = F.sum(F.floor(16 * F.log2("many")))
+    shared = keys.join(many, "m").groupBy("digest").agg((-fame).alias("rank"), F.first("at").alias("at"), F.collect_list("m").alias("ms"))
+    shared = shared.select("digest", "at", "rank", F.explode("ms").alias("m"))
+    first = shared.groupBy("m").agg(F.min(F.struct("rank", "digest", "at")).alias("first"))
+    met = shared.drop("rank").join(first, "m").filter(F.col("digest") != F.col("first.digest"))
+    met = met.select("digest", "at", F.col("first.digest").alias("lead"), F.col("first.at").alias("lead_at"), F.col("first.rank").alias("rank"))
+    both = met.groupBy("digest", "lead").agg(F.first("at").alias("at"), F.first("lead_at").alias("lead_at"), F.first("rank").alias("rank"), F.count(F.lit(1)).alias("agree"))
+    return both.filter(F.col("agree") >= AGREE)
+
+
+def _placed(classes: DataFrame, near: DataFrame, likely: DataFrame) -> DataFrame:
+    """(digest, at, n, bits, band, group, root) of every class.
+
+    A root is named by the digest it ends at below the logarithm of its size, so that larger roots have larger names.
+    """
+    known = near.join(likely.distinct(), (F.col("digest") == F.col("b")) & (F.col("lead") == F.col("a")), "left")
+    way = F.struct("rank", "lead")
+    to = settle(known.groupBy("digest").agg(F.min(way)["lead"].alias("group"), F.min(F.when(F.col("a").isNotNull(), way))["lead"].alias("root")))
+    placed = to
+    for _ in range(STEPS - 1):
+        for c in ("group", "root"):
+            onward = to.select(F.col("digest").alias("from"), F.col(c).alias("onward"))
+            placed = placed.join(onward, F.col(c) == F.col("from"), "left").withColumn(c, F.coalesce("onward", c)).drop("from", "onward")
+    placed = settle(classes.select("digest", "at", "n", "bits").join(placed, "digest", "left").withColumns({c: F.coalesce(c, "digest") for c in ("group", "root")}))
+    sizes = placed.groupBy("root").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("long").alias("size"))
+    name = F.call_function("shiftleft", F.col("size"), F.lit(57)).bitwiseOR(F.shiftrightunsigned("root", BAND_BITS))
+    return placed.join(sizes, "root").select("digest", "at", "n", "bits", F.col("digest").bitwiseAND(F.lit(2**BAND_BITS - 1)).alias("band"), "group", name.alias("root"))
 
 
 def _rest(n: str):
@@ -313,15 +328,12 @@ def _rest(n: str):
 
 def _bounded(matrix: DataFrame, info: DataFrame) -> DataFrame:
     """(q: digest, group, band) whose bound reaches the threshold."""
-    cells = matrix.join(info.select("digest", "n", "group", "component", "band"), "digest")
-    apart = cells.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token")
+    cells = matrix.join(info.select("digest", "n", "group", "root", "band"), "digest")
+    apart = cells.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("top")).filter("low < top").select("token", "top")
     cells = settle(cells.join(apart, "token"))
-    union = cells.groupBy("token", "group", "band").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("c0"), F.max("component").alias("c1")
-    )
-    q = cells.select("token", F.col("digest").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_c"))
-    other = (F.col("c0") != F.col("q_c")) | (F.col("c1") != F.col("q_c"))
-    met = q.join(union, "token").filter(other & (4 * F.col("most") >= 3 * F.col("q_n")) & (3 * F.col("least") <= 4 * F.col("q_n")))
+    union = cells.groupBy("token", "group", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("root").alias("largest"))
+    q = cells.filter("root < top").select("token", F.col("digest").alias("q"), F.col("n").alias("q_n"), F.col("root").alias("q_root"))
+    met = q.join(union, "token").filter((F.col("largest") > F.col("q_root")) & (4 * F.col("most") >= 3 * F.col("q_n")) & (3 * F.col("least") <= 4 * F.col("q_n")))
     held = met.groupBy("q", "group", "band").agg(
         F.count(F.lit(1)).alias("s"), F.first("q_n").alias("q_n"), F.min("least").alias("least"), F.max("most").alias("most")
     )
@@ -330,7 +342,8 @@ def _bounded(matrix: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def _opened(bounded: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs (a < b, to: component of b, apart: Hamming distance) of opened groups that sizes and bitmaps leave.
+    """Pairs of opened groups that sizes and bitmaps leave: a and b (digests), at_a, at_b, u and v (their roots, u < v), and
+    turn: the place of b among those of its root that a was met with, by rising Hamming distance.
 
     Members are dealt into blocks of MEMBERS and queries into blocks of ASKING on average, by hashes; each pair of
     blocks is one piece of work.
@@ -338,7 +351,7 @@ def _opened(bounded: DataFrame, info: DataFrame) -> DataFrame:
     cell = ["group", "band"]
     asked = settle(bounded)
     many = asked.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("qs")).join(info.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("ms")), cell)
-    own = ["digest", "n", "bits", "component"]
+    own = ["digest", "at", "n", "bits", "root"]
     hashed = F.xxhash64("digest")
     members = info.join(many, cell).select(
         *cell, F.pmod(hashed, "ms").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)).alias("j"), *own
@@ -346,48 +359,59 @@ def _opened(bounded: DataFrame, info: DataFrame) -> DataFrame:
     asking = asked.join(many, cell).join(info.select(*own), F.col("q") == F.col("digest")).select(
         *cell, F.explode(F.sequence(F.lit(0).cast("long"), F.col("ms") - 1)).alias("i"), F.pmod(hashed, "qs").alias("j"), *own
     )
+    flat = [*cell, "i", "j", F.col("at.id").alias("id"), F.col("at.seal").alias("seal"), "digest", "n", "bits", "root"]
     keys = [*cell, "i", "j"]
-    pairs = asking.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(_compared, "a long, b long, to long, apart int")
-    return pairs.distinct()
+    pairs = asking.select(*flat).groupBy(*keys).cogroup(members.select(*flat).groupBy(*keys)).applyInArrow(_compared, _COMPARED)
+    # several groups may have met a pair
+    pairs = pairs.groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("u", "v", "id_a", "seal_a", "id_b", "seal_b", "apart")))
+    turn = F.row_number().over(Window.partitionBy("a", "v").orderBy("apart", "b"))
+    at = {f"at_{x}": F.struct(F.col(f"id_{x}").alias("id"), F.col(f"seal_{x}").alias("seal")) for x in "ab"}
+    return pairs.withColumns({"turn": turn, **at}).select("a", "b", "at_a", "at_b", "u", "v", "turn")
+
+
+_COMPARED = "a long, b long, u long, v long, id_a long, seal_a long, id_b long, seal_b long, apart int"
 
 
 def _compared(asking: pa.Table, members: pa.Table) -> pa.Table:
     def columns(t: pa.Table) -> list[np.ndarray]:
         bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, PARITY // 64)
-        return [*(t[c].to_numpy() for c in ("digest", "n", "component")), bits]
+        return [*(t[c].to_numpy() for c in ("digest", "n", "root", "id", "seal")), bits]
 
-    d, n, c, bits = columns(members)
+    d, n, root, ids, seals, bits = columns(members)
     out = []
-    for q, m, own, mine in zip(*columns(asking), strict=True):
-        fit = np.flatnonzero((d > q) & (c != own) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)))
+    for q, m, own, q_id, q_seal, mine in zip(*columns(asking), strict=True):
+        fit = np.flatnonzero((root > own) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)))
         if len(fit):
             far = np.bitwise_count(bits[fit] ^ mine).sum(axis=1).astype(np.int64)
             # overlap <= (n + m - far) / 2, and 7 * overlap >= 3 * (n + m) is asked
             ok = 7 * (n[fit] + m - far) >= 6 * (n[fit] + m)
             fit, far = fit[ok], far[ok]
-            out.append((np.full(len(fit), q), d[fit], c[fit], far.astype(np.int32)))
-    kinds = (np.int64, np.int64, np.int64, np.int32)
-    return pa.table({k: np.concatenate([o[i] for o in out] or [np.zeros(0, kinds[i])]) for i, k in enumerate(("a", "b", "to", "apart"))})
-
-
-def _label(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Adds ga and gb, the groups of a and b."""
-    a, b = (groups.select(F.col("vertex").alias(f"v{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    out = pairs.join(a, F.col("a") == F.col("va"), "left").join(b, F.col("b") == F.col("vb"), "left")
-    return out.select(*pairs.columns, F.coalesce("ca", "a").alias("ga"), F.coalesce("cb", "b").alias("gb"))
-
-
-def _grouped(links: DataFrame, groups: DataFrame) -> DataFrame:
-    return _label(links, groups).select(F.col("ga").alias("a"), F.col("gb").alias("b"))
-
-
-def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    return settle(_label(pairs, groups).filter(F.col("ga") != F.col("gb")).select("a", "b"))
-
-
-def _merge(groups: DataFrame, merged: DataFrame) -> DataFrame:
-    """Groups after the groups themselves were joined as `merged` says."""
-    to = merged.select(F.col("vertex").alias("g"), F.col("component").alias("into"))
-    moved = groups.join(to, F.col("component") == F.col("g"), "left").select("vertex", F.coalesce("into", "component").alias("component"))
-    alone = merged.join(groups.select("vertex"), "vertex", "left_anti")
-    return settle(moved.union(alone))
+            same = np.ones(len(fit), np.int64)
+            out.append((q * same, d[fit], own * same, root[fit], q_id * same, q_seal * same, ids[fit], seals[fit], far.astype(np.int32)))
+    kinds = {c.split()[0]: np.int32 if c.endswith(" int") else np.int64 for c in _COMPARED.split(", ")}
+    return pa.table({c: np.concatenate([o[i] for o in out] or [np.zeros(0, kind)]) for i, (c, kind) in enumerate(kinds.items())})
+
+
+def _rooted(links: DataFrame, root: DataFrame) -> DataFrame:
+    """(u, v): the roots of links (a, b)."""
+    for x, r in (("a", "u"), ("b", "v")):
+        links = links.join(root.select(F.col("digest").alias(x), F.col("root").alias(r)), x)
+    return links.select("u", "v")
+
+
+def _found(pairs: DataFrame, source: DataFrame, root: DataFrame, most: int) -> DataFrame:
+    """(u, v) of the links among `pairs`: first the best of each text and root, then what these did not join."""
+    best = _rooted(verify(pairs.filter("turn = 1"), source, 2 * most), root).distinct()
+    if pairs.filter("turn > 1").isEmpty():
+        return best
+    best = settle(best)
+    # a root points to the largest one it was joined with; two steps along the pointers show most of what is joined
+    to = best.groupBy("u").agg(F.max("v").alias("next"))
+    rest = pairs.filter("turn > 1")
+    for c, end in (("u", "end_u"), ("v", "end_v")):
+        for k in range(2):
+            rest = rest.withColumn(end, F.col(c)) if k == 0 else rest
+            step = to.select(F.col("u").alias("from"), "next")
+            rest = rest.join(step, F.col(end) == F.col("from"), "left").withColumn(end, F.coalesce("next", end)).drop("from", "next")
+    rest = settle(rest.filter("end_u <> end_v").select("a", "b", "at_a", "at_b"))
+    return best if rest.isEmpty() else best.union(_rooted(verify(rest, source, 2 * most), root))
