@@ -1,68 +1,99 @@
 """License scans: base phrases by word place, and an exact set-similarity join of text blocks with license templates.
 
-Words are runs of digits, ASCII letters (A-Z in lower case) and all non-ASCII characters. A block is a line of a text; a
-template is found in it if the block holds at least `threshold` of the template's distinct words. The join is exact:
-
-1. template words get a global order by the documents that hold them, rarest first (a count over all documents);
-2. a template of n words that needs m of them must share one of its n - m + 1 rarest (prefix filter): texts without any
-   such word stop there, blocks are exploded only for the rest;
-3. a block must hold m template words (length filter), and at a shared word at place j of its own ordered words at
-   least m must remain in both (positional filter);
-4. pairs that are left are verified by the size of the intersection.
-
-Built-in functions only. The template index is broadcast: its size is that of the list of templates. Matches are
-aggregated per document before they join the narrow row of counts; texts are never shuffled.
-
-Defined cases: null text is empty (no words, no labels, score 0); rows equal in id and text get equal results.
+Words are runs of digits, ASCII letters (A-Z in lower case) and all non-ASCII characters. Each template belongs to the
+smallest length class that holds its words; the blocks of class L are the windows of 2 * L words that start at every
+L-th word of a text, across its lines, so that any passage of up to L + 1 words stands whole in one of them. A template
+is found in a block of its class if the block holds at least `threshold` of the template's distinct words and each of
+its telling phrases, word after word: the words that set it apart from its relatives may not be missing. The join is
+exact:
+
+1. one pass over each text counts its words and keeps the template words that it holds; only texts that hold enough
+   words of some template keep the places of these words (length filter);
+2. template words get a global order by the documents that hold them, rarest first (a count over all documents);
+3. a template of n words that needs m of them must share one of its n - m + 1 rarest with a block (prefix filter);
+4. a block must hold m template words, and at a shared word at place j of its own ordered words at least m must remain
+   in both (length and positional filters);
+5. pairs that are left are verified by the size of the intersection and the telling phrases.
+
+Built-in functions only. The template index is broadcast: its size is that of the list of templates. What the first pass
+finds is written once, without texts; matches are aggregated per document before they join it.
+
+Defined cases: null text is empty (no words, no labels, score 0); rows equal in id and text get equal results; a text of
+any length is cut into blocks of bounded size; other columns do no harm, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, as_text, ascii_lower, quoted
+from .common import LOWER, UPPER, as_text, ascii_lower, quoted, settle
 
-#: A word of a text in its own case, and in lower case.
+#: A word of a text in its own case.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Template texts and their labels.
-TEMPLATES = (
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("licensed under the apache license version 2 0", "apache-2"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
-)
 THRESHOLD = 0.85
+#: Words of the longest template of each length class.
+CLASSES = (8, 16, 32, 64)
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+@dataclass(frozen=True)
+class Template:
+    """`telling` phrases must stand in a block, not counting places where one of `unless` continues them."""
 
+    text: str
+    label: str
+    telling: tuple[str, ...]
+    unless: tuple[str, ...] = ()
 
-def phrase_places(text: Column, phrases: Sequence[tuple[str, str]]) -> Column:
-    """Array of (place, label) for every place where a phrase's words stand consecutively, words counted from 0.
 
-    The phrases' own pattern is tried first; texts without it are not split into words.
-    """
-    split = [(p.split(), label) for p, label in phrases]
-    hint = "(?i)" + "|".join(NOT_WORD.join(w) for w, _ in split)
+# Usual wordings of license notices and grants.
+TEMPLATES = (
+    Template("released under the mit license", "mit", ("mit license",)),
+    Template("licensed under the mit license", "mit", ("mit license",)),
+    Template(
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "mit", ("permission is hereby granted", "free of charge"),
+    ),
+    Template("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", ("with or without fee is hereby granted",)),
+    Template("licensed under the apache license version 2 0", "apache-2", ("apache license version 2 0",)),
+    Template("licensed under the apache license version 1 1", "apache-1.1", ("apache license version 1 1",)),
+    Template(
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "apache-2", ("apache license version 2 0", "except in compliance with the license"),
+    ),
+    Template("licensed under cc by 4 0", "cc-by", ("cc by",), ("nc", "sa", "nd")),
+    Template("licensed under cc by sa 4 0", "cc-by-sa", ("cc by sa",)),
+    Template("licensed under cc by nd 4 0", "cc-by-nd", ("cc by nd",)),
+    Template("licensed under cc by nc 4 0", "cc-by-nc", ("cc by nc",), ("sa", "nd")),
+    Template("licensed under cc by nc sa 4 0", "cc-by-nc-sa", ("cc by nc sa",)),
+    Template("licensed under cc by nc nd 4 0", "cc-by-nc-nd", ("cc by nc nd",)),
+    Template("this work is licensed under the gnu general public license version 2", "gpl-2", ("gnu general public license version 2",)),
+    Template("this work is licensed under the gnu general public license version 3", "gpl-3", ("gnu general public license version 3",)),
+    Template("gnu general public license version 3", "gpl-3", ("gnu general public license version 3",)),
+    Template("gnu lesser general public license version 2 1", "lgpl-2.1", ("gnu lesser general public license version 2 1",)),
+    Template("gnu lesser general public license version 3", "lgpl-3", ("gnu lesser general public license version 3",)),
+    Template("gnu affero general public license version 3", "agpl-3", ("gnu affero general public license version 3",)),
+    Template(
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "gpl", ("gnu general public license as published by the free software foundation",),
+    ),
+    Template(
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "bsd", ("redistribution and use in source and binary forms",),
+    ),
+    Template("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2", ("mozilla public license v 2 0",)),
+)
 
-    def places(v: Column) -> Column:
-        return F.concat(*(_places_of(v, w, label) for w, label in split))
 
-    found = F.get(F.transform(F.array(words(ascii_lower(text))), places), F.lit(0))
-    return F.when(text.rlike(hint), found).otherwise(F.array().cast("array<struct<place:int,label:string>>"))
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def _places_of(v: Column, w: list[str], label: str) -> Column:
@@ -83,62 +114,111 @@ def needed(n: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * n - 1e-9))
 
 
-def word_order(docs: DataFrame, vocabulary: Sequence[str], text_col: str = "text") -> dict[str, int]:
+def class_of(n: int) -> int:
+    """The length class of a template of n words."""
+    length = next((c for c in CLASSES if c >= n), CLASSES[-1])
+    while length < n:
+        length *= 2
+    return length
+
+
+@dataclass(frozen=True)
+class _Form:
+    """A template made ready: its distinct words, how many of them a block needs, its length class."""
+
+    label: str
+    words: tuple[str, ...]
+    m: int
+    length: int
+    telling: tuple[str, ...]
+    unless: str
+
+
+def forms(templates: Sequence[Template], threshold: float) -> list[_Form]:
+    low = str.maketrans(UPPER, LOWER)
+    out = []
+    for t in templates:
+        every = t.text.translate(low).split()
+        if every:
+            unless = "|".join(f" {p} {u} " for p in t.telling for u in t.unless)
+            distinct = tuple(sorted(set(every)))
+            out.append(_Form(t.label, distinct, needed(len(distinct), threshold), class_of(len(every)), tuple(f" {p} " for p in t.telling), unless))
+    return out
+
+
+def _scanned(docs: DataFrame, phrases: Sequence[tuple[str, str]], made: list[_Form], id_col: str, text_col: str) -> DataFrame:
+    """id, key (hash of the text), n_words, places of phrases, held (template words), spots (their places; null if too few)."""
+    text = as_text(text_col)
+    vocabulary = sorted({w for f in made for w in f.words})
+    split = [(p.split(), label) for p, label in phrases]
+    hint = "(?i)" + "|".join(NOT_WORD.join(w) for w, _ in split)
+    known = F.array(*map(F.lit, vocabulary)).cast("array<string>")
+
+    def enough(held: Column) -> Column:
+        out = F.lit(False)
+        for ws, m in {(f.words, f.m) for f in made}:
+            out = out | (F.size(F.array_intersect(held, F.array(*map(F.lit, ws)))) >= m)
+        return out
+
+    def all_of(v: Column) -> Column:
+        places = F.when(text.rlike(hint), F.concat(*(_places_of(v, w, label) for w, label in split)))
+        return F.struct(F.size(v).cast("long").alias("n_words"), places.alias("places"), F.array_intersect(v, known).alias("held"), v.alias("v"))
+
+    def spots(s: Column) -> Column:
+        at = F.filter(F.transform(s["v"], lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains(known, x["w"]))
+        return F.struct(s["n_words"].alias("n_words"), s["places"].alias("places"), s["held"].alias("held"), F.when(enough(s["held"]), at).alias("spots"))
+
+    once = F.get(F.transform(F.transform(F.array(words(ascii_lower(text))), all_of), spots), F.lit(0))
+    return docs.select(quoted(id_col).alias("id"), F.xxhash64(text).alias("key"), once.alias("s")).select("id", "key", "s.*")
+
+
+def word_order(scanned: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
     """Rank of each template word by the number of documents that hold it, rarest first, ties by the word.
 
-    Every document counts. At most one row per template word reaches the driver. (lower() may fold a few letters
-    outside ASCII too; the order changes the work, never the result.)
+    Every document counts. At most one row per template word reaches the driver.
     """
-    held = F.array_intersect(words(F.lower(as_text(text_col))), F.array(*map(F.lit, vocabulary)))
-    seen = {r["w"]: r["n"] for r in docs.select(F.explode(held).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = {r["w"]: r["n"] for r in scanned.select(F.explode("held").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
 
 
-def template_blocks(
-    docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Every (block, template) pair at or above the threshold: id, key (hash of id and text), line, template, label, containment."""
-    sets = [(sorted(set(t.translate(str.maketrans(UPPER, LOWER)).split())), label) for t, label in templates]
-    sets = [s for s in sets if s[0]]
-    vocabulary = sorted({w for s, _ in sets for w in s})
-    rank = word_order(docs, vocabulary, text_col) if vocabulary else {}
+def template_blocks(scanned: DataFrame, made: list[_Form]) -> DataFrame:
+    """Every (block, template) pair that is found: id, key, length (class), block, template, label, containment."""
+    vocabulary = sorted({w for f in made for w in f.words})
+    rank = word_order(scanned, vocabulary)
     index, full = [], []
-    for t, (s, label) in enumerate(sets):
-        order, m = sorted(s, key=rank.__getitem__), needed(len(s), threshold)
-        full.append((t, label, s, m))
-        index += [(w, t, p) for p, w in enumerate(order[: len(s) - m + 1])]
-    spark = docs.sparkSession
-    prefix = F.broadcast(spark.createDataFrame(index, "word string, template int, place int"))
-    known = F.broadcast(spark.createDataFrame(full, "template int, label string, template_words array<string>, m int"))
-
-    text = as_text(text_col)
-    side = r"[0-9A-Za-z\x80-\x{10FFFF}]"
-    hint = rf"(?i)(?<!{side})(?:{'|'.join(sorted({w for w, _, _ in index}))})(?!{side})"
-    ranks = F.create_map(*(F.lit(x) for w, r in rank.items() for x in (w, r))) if rank else F.create_map().cast("map<string,int>")
-    lines = (
-        docs.filter(text.rlike(hint) if index else F.lit(False))
-        .select(quoted(id_col).alias("id"), F.xxhash64(quoted(id_col), text).alias("key"), F.posexplode(F.split(text, "\n")).alias("line", "block"))
-        .filter(F.col("block").rlike(hint) if index else F.lit(False))
-    )
-    held = F.array_intersect(words(ascii_lower(F.col("block"))), F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>"))
-    ordered = F.transform(F.array_sort(F.transform(held, lambda w: F.struct(F.element_at(ranks, w).alias("r"), w.alias("w")))), lambda s: s["w"])
-    blocks = lines.select("id", "key", "line", ordered.alias("block_words"))
-    shared = blocks.select("id", "key", "line", "block_words", F.posexplode("block_words").alias("at", "word")).join(prefix, "word").join(known, "template")
+    for t, f in enumerate(made):
+        full.append((t, f.length, f.label, list(f.words), f.m, list(f.telling), f.unless))
+        index += [(w, f.length, t, p) for p, w in enumerate(sorted(f.words, key=rank.__getitem__)[: len(f.words) - f.m + 1])]
+    spark = scanned.sparkSession
+    prefix = F.broadcast(spark.createDataFrame(index, "word string, length int, template int, place int"))
+    known = F.broadcast(spark.createDataFrame(full, "template int, of int, label string, template_words array<string>, m int, telling array<string>, unless string"))
+    ranks = F.create_map(*(F.lit(x) for w, r in rank.items() for x in (w, r)))
+
+    rows = scanned.filter(F.col("spots").isNotNull()).select("id", "key", "spots").dropDuplicates(["id", "key"])
+    spots = rows.select("id", "key", F.explode("spots").alias("s")).select("id", "key", "s.i", "s.w", F.explode(F.array(*map(F.lit, sorted({f.length for f in made})))).alias("length"))
+    own = F.floor(F.col("i") / F.col("length")).cast("int")
+    spots = spots.withColumn("block", F.explode(F.when(own > 0, F.array(own, own - 1)).otherwise(F.array(own))))
+    blocks = spots.groupBy("id", "key", "length", "block").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("s"))
+    ordered = F.transform(F.array_sort(F.transform(F.array_distinct(F.transform("s", lambda x: x["w"])), lambda w: F.struct(F.element_at(ranks, w).alias("r"), w.alias("w")))), lambda x: x["w"])
+    # the words in their own order; a bar where others stand between
+    line = F.array_join(F.transform("s", lambda x, j: F.concat(F.when((j > 0) & (x["i"] != F.get(F.col("s"), j - 1)["i"] + 1), "| ").otherwise(""), x["w"])), " ")
+    blocks = blocks.select("id", "key", "length", "block", ordered.alias("block_words"), F.concat(F.lit(" "), line, F.lit(" ")).alias("line"))
+    shared = blocks.select("*", F.posexplode("block_words").alias("at", "word")).join(prefix, ["word", "length"]).join(known, "template")
     left = F.least(F.size("block_words") - F.col("at"), F.size("template_words") - F.col("place"))
     pairs = shared.filter((F.size("block_words") >= F.col("m")) & (left >= F.col("m")))
     # a pair is verified once, at its first shared word, where the positional filter holds for every true pair
     first = F.get(F.array_intersect("block_words", "template_words"), F.lit(0)) == F.col("word")
     overlap = F.size(F.array_intersect("block_words", "template_words"))
-    return (
-        pairs.filter(first & (overlap >= F.col("m")))
-        .select("id", "key", "line", "template", "label", (overlap / F.size("template_words")).alias("containment"))
-    )
+    plain = F.when(F.col("unless") == "", F.col("line")).otherwise(F.regexp_replace("line", F.col("unless"), F.lit(" | ")))
+    tells = F.forall("telling", lambda p: F.contains(plain, p))
+    found = pairs.filter(first & (overlap >= F.col("m")) & tells)
+    return found.select("id", "key", "length", "block", "template", "label", (overlap / F.size("template_words")).alias("containment"))
 
 
 def license_scan(
     docs: DataFrame,
     phrases: Sequence[tuple[str, str]] = PHRASES,
-    templates: Sequence[tuple[str, str]] = TEMPLATES,
+    templates: Sequence[Template] = TEMPLATES,
     threshold: float = THRESHOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -149,27 +229,24 @@ def license_scan(
     those of phrases and templates, distinct, sorted, joined by commas. score is 1 with a phrase, else the best
     containment of a template that was found, else 0. n_blocks counts the blocks with a template.
     """
-    text = as_text(text_col)
-    found = template_blocks(docs, templates, threshold, id_col, text_col)
-    per = found.groupBy(F.col("key").alias("found_key")).agg(
-        F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.count_distinct("line").alias("n_blocks")
+    made = forms(templates, threshold)
+    scanned = settle(_scanned(docs, phrases, made, id_col, text_col))
+    per = template_blocks(scanned, made).groupBy(F.col("id").alias("found_id"), F.col("key").alias("found_key")).agg(
+        F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.count_distinct("length", "block").alias("n_blocks")
     )
-    base = docs.select(
-        quoted(id_col).alias(id_col), F.xxhash64(quoted(id_col), text).alias("key"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), phrase_places(text, phrases).alias("places"),
-    )
-    both = base.join(per, F.col("key") == F.col("found_key"), "left")
+    both = scanned.join(per, (F.col("key") == F.col("found_key")) & F.col("id").eqNullSafe(F.col("found_id")), "left")
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    names = F.transform("places", lambda p: p["label"])
-    spots = F.transform("places", lambda p: p["place"].cast("long"))
+    places = F.coalesce("places", F.array().cast("array<struct<place:int,label:string>>"))
+    names = F.transform(places, lambda p: p["label"])
+    spots = F.transform(places, lambda p: p["place"].cast("long"))
     return both.select(
-        quoted(id_col),
+        F.col("id").alias(id_col),
         "n_words",
-        F.size("places").cast("long").alias("n_base"),
+        F.size(places).cast("long").alias("n_base"),
         F.array_min(spots).alias("first_word"),
         F.array_max(spots).alias("last_word"),
         joined(names).alias("base_labels"),
         joined(F.concat(names, F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.when(F.size(places) > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
         F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"),
     )

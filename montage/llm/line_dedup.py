@@ -1,16 +1,23 @@
 """Line dedup over overlapping three-line windows, with built-in functions only.
 
-Lines are compared trimmed, with white space collapsed and A-Z in lower case; blank lines are passed over and always
-kept. Every run of three lines is hashed (two 64-bit hashes, so chance equality stays negligible for 10^12 windows).
-Windows found more than once have a first occurrence, the smallest (doc_id, text hash, line); every later one covers
-its three lines, overlapping covers merge, and covered lines go. Each removed line has an equal line earlier in that
-order, so no content is lost.
-
-Shuffles: windows by hash with map-side combined firsts, the later windows by document, and the texts once. A window
-that a third of the documents share is combined before its shuffle, and its join is one Spark can split.
-
-Defined cases: null text stays null and empty text stays empty; a text of under three lines has no window and is left
-alone; rows equal in doc_id and text count as one occurrence and are treated alike; row order is not kept.
+A line is a unit; one of many words is cut into several: a unit ends at the first sentence end from its LEAST-th word on,
+and after MOST words at the latest. Units are compared trimmed, with white space collapsed and A-Z in lower case; blank
+lines are passed over and always kept. Every run of three units is hashed (two hashes, 96 bits together). Windows found
+more than once have a first occurrence, the smallest (doc_id, text hash, unit); every later one covers its three units,
+overlapping covers merge, and covered units go, a line with its last unit. Each removed unit has an equal one earlier in
+that order, so no content is lost.
+
+Shuffles: first the 64-bit hashes alone, counted with map-side combining, which gives the repeated ones; a blocked Bloom
+filter of these (bloom.py) then lets few other windows through to the exact comparison, and the texts are shuffled once.
+A window that a third of the documents share is combined before its shuffle, and its join is one Spark can split.
+
+A repeated passage is found as far as it holds three whole units: cuts in two texts agree from the first sentence end
+that both have inside the passage, so some words at either end may stay, and a passage without sentence ends that starts
+inside a line at another word count may stay whole.
+
+Defined cases: null text stays null and empty text stays empty; a text of under three units has no window and is left
+alone; rows equal in doc_id and text count as one occurrence and are treated alike; row order is not kept; other columns
+are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,68 +25,87 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, as_text, free, quoted
+from .bloom import build
+from .common import ascii_lower, as_text, free, quoted, settle
 
 WINDOW = 3
+#: Words that a unit holds before a sentence end may close it, and at most.
+LEAST, MOST = 6, 15
+#: White space inside a line.
+_GAP = r"[\x20\x09\x0B-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]"
+#: A unit with the white space about it; a blank line matches as a whole.
+UNIT = rf"{_GAP}*(?:{_WORD}+{_GAP}+){{0,{LEAST - 1}}}(?:{_WORD}*[^\x20\x09-\x0D.!?]{_GAP}+){{0,{MOST - LEAST}}}{_WORD}+{_GAP}*"
+_ANY = rf"{UNIT}|^{_GAP}*$"
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n")
+def _units(text: Column) -> Column:
+    """The text's units as strings, in order; joined with the line ends between them they are the text."""
+    return F.flatten(F.transform(F.split(text, "\n"), lambda line: F.regexp_extract_all(line, F.lit(_ANY), F.lit(0))))
 
 
-def _plain(line: Column) -> Column:
-    return ascii_lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+def _filled(text: Column) -> Column:
+    """Array of (a, b, i): two hashes and the place of each unit that has a word."""
+    plain = ascii_lower(F.regexp_replace(text, f"{_GAP}+", " "))
+    placed = F.transform(_units(plain), lambda u, i: F.struct(F.trim(u).alias("l"), i.alias("i")))
+    return F.transform(F.filter(placed, lambda s: s["l"] != ""), lambda s: F.struct(F.xxhash64(s["l"]).alias("a"), F.hash(s["l"]).alias("b"), s["i"].alias("i")))
 
 
-def _windows(text: Column) -> Column:
-    """Array of (w1, w2, covered): both hashes and the line numbers of each window."""
-    filled = F.filter(
-        F.transform(_lines(text), lambda x, i: F.struct(_plain(x).alias("l"), i.alias("i"))),
-        lambda s: s["l"] != "",
-    )
-    hashed = F.transform(filled, lambda s: F.struct(F.xxhash64(s["l"]).alias("a"), F.xxhash64(s["l"], F.lit(7)).alias("b"), s["i"].alias("i")))
-    # transform over a one-element array binds the lines once for all windows
-    made = F.transform(
-        F.array(hashed),
-        lambda v: F.transform(
-            F.when(F.size(v) >= WINDOW, F.sequence(F.lit(1), F.size(v) - (WINDOW - 1))).otherwise(F.array().cast("array<int>")),
-            lambda k: F.struct(
-                F.xxhash64(*(F.get(v, k - 1 + d)["a"] for d in range(WINDOW))).alias("w1"),
-                F.xxhash64(*(F.get(v, k - 1 + d)["b"] for d in range(WINDOW))).alias("w2"),
-                F.array(*(F.get(v, k - 1 + d)["i"] for d in range(WINDOW))).alias("covered"),
-            ),
-        ),
-    )
-    return F.get(made, F.lit(0))
+def _windows(filled: Column, made) -> Column:
+    """made(filled, k) for each window of three, k being the place of its first unit among the filled ones."""
+    some = lambda v: F.when(F.size(v) >= WINDOW, F.sequence(F.lit(0), F.size(v) - WINDOW))
+    # transform over a one-element array binds the units once for all windows
+    return F.get(F.transform(F.array(filled), lambda v: F.transform(some(v), lambda k: made(v, k))), F.lit(0))
+
+
+def _mark(v: Column, k: Column) -> Column:
+    return F.xxhash64(*(F.get(v, k + d)["a"] for d in range(WINDOW)))
+
+
+def _spot(v: Column, k: Column) -> Column:
+    second = F.hash(*(F.get(v, k + d)["b"] for d in range(WINDOW)))
+    return F.struct(_mark(v, k).alias("w1"), second.alias("w2"), F.array(*(F.get(v, k + d)["i"] for d in range(WINDOW))).alias("covered"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """`docs` with later occurrences of repeated three-line windows removed from the text.
+    """`docs` with later occurrences of repeated three-unit windows removed from the text.
 
-    Same columns and rows; with `counts`, also n_lines and n_removed (long).
+    Same columns and rows; with `counts`, also n_lines, n_units and n_removed (units; all long).
     """
-    key, gone = free(docs, "key", "gone")
+    key, gone, gone_id, row_id = free(docs, "key", "gone", "gone_id", "row_id")
     text = as_text(text_col)
-    row_key = F.xxhash64(quoted(id_col), text)
-    spots = docs.select(quoted(id_col).alias("id"), row_key.alias("key"), F.explode(_windows(text)).alias("w")).select(
-        "id", "key", F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"), F.col("w.covered").alias("covered")
-    )
-    at = F.struct("id", "key", F.col("covered")[0].alias("line"))
+    row_key = F.xxhash64(text)
+    marks = docs.select(F.explode(_windows(_filled(text), _mark)).alias("w1")).groupBy("w1").agg(F.count(F.lit(1)).alias("n"))
+    often = settle(marks.filter("n > 1").select("w1"))
+    spots = docs.select(quoted(id_col).alias("id"), row_key.alias("key"), F.explode(_windows(_filled(text), _spot)).alias("w"))
+    spots = build(often, "w1", often.count()).maybe(spots.select("id", "key", "w.w1", "w.w2", "w.covered"), F.col("w1"), "maybe").filter("maybe").drop("maybe")
+    at = F.struct("id", "key", F.col("covered")[0].alias("unit"))
+    spots = settle(spots)
     repeated = spots.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(F.col("first") != F.col("last"))
     later = (
         spots.join(repeated.select("w1", "w2", "first"), ["w1", "w2"])
         .filter(at != F.col("first"))
-        .select("key", F.explode("covered").alias("line"))
+        .select("id", "key", F.explode("covered").alias("unit"))
     )
-    covered = later.groupBy(F.col("key").alias(gone)).agg(F.collect_set("line").alias(f"{gone}l"))
+    covered = later.groupBy(F.col("id").alias(gone_id), F.col("key").alias(gone)).agg(F.collect_set("unit").alias(f"{gone}l"))
 
-    # hash-based difference of line numbers, then one look-up each: linear in the number of lines
-    left = F.array_except(F.sequence(F.lit(0), F.size(_lines(text)) - 1), F.col(f"{gone}l"))
-    kept = F.get(F.transform(F.array(F.struct(_lines(text).alias("t"), left.alias("i"))), lambda v: F.transform(v["i"], lambda i: F.get(v["t"], i))), F.lit(0))
-    joined = docs.withColumn(key, row_key).join(covered, F.col(key) == F.col(gone), "left")
-    cut = F.when(F.col(gone).isNull(), quoted(text_col)).otherwise(F.array_join(kept, "\n"))
+    joined = docs.withColumns({row_id: quoted(id_col), key: row_key})
+    joined = joined.join(covered, (F.col(key) == F.col(gone)) & F.col(row_id).eqNullSafe(F.col(gone_id)), "left")
+    cut = F.when(F.col(gone).isNull(), quoted(text_col)).otherwise(_without(text, F.col(f"{gone}l")))
     out = [cut.alias(text_col) if c == text_col else quoted(c) for c in docs.columns]
     if counts:
         lost = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(f"{gone}l"))
-        out += [F.size(_lines(text)).cast("long").alias("n_lines"), lost.cast("long").alias("n_removed")]
+        out += [F.size(F.split(text, "\n")).cast("long").alias("n_lines"), F.size(_units(text)).cast("long").alias("n_units"), lost.cast("long").alias("n_removed")]
     return joined.select(*out)
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the units at the places `gone`; a hash-based difference of places keeps this linear."""
+    placed = F.flatten(F.transform(F.split(text, "\n"), lambda line, i: F.transform(F.regexp_extract_all(line, F.lit(_ANY), F.lit(0)), lambda u: F.struct(u.alias("u"), i.alias("line")))))
+
+    def joined(v: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(v) - 1), gone)
+        pieces = F.transform(F.array(left), lambda k: F.transform(k, lambda i, n: F.concat(F.when((n > 0) & (F.get(v, i)["line"] != F.get(v, F.get(k, n - 1))["line"]), "\n").otherwise(""), F.get(v, i)["u"])))
+        return F.array_join(F.get(pieces, F.lit(0)), "")
+
+    return F.get(F.transform(F.array(placed), joined), F.lit(0))

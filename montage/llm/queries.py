@@ -20,8 +20,8 @@ URL_RULES = (
     ("example.net/de/8", "block"),
     ("org/es/", "block"),
 )
-#: Sites whose pages make up the list of unwanted URLs.
-UNWANTED = "casino-win|cheap-pills|spam-farm"
+#: Pages with such a title make up the list of unwanted URLs: runs of symbols.
+UNWANTED = "<title>[^<]*[#$%*]{3}"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,9 +44,9 @@ def added_tokens() -> dict[str, int]:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.filter(url_filter.url_host(F.col("url")).rlike(rf"(?:^|\.)(?:{UNWANTED})\.")).select("url")
-    return url_filter.url_filter(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
+    pages = read(spark, sf_dir, "pages")
+    listed = pages.filter(F.col("html").rlike(UNWANTED)).select("url")
+    return url_filter.url_filter(pages.select("page_id", "url"), listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, run_col: str | None = None) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
-    return done.select("doc_id", "n_lines", "n_removed", "text")
+    return done.select("doc_id", "n_lines", "n_units", "n_removed", "text")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix_sources(docs, mixing.tempered_weights(docs))
+    return mixing.mix_sources(docs, mixing.ranked_weights(docs))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,16 +125,16 @@ def _url_sql() -> str:
     tracking = ", ".join(f"'{p}'" for p in url_filter.TRACKING)
     return f"""
 WITH cut AS (
-  SELECT page_id, url, {host} AS host, {path} AS path,
+  SELECT page_id, url, html, {host} AS host, {path} AS path,
          list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND string_split(p, '=')[1] NOT IN ({tracking}))) AS q
   FROM pages
 ), judged AS (
-  SELECT page_id, host, path, CASE {rule} END AS rule, CASE {does} END AS action,
-         CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\\.|:(?:80|443)$', '', 'g') || regexp_replace(path, '/+$', '')
+  SELECT page_id, html, host, path, CASE {rule} END AS rule, CASE {does} END AS action,
+         CASE WHEN contains(url, '://') THEN regexp_replace(host, '^(?:www|m)\\.|:(?:80|443)$', '', 'g') || regexp_replace(path, '/+$', '')
               || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canon
   FROM cut
 ), unwanted AS (
-  SELECT DISTINCT canon FROM judged WHERE regexp_matches(host, '(?:^|\\.)(?:{UNWANTED})\\.') AND canon IS NOT NULL
+  SELECT DISTINCT canon FROM judged WHERE regexp_matches(html, '{UNWANTED}') AND canon IS NOT NULL
 )
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN u.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
        u.canon IS NOT NULL AS listed
@@ -147,19 +147,24 @@ WITH v AS (
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+  SELECT q.vec_id AS query_id, c.vec_id, q.e AS asked, CAST(coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), 0) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM v) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 _LINES_SQL = f"""
 WITH l AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents
+), u AS (
+  SELECT doc_id, n, unnest(CASE WHEN regexp_matches(line, '[^\\x20\\x09-\\x0D]') THEN regexp_extract_all(line, '{lines.UNIT}') ELSE [line] END) AS u,
+    generate_subscripts(CASE WHEN regexp_matches(line, '[^\\x20\\x09-\\x0D]') THEN regexp_extract_all(line, '{lines.UNIT}') ELSE [line] END, 1) AS j FROM l
+), e AS (
+  SELECT doc_id, n, u, row_number() OVER (PARTITION BY doc_id ORDER BY n, j) AS i FROM u
 ), f AS (
   SELECT doc_id, i, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (
-    SELECT doc_id, i, translate(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g')), {_LOWER}) AS p FROM l) WHERE p <> ''
+    SELECT doc_id, i, translate(trim(regexp_replace(u, '[\\x20\\x09-\\x0D]+', ' ', 'g')), {_LOWER}) AS p FROM e) WHERE p <> ''
 ), w AS (
   SELECT a.doc_id, a.p || chr(10) || b.p || chr(10) || c.p AS w, a.i AS i, b.i AS i2, c.i AS i3
   FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.k = a.k + 1 JOIN f c ON a.doc_id = c.doc_id AND c.k = a.k + 2
@@ -167,11 +172,13 @@ WITH l AS (
   SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM w
 ), gone AS (
   SELECT DISTINCT doc_id, unnest([i, i2, i3]) AS i FROM o WHERE n > 1
+), s AS (
+  SELECT e.doc_id, e.n, e.i, e.u, gone.i AS lost FROM e LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.i = gone.i
 ), kept AS (
-  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) AS text, count(*) AS n_lines, count(gone.i) AS n_removed
-  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id
+  SELECT doc_id, n, string_agg(u, '' ORDER BY i) FILTER (lost IS NULL) AS line, count(*) AS n_units, count(lost) AS n_removed FROM s GROUP BY doc_id, n
 )
-SELECT doc_id, n_lines, n_removed, coalesce(text, '') AS text FROM kept"""
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (line IS NOT NULL), '') AS text, count(*) AS n_lines,
+  CAST(sum(n_units) AS BIGINT) AS n_units, CAST(sum(n_removed) AS BIGINT) AS n_removed FROM kept GROUP BY doc_id"""
 
 
 def _license_sql() -> str:
@@ -180,22 +187,25 @@ def _license_sql() -> str:
         w = p.split()
         test = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(w))
         phrase.append(f"list_transform(list_filter(range(0, greatest(0, len(w) - {len(w) - 1})), lambda i: {test}), lambda i: {{'p': i, 'l': '{label}'}})")
-    sets = [(sorted(set(t.split())), label) for t, label in licenses.TEMPLATES]
-    rows = ", ".join(f"({t}, '{label}', {s!r}, {licenses.needed(len(s), licenses.THRESHOLD)})" for t, (s, label) in enumerate(sets))
+    rows = ", ".join(
+        f"({t}, {f.length}, '{f.label}', {list(f.words)!r}, {f.m}, {list(f.telling)!r}, '{f.unless or '(?:$^)'}')" for t, f in enumerate(licenses.forms(licenses.TEMPLATES, licenses.THRESHOLD))
+    )
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{word}') AS w FROM documents
 ), base AS (
   SELECT doc_id, text, len(w) AS n_words, list_concat({phrase[0]}, list_concat({phrase[1]}, {phrase[2]})) AS places FROM d
-), templates(t, label, s, m) AS (VALUES {rows}), blocks AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS block, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d
+), templates(t, length, label, s, m, telling, unless) AS (VALUES {rows}), starts AS (
+  SELECT doc_id, w, length, unnest(range(0, len(w), length)) AS start FROM d, (SELECT DISTINCT length FROM templates)
 ), b AS (
-  SELECT doc_id, line, regexp_extract_all(translate(block, {_LOWER}), '{word}') AS w FROM blocks
+  SELECT doc_id, length, start, w[start + 1 : start + 2 * length] AS w FROM starts
 ), found AS (
-  SELECT doc_id, line, label, len(list_intersect(w, s)) / len(s) AS c FROM b, templates WHERE len(list_intersect(w, s)) >= m
+  SELECT doc_id, b.length, start, label, len(list_intersect(b.w, s)) / len(s) AS c FROM b JOIN templates ON b.length = templates.length
+  WHERE len(list_intersect(b.w, s)) >= m
+    AND len(list_filter(telling, lambda p: NOT contains(regexp_replace(' ' || array_to_string(b.w, ' ') || ' ', unless, ' | ', 'g'), p))) = 0
 ), per AS (
-  SELECT doc_id, list(DISTINCT label) AS more, max(c) AS best, count(DISTINCT line) AS n_blocks FROM found GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT label) AS more, max(c) AS best, count(DISTINCT (length, start)) AS n_blocks FROM found GROUP BY doc_id
 )
 SELECT base.doc_id, n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(list_transform(places, lambda x: x.p)) AS first_word,
   list_max(list_transform(places, lambda x: x.p)) AS last_word,

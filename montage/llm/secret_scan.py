@@ -8,7 +8,8 @@ step-up at the class's own rate rejects randomness, over all candidates of the c
 kind `random`. The step-up works on p rounded to a fixed grid of BINS steps in log p: counts per class and step, a few
 thousand rows, are all that is gathered.
 
-Places of matches come from the lengths of the matches and of the pieces between them. No match crosses a line end. All
+Places of matches come from running sums of the lengths of the matches and of the pieces between them. No match crosses a
+line end. Candidates are written once with their tests, since the cut-offs and the spans both need them. All
 expressions are built in; texts are not shuffled. Offsets are code points, ends exclusive.
 
 Defined cases: null text is empty; equal rows get equal results; no candidates at all leave the base spans.
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, quoted
+from .common import as_text, quoted, settle
 
 # The base patterns. Group 2 of an assignment has 12 characters at least.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -57,19 +58,37 @@ class LengthClass:
 CLASSES = (LengthClass(20, 0.3), LengthClass(28, 0.15), LengthClass(40, 0.05), LengthClass(64, 0.05))
 
 
+def running_sums(numbers: Column) -> Column:
+    """Running sums of an array of int, by runs of some RUN numbers: inside each, and over their totals.
+
+    A fold that lengthens an array copies it at each step; runs keep what is copied small.
+    """
+    run = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(numbers))).cast("int"))
+    none = F.array().cast("array<int>")
+
+    def summed(v: Column) -> Column:
+        return F.aggregate(v, F.struct(F.lit(0).alias("s"), none.alias("out")), lambda a, x: F.struct((a["s"] + x).alias("s"), F.concat(a["out"], F.array(a["s"] + x)).alias("out")), lambda a: a["out"])
+
+    def shifted(v: Column) -> Column:
+        inside = F.transform(F.sequence(F.lit(0), F.floor((F.size(v["n"]) - 1) / v["run"]).cast("int")), lambda k: summed(F.slice(v["n"], k * v["run"] + 1, v["run"])))
+
+        def add(r: Column) -> Column:
+            totals = F.transform(F.array(summed(F.transform(r, lambda x: F.element_at(x, -1)))), lambda t: F.transform(r, lambda x, k: F.transform(x, lambda y: y + F.when(k > 0, F.get(t, k - 1)).otherwise(0))))
+            return F.flatten(F.get(totals, F.lit(0)))
+
+        return F.get(F.transform(F.array(inside), add), F.lit(0))
+
+    bound = F.transform(F.array(F.struct(numbers.alias("n"), run.alias("run"))), shifted)
+    return F.when(F.size(numbers) > 0, F.get(bound, F.lit(0))).otherwise(none)
+
+
 def matches(text: Column, pattern: str, kind: int, guard: str | None = None) -> Column:
     """Array of (start, kind, end, piece) of the leftmost non-overlapping matches; texts without `guard` stop at once."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int,piece:string>>")
 
     def places(v: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            start = state["at"] + F.length(F.get(v["gaps"], i))
-            end = start + F.length(F.get(v["found"], i))
-            one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.get(v["found"], i).alias("piece"))
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
-
-        first = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(v["found"]) - 1), first, step, lambda s: s["out"])
+        ends = running_sums(F.zip_with(F.slice(v["gaps"], 1, F.size(v["found"])), v["found"], lambda g, m: F.length(g) + F.length(m)))
+        return F.zip_with(v["found"], ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("piece")))
 
     pair = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
     return F.when(text.rlike(guard or pattern), F.get(F.transform(F.array(pair), places), F.lit(0))).otherwise(none)
@@ -145,10 +164,10 @@ def cut_offs(tested: DataFrame) -> dict[int, int]:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (hash of id and text), start, end, piece and the battery's results of every candidate."""
+    """id, key (hash of the text), start, end, piece and the battery's results of every candidate."""
     text = as_text(text_col)
-    spots = docs.select(F.xxhash64(quoted(id_col), text).alias("key"), F.explode(matches(text, CANDIDATE, 3)).alias("m"))
-    spots = spots.select("key", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.piece").alias("piece"))
+    spots = docs.select(quoted(id_col).alias("id"), F.xxhash64(text).alias("key"), F.explode(matches(text, CANDIDATE, 3)).alias("m"))
+    spots = spots.select("id", "key", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.piece").alias("piece"))
     return battery(spots.filter(F.col("piece").rlike("[0-9]") & F.col("piece").rlike("[A-Za-z]")))
 
 
@@ -159,20 +178,20 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     `random`.
     """
     text = as_text(text_col)
-    tested = candidates(docs, id_col, text_col)
+    tested = settle(candidates(docs, id_col, text_col))
     limits = cut_offs(tested)
     cut = F.lit(BINS)
     for c, b in limits.items():
         cut = F.when(_class() == c, F.lit(b)).otherwise(cut)
-    random = tested.filter(_bin() < cut).groupBy(F.col("key").alias("random_key"))
+    random = tested.filter(_bin() < cut).groupBy(F.col("id").alias("random_id"), F.col("key").alias("random_key"))
     random = random.agg(F.collect_set(F.struct("start", F.lit(3).alias("kind"), "end")).alias("random"))
-    base = docs.select(quoted(id_col).alias(id_col), F.xxhash64(quoted(id_col), text).alias("key"), base_spans(text).alias("base_spans"))
-    both = base.join(random, F.col("key") == F.col("random_key"), "left")
+    base = docs.select(quoted(id_col).alias("id"), F.xxhash64(text).alias("key"), base_spans(text).alias("base_spans"))
+    both = base.join(random, (F.col("key") == F.col("random_key")) & F.col("id").eqNullSafe(F.col("random_id")), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     more = F.coalesce("random", none)
     number = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
     return both.select(
-        quoted(id_col), number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.size(more).cast("long").alias("n_random"),
+        F.col("id").alias(id_col), number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.size(more).cast("long").alias("n_random"),
         "base_spans", F.array_sort(F.concat("base_spans", more)).alias("spans"),
     )
 

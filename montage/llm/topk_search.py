@@ -5,17 +5,22 @@ a query q and a candidate x the largest |d(q, p) - d(x, p)| over the pivots is a
 (|q|^2 + |x|^2 - bound^2) / 2 an upper bound of their inner product. Candidates are evaluated in the order of that bound
 until the k-th best score so far exceeds it: nothing that could enter the result is passed over.
 
-Vectors are packed into blocks of bounded size by a hash of the id; each pair of a query block and a candidate block is
-one task-sized piece of work, joined on the block's number, and gives k rows per query at most. Those are ranked per
-query by a window that Spark limits before its shuffle.
+Rows equal in id and vector are counted once and stand in a block once, with their number. Vectors are packed into blocks
+of bounded size by a hash of id and vector; each pair of a query block and a candidate block is one task-sized piece of
+work, joined on the block's number, and gives k rows per query at most. Those are ranked per query by a window that Spark
+limits before its shuffle.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of another length than
-the query's are no candidates; fewer than k candidates are all returned; ties go to the smaller id; all rows that share
-the query's id count as its own. Components are assumed to stay below 2^20 after scaling (scores are exact in 53 bits).
+the query's are no candidates, and empty ones are for empty queries, with score 0; fewer than k candidates are all
+returned; ties go to the smaller id; all rows that share the query's id count as its own; repeated candidates are
+candidates each; repeated rows of a query ask once, and other vectors under its id ask too, with ranks of their own.
+Scores are exact: blocks whose products may pass 2^53 are multiplied in whole numbers of any size. Components and scores
+beyond the range of long count as its ends.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,47 +48,60 @@ def _packed(rows: DataFrame, count: int, size: int, pivots: dict[int, np.ndarray
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        v = np.array(pdf["v"].tolist(), dtype=np.float64).reshape(len(pdf), int(key[0]))
+        whole = np.array(pdf["v"].tolist(), dtype=np.int64).reshape(len(pdf), int(key[0]))
+        v = whole.astype(np.float64)
         p = pivots[int(key[0])]
         far = np.sqrt(np.maximum((v**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * v @ p.T, 0)) if len(p) else np.zeros((len(v), 0))
-        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "ids": [pdf["id"].to_numpy("<i8").tobytes()], "vectors": [v.tobytes()], "table": [far.tobytes()]})
+        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "ids": [pdf["id"].to_numpy("<i8").tobytes()], "times": [pdf["times"].to_numpy("<i8").tobytes()], "vectors": [whole.tobytes()], "table": [far.tobytes()]})
 
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    return rows.withColumn("block", block).groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, vectors binary, table binary")
+    block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
+    return rows.withColumn("block", block).groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, times binary, vectors binary, table binary")
 
 
-def best_of_block(q: np.ndarray, q_far: np.ndarray, q_id: int, v: np.ndarray, far: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(ids, scores, evaluated) of the k best of one block for one query, best first."""
+def products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of whole rows with q, exact; beyond the range of long its ends."""
+    if v.size == 0 or len(q) * max(1.0, np.abs(v.astype(float)).max()) * max(1.0, np.abs(q.astype(float)).max()) < 2**53:
+        return np.rint(v.astype(float) @ q.astype(float)).astype(np.int64)
+    ends = np.iinfo(np.int64)
+    return np.array([min(max(sum(x * y for x, y in zip(row, q.tolist(), strict=True)), ends.min), ends.max) for row in v.tolist()], dtype=np.int64)
+
+
+def best_of_block(
+    whole_q: np.ndarray, q_far: np.ndarray, q_id: int, whole: np.ndarray, far: np.ndarray, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(ids, scores, places in the block, evaluated) of the k best of one block for one query, best first."""
+    q, v = whole_q.astype(float), whole.astype(float)
     own = (q**2).sum() + (v**2).sum(1)
     low = np.abs(far - q_far).max(axis=1) if far.shape[1] else np.zeros(len(v))
     most = (own - low**2) / 2 + 1e-9 * own + 1
     order = np.argsort(-most, kind="stable")
     order = order[ids[order] != q_id]
-    best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+    best_at, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
     done, step = 0, max(64, k)
     while done < len(order) and not (len(best) == k and best[-1] > most[order[done]]):
         part = order[done : done + step]
-        best_ids, best = np.concatenate((best_ids, ids[part])), np.concatenate((best, v[part] @ q))
-        keep = np.lexsort((best_ids, -best))[:k]
-        best_ids, best = best_ids[keep], best[keep]
+        best_at, best = np.concatenate((best_at, part)), np.concatenate((best, products(whole[part], whole_q)))
+        keep = np.lexsort((ids[best_at], ~best))[:k]
+        best_at, best = best_at[keep], best[keep]
         done, step = done + len(part), 2 * step
-    return best_ids, best, done
+    return ids[best_at], best, best_at, done
 
 
 def topk_search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k highest inner products of each query row with all other rows: query_id, rank, id_col, score."""
+    """The k highest inner products of each query row with all other rows: query_id, rank, id_col, score (long)."""
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.select(quoted(id_col).alias("id"), scaled(quoted(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.filter(F.col("v").isNotNull() & F.col("id").isNotNull()).withColumn("dim", F.size("v"))
+    rows = rows.filter(F.col("v").isNotNull() & F.col("id").isNotNull())
+    rows = rows.groupBy("id", "v").agg(F.max("asks").alias("asks"), F.count(F.lit(1)).alias("times")).withColumn("dim", F.size("v"))
     sizes = {r["dim"]: r for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).collect()}
     # PIVOTS rows per length of vector: those with the smallest hash of their id
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id")))
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id", F.xxhash64("v"))))
     chosen = ranked.filter(F.col("r") <= PIVOTS).select("dim", "v").collect()
     pivots = {d: np.array([r["v"] for r in chosen if r["dim"] == d], dtype=np.float64).reshape(-1, d) for d in sizes}
     n, asked = sum(r["n"] for r in sizes.values()), sum(r["q"] for r in sizes.values())
-    base = _packed(rows.select("id", "v", "dim"), n, BLOCK_ROWS, pivots)
-    asks = _packed(rows.filter("asks").select("id", "v", "dim"), asked, QUERY_ROWS, pivots)
+    base = _packed(rows.select("id", "v", "dim", "times"), n, BLOCK_ROWS, pivots)
+    asks = _packed(rows.filter("asks").select("id", "v", "dim", "times"), asked, QUERY_ROWS, pivots)
     blocks = max(1, -(-n // BLOCK_ROWS))
     spread = asks.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "table")))
     pairs = base.join(spread, ["dim", "block"])
@@ -92,15 +110,15 @@ def topk_search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 ids, q_ids = (np.frombuffer(b, "<i8") for b in (r.ids, r.q_ids))
-                v, q = (np.frombuffer(b).reshape(-1, r.dim) for b in (r.vectors, r.q_vectors))
-                far, q_far = np.frombuffer(r.table).reshape(len(ids), -1), np.frombuffer(r.q_table).reshape(len(q_ids), -1)
-                out = [(i, *best_of_block(q[j], q_far[j], i, v, far, ids, k)) for j, i in enumerate(q_ids.tolist())]
-                yield pd.DataFrame({
-                    "query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64),
-                    "id": np.concatenate([o[1] for o in out]), "score": np.rint(np.concatenate([o[2] for o in out])).astype(np.int64),
-                })
-
-    found = pairs.mapInPandas(search, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
+                times = np.minimum(np.frombuffer(r.times, "<i8"), k)
+                v, q = (np.frombuffer(b, np.int64).reshape(n, r.dim) for b, n in ((r.vectors, len(ids)), (r.q_vectors, len(q_ids))))
+                far, q_far = (np.frombuffer(b).reshape(n, len(pivots[r.dim])) for b, n in ((r.table, len(ids)), (r.q_table, len(q_ids))))
+                for j, i in enumerate(q_ids.tolist()):
+                    near, score, at, _ = best_of_block(q[j], q_far[j], i, v, far, ids, k)
+                    seal = int.from_bytes(hashlib.blake2b(q[j].tobytes(), digest_size=8).digest(), "little", signed=True)
+                    yield pd.DataFrame({"query_id": i, "seal": seal, "id": np.repeat(near, times[at]), "score": np.repeat(score, times[at])})
+
+    found = pairs.mapInPandas(search, "query_id long, seal long, id long, score long")
+    order = Window.partitionBy("query_id", "seal").orderBy(F.col("score").desc(), F.col("id"))
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -1,7 +1,8 @@
 """URL filters: host and path rules first, then a list of canonical URLs behind a blocked Bloom filter.
 
-All expressions are built in. The Bloom filter of the list (bloom.py) is broadcast when its checked size allows it and
-marks possible hits; only those are shuffled to the exact hash join with the list, which removes false positives.
+All expressions are built in. The Bloom filter of the list (bloom.py) is broadcast and marks possible hits; only those
+are shuffled to the exact hash join with the list, which removes false positives. A list too long for a filter of the
+bound that bloom.py sets is joined as it is. Null URLs and those without `://` never reach the join.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path, fits no rule, is on no list and is
 allowed; repeated rows are judged alike; an empty list blocks nothing; other columns are kept as they are.
@@ -35,10 +36,10 @@ def url_path(url: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """Scheme-less form that equal pages share; null without `://`.
 
-    Host without `www.` and default port, path without a closing slash, parameters sorted and without those of
+    Host without a leading `www.` or `m.` and default port, path without a closing slash, parameters sorted and without those of
     TRACKING, no fragment.
     """
-    host = F.regexp_replace(url_host(url), r"^www\.|:(?:80|443)$", "")
+    host = F.regexp_replace(url_host(url), r"^(?:www|m)\.|:(?:80|443)$", "")
     path = F.regexp_replace(url_path(url), r"/+$", "")
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
     kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*TRACKING))
