@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -43,11 +44,16 @@ def ascii_lower(column: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a fresh local one only where none is set, as in tests."""
+    """The shared folder of spark.checkpoint.dir; a fresh local one only where none is set and all work is local, as in tests.
+
+    A cluster without that setting raises ValueError: its executors share no temporary folder.
+    """
     sc = spark.sparkContext
     if (set_to := sc.getConf().get("spark.checkpoint.dir")) is not None:
         return set_to
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 

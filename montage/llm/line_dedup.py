@@ -70,7 +70,7 @@ def _spot(v: Column, k: Column) -> Column:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """`docs` with later occurrences of repeated three-unit windows removed from the text.
 
-    Same columns and rows; with `counts`, also n_lines, n_units and n_removed (units; all long).
+    Same columns and rows; with `counts`, also n_lines and n_removed (units; both long).
     """
     key, gone, gone_id, row_id = free(docs, "key", "gone", "gone_id", "row_id")
     text = as_text(text_col)
@@ -82,8 +82,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = F.struct("id", "key", F.col("covered")[0].alias("unit"))
     spots = settle(spots)
     repeated = spots.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(F.col("first") != F.col("last"))
+    # written, so that a window in very many texts is a large partition of a plain join, which Spark splits
     later = (
-        spots.join(repeated.select("w1", "w2", "first"), ["w1", "w2"])
+        spots.join(settle(repeated.select("w1", "w2", "first")), ["w1", "w2"])
         .filter(at != F.col("first"))
         .select("id", "key", F.explode("covered").alias("unit"))
     )
@@ -95,7 +96,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = [cut.alias(text_col) if c == text_col else quoted(c) for c in docs.columns]
     if counts:
         lost = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(f"{gone}l"))
-        out += [F.size(F.split(text, "\n")).cast("long").alias("n_lines"), F.size(_units(text)).cast("long").alias("n_units"), lost.cast("long").alias("n_removed")]
+        out += [F.size(F.split(text, "\n")).cast("long").alias("n_lines"), lost.cast("long").alias("n_removed")]
     return joined.select(*out)
 
 

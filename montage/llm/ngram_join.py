@@ -258,7 +258,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Per row: id, n_shingles (long), component_id (smallest id reachable by links, itself included)."""
     ship(docs.sparkSession)
     source = docs.select(quoted(id_col).cast("long").alias("id"), as_text(text_col).alias("text")).withColumn("seal", F.xxhash64("text"))
-    buckets = max(16, source.rdd.getNumPartitions())
+    buckets = max(16, 2 * source.rdd.getNumPartitions())
     profile = settle(source.mapInArrow(_profiles(buckets), _PROFILE))
     rows = profile.filter(F.col("bucket").isNull()).select("id", "seal", "n", "digest", "minima", "bits")
     some = rows.filter((F.col("n") > 0) & F.col("id").isNotNull())

@@ -230,9 +230,11 @@ def pack_documents(
             yield rows()
 
     out_type = _arrow_type(id_type)
+    # twice the input's splits: their bytes bound a partition's, whatever the shuffle's setting
+    pieces_of_work = max(partitions(spark), 2 * docs.rdd.getNumPartitions())
     run = F.lit(0) if run_col is None else quoted(run_col)
     along = docs.select(quoted(id_col).alias("id"), as_text(text_col).alias("text"), run.cast("long").alias("run")).mapInArrow(keys, keyed)
-    along = along.repartitionByRange(partitions(spark), "run", "key", "id").sortWithinPartitions("run", "key", "id", F.xxhash64("text")).select("id", "text")
+    along = along.repartitionByRange(pieces_of_work, "run", "key", "id").sortWithinPartitions("run", "key", "id", F.xxhash64("text")).select("id", "text")
     pieces = T.StructType([
         T.StructField("id", id_type), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()),
         T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),

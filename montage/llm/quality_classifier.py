@@ -1,8 +1,9 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word and every 3- and 4-gram of bytes of a text is hashed to a row of a learned table; a document is the average
-of its rows, and a softmax layer over that average gives the label's probabilities. Training is stochastic gradient
-descent in numpy (mini-batches, per-parameter step sizes) on a bounded sample of labelled documents: at most
+Every word of a text and every run of 3 or 4 characters of a word, its beginning and end marked, is hashed to a row of a
+learned table; a document is the average of its rows, and a softmax layer over that average gives the label's
+probabilities. Training is stochastic gradient descent in numpy (mini-batches, step sizes per parameter by the squared
+gradients so far) on a bounded sample of labelled documents: at most
 `most_labelled`, those with the smallest hash of their id, whole texts. Only hashed counts of the sample reach the
 driver.
 
@@ -11,7 +12,8 @@ document is the mean of its rows' weights. Scoring runs in Arrow batches without
 travels in the function.
 
 Defined cases: null and empty texts have no rows and get the bias alone; labels that are null or not 0 or 1 are left
-out, of several labels of a document the smallest counts; without labels of both kinds every score is the smoothed share
+out, of several labels of a document the smallest counts; repeated rows of a sampled document are learned from once, and
+of several texts under its id the one with the smallest hash; without labels of both kinds every score is the smoothed share
 of label 1. Equal texts get equal scores.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import as_text, free, quoted, ship
-from .textbytes import grams, segment_sums, spans, utf8, words
+from .textbytes import characters, grams, segment_sums, spans, utf8, words
 
 WORD_ROWS = 1 << 15
 GRAM_ROWS = 1 << 15
@@ -70,8 +72,9 @@ def hashed_rows(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray,
     """(rows, offsets by text) of words, then of each kind of gram."""
     h, ends = words(data, at, lower=False)
     yield (h & np.uint64(WORD_ROWS - 1)).astype(np.int64), ends
+    points, at = characters(data, at)
     for k, n in enumerate(GRAMS):
-        g, ends = grams(data, at, n)
+        g, ends = grams(points, at, n)
         yield (g & np.uint32(GRAM_ROWS - 1)).astype(np.int64) + (WORD_ROWS + k * GRAM_ROWS), ends
 
 
@@ -94,10 +97,14 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, how: Training
     known = labels.filter(quoted(label_col).isin(0, 1) & quoted(id_col).isNotNull() & learn_from)
     known = known.groupBy(quoted(id_col).alias("id")).agg(F.min(quoted(label_col)).cast("int").alias("label"))
     sample = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(how.most_labelled))
-    rows = docs.select(quoted(id_col).alias("id"), as_text(text_col).alias("text")).join(sample, "id").select("label", "text")
-    # repeated rows of a sampled id must not lift the bound
-    found = sorted(rows.mapInArrow(_features, "label int, rows binary, shares binary").limit(2 * how.most_labelled).collect())
-    return fit([int(r[0]) for r in found], [np.frombuffer(r[1], "<i4") for r in found], [np.frombuffer(r[2], "<f4") for r in found], how)
+    rows = docs.select(quoted(id_col).alias("id"), as_text(text_col).alias("text")).join(sample, "id")
+    # one text an id, so that repeated rows of a sampled id do not lift the bound
+    rows = rows.withColumn("seal", F.xxhash64("text")).groupBy("id").agg(F.min(F.struct("seal", "label", "text")).alias("r")).select("r.label", "r.text")
+    found = sorted(map(tuple, rows.mapInArrow(_features, "label int, rows binary, shares binary").collect()))
+    label = [int(r[0]) for r in found]
+    which, shares = [np.frombuffer(r[1], "<i4") for r in found], [np.frombuffer(r[2], "<f4") for r in found]
+    del found
+    return fit(label, which, shares, how)
 
 
 def fit(label: list[int], rows: list[np.ndarray], shares: list[np.ndarray], how: Training) -> Model:
@@ -107,9 +114,14 @@ def fit(label: list[int], rows: list[np.ndarray], shares: list[np.ndarray], how:
         share = (y.sum() + 1) / (n + 2)
         return Model(np.zeros(ROWS), float(np.log(share / (1 - share))))
     rng = np.random.Generator(np.random.PCG64(how.seed))
-    used, flat = np.unique(np.concatenate(rows), return_inverse=True)
     at = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-    weight = np.concatenate(shares).astype(np.float64)
+    every, weight = np.concatenate(rows), np.concatenate(shares)
+    rows.clear()
+    shares.clear()
+    used = np.flatnonzero(np.bincount(every, minlength=ROWS))
+    place = np.zeros(ROWS, np.int32)
+    place[used] = np.arange(len(used))
+    flat = place[every]
     table = rng.normal(0, 0.1, (len(used), how.dim))
     layer, bias = rng.normal(0, 0.5, (how.dim, 2)), np.log(np.bincount(y, minlength=2) / n)
     seen = [np.full_like(a, 1e-8) for a in (table, layer, bias)]

@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, run_col: str | None = None) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
-    return done.select("doc_id", "n_lines", "n_units", "n_removed", "text")
+    return done.select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,10 +175,10 @@ WITH l AS (
 ), s AS (
   SELECT e.doc_id, e.n, e.i, e.u, gone.i AS lost FROM e LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.i = gone.i
 ), kept AS (
-  SELECT doc_id, n, string_agg(u, '' ORDER BY i) FILTER (lost IS NULL) AS line, count(*) AS n_units, count(lost) AS n_removed FROM s GROUP BY doc_id, n
+  SELECT doc_id, n, string_agg(u, '' ORDER BY i) FILTER (lost IS NULL) AS line, count(lost) AS n_removed FROM s GROUP BY doc_id, n
 )
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (line IS NOT NULL), '') AS text, count(*) AS n_lines,
-  CAST(sum(n_units) AS BIGINT) AS n_units, CAST(sum(n_removed) AS BIGINT) AS n_removed FROM kept GROUP BY doc_id"""
+  CAST(sum(n_removed) AS BIGINT) AS n_removed FROM kept GROUP BY doc_id"""
 
 
 def _license_sql() -> str:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once (one longer text is handled alone); arrays in use are some 60 times as large at most.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -109,23 +109,35 @@ def shingles(h: np.ndarray, at: np.ndarray, width: int = 5) -> Iterator[np.ndarr
             yield h[:0]
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(32-bit hash of every n-byte gram inside a text, n + 1 offsets of each text's grams)."""
-    m = len(data) - n + 1
-    if m <= 0:
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code point of every character, n + 1 offsets of each text's); a blank is put after each text."""
+    lead = (data & 0xC0) != 0x80
+    at = np.concatenate(([0], np.cumsum(lead)))[offsets]
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    out = np.full(len(points) + len(offsets) - 1, 32, np.uint32)
+    out[np.arange(len(points)) + np.repeat(np.arange(len(offsets) - 1), np.diff(at))] = points
+    return out, at + np.arange(len(offsets))
+
+
+def grams(points: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit hash of every gram of n characters of a word, n + 1 offsets of each text's grams).
+
+    A word has a blank before and after it, so grams tell its beginning and its end; none reaches beyond these.
+    """
+    m = len(points) - n + 2
+    if m <= 0 or not len(points):
         return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-    h = np.zeros(m, np.uint32)
+    blank = (points == 32) | ((points >= 9) & (points <= 13))
+    c = np.concatenate(([32], np.where(blank, 32, points))).astype(np.uint32)
+    inside = np.concatenate(([0], np.cumsum(np.concatenate(([True], blank)))))
+    start = np.flatnonzero(inside[n - 1 : n - 1 + m] - inside[1 : 1 + m] == 0)
+    h = np.zeros(len(start), np.uint32)
     for k in range(n):
-        h = h * np.uint32(0x01000193) + data[k : k + m].astype(np.uint32) * np.uint32(0x9E3779B1)
+        h = h * np.uint32(0x01000193) + c[start + k] * np.uint32(0x9E3779B1)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(13)
-    sizes = np.maximum(np.diff(offsets) - n + 1, 0)
-    at = np.concatenate(([0], np.cumsum(sizes)))
-    if at[-1] == m:
-        return h, at
-    keep = np.repeat(offsets[:-1] - at[:-1], sizes) + np.arange(at[-1])
-    return h[keep], at
+    return h, np.searchsorted(start, offsets)
 
 
 def segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
