@@ -98,7 +98,8 @@ def topk_search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     # PIVOTS rows per length of vector: those with the smallest hash of their id
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id", F.xxhash64("v"))))
     chosen = ranked.filter(F.col("r") <= PIVOTS).select("dim", "v").collect()
-    pivots = {d: np.array([r["v"] for r in chosen if r["dim"] == d], dtype=np.float64).reshape(-1, d) for d in sizes}
+    of = {d: [r["v"] for r in chosen if r["dim"] == d] for d in sizes}
+    pivots = {d: np.array(v, dtype=np.float64).reshape(len(v), d) for d, v in of.items()}
     n, asked = sum(r["n"] for r in sizes.values()), sum(r["q"] for r in sizes.values())
     base = _packed(rows.select("id", "v", "dim", "times"), n, BLOCK_ROWS, pivots)
     asks = _packed(rows.filter("asks").select("id", "v", "dim", "times"), asked, QUERY_ROWS, pivots)

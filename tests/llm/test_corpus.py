@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import collections
+import fractions
 import hashlib
+import math
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from agree import same
 from pyspark.sql import functions as F
@@ -93,15 +97,16 @@ def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
     known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    known.encode_special_tokens = True
-    docs = odd.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    docs = docs.union(docs.limit(1).withColumn("doc_id", F.lit(99).cast("long")).withColumn("text", F.lit("  two  blanks \n\n <|endoftext|> it's 12é ")))
-    pieces = packing.pack_documents(docs, queries.vocabulary()).collect()
+    docs = odd.union(odd.limit(1).withColumn("doc_id", F.lit(99).cast("long")).withColumn("text", F.lit("  two  blanks \n\n <|endoftext|> it's 12é ")))
+    pieces = packing.pack_documents(docs, queries.vocabulary(), added=queries.added_tokens()).collect()
+    wanted, found = collections.Counter(), collections.Counter()
     for d, t in texts_of(docs):
         ids = np.array([*known.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
-        own = sorted((r for r in pieces if r["doc_id"] == d), key=lambda r: r["start"])
-        assert b"".join(bytes(r["ids"]) for r in own) == ids.tobytes()
-        assert all(r["doc_tokens"] == len(ids) for r in own) and [r["start"] for r in own] == np.cumsum([0, *(r["length"] for r in own)])[:-1].tolist()
+        wanted.update((d, len(ids), i, int(x)) for i, x in enumerate(ids))
+    for r in pieces:
+        assert len(r["ids"]) == 4 * r["length"]
+        found.update((r["doc_id"], r["doc_tokens"], r["start"] + i, int(x)) for i, x in enumerate(np.frombuffer(r["ids"], "<u4")))
+    assert wanted == found  # repeated rows and null ids too
     sizes = collections.Counter()
     for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
         assert r["offset"] == sizes[r["sequence_id"]]
@@ -148,22 +153,120 @@ def test_topk_with_odd_vectors(spark):
     assert {tuple(r) for r in got} == want
 
 
+def test_topk_with_empty_vectors_and_large_components(spark):
+    made = [(0, []), (1, []), (100, [3.0e6, 1.0]), (101, [2.9e6, -5.0]), (102, [-3.0e6, 0.5]), (103, [1e300, 0.0]), (200, [1.0, 2.0]), (201, [0.25, 0.5])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk_search.topk_search(spark.createDataFrame(made, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 10).collect()}
+    ends = np.iinfo(np.int64)
+    fine = {i: [min(max(math.floor(1024 * x), ends.min), ends.max) for x in v] for i, v in made}
+    want = {}
+    for q in (0, 100, 200):
+        scores = [(-min(max(sum(a * b for a, b in zip(fine[q], x)), ends.min), ends.max), i) for i, x in fine.items() if i != q and len(x) == len(fine[q])]
+        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(sorted(scores)[:10])}
+    assert got == want and got[(0, 1)] == (1, 0)
+
+
+def test_topk_with_repeated_rows(spark):
+    made = [(100, [1.0, 0.0])] * 3 + [(100, [0.0, 1.0])] + [(7, [2.0, 1.0])] * 4 + [(8, [1.0, 3.0])]
+    got = topk_search.topk_search(spark.createDataFrame(made, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 4).orderBy("query_id", "score", "rank").collect()
+    one = [(100, 1, 7, 2 << 20), (100, 2, 7, 2 << 20), (100, 3, 7, 2 << 20), (100, 4, 7, 2 << 20)]
+    other = [(100, 1, 8, 3 << 20), (100, 2, 7, 1 << 20), (100, 3, 7, 1 << 20), (100, 4, 7, 1 << 20)]
+    assert sorted(map(tuple, got)) == sorted(one + other)
+
+
+def brute_lines(rows: list[tuple]) -> dict:
+    """Units by another road than one pattern: words one by one."""
+    blank = "\x20\x09\x0b\x0c\x0d"
+
+    def units(line: str) -> list[str]:
+        if not line.strip(blank):
+            return [line]
+        out, begun, n = [], 0, 0
+        for m in re.finditer(rf"[^{blank}]+[{blank}]*", line):
+            n += 1
+            ends = m[0].rstrip(blank)[-1] in ".!?" and n >= line_dedup.LEAST
+            if ends or n == line_dedup.MOST:
+                out.append(line[begun : m.end()])
+                begun, n = m.end(), 0
+        return out + ([line[begun:]] if begun < len(line) else [])
+
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        made = [(i, u) for i, line in enumerate(t.split("\n")) for u in units(line)]
+        filled = [k for k, (_, u) in enumerate(made) if u.strip(blank)]
+        plain = lambda k: re.sub(rf"[{blank}]+", " ", made[k][1]).strip(" ").translate(LOW)
+        gone = set()
+        for a in zip(filled, filled[1:], filled[2:]):
+            w = tuple(map(plain, a))
+            gone |= set(a) if w in seen else set()
+            seen.add(w)
+        lines = {}
+        for k, (i, u) in enumerate(made):
+            if k not in gone:
+                lines[i] = lines.get(i, "") + u
+        out[d] = "\n".join(lines[i] for i in sorted(lines))
+    return out
+
+
+def test_line_dedup_against_brute_force(spark, small):
+    """Real texts, and passages of over 50 words inside lines, alone and with other neighbours."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    rng = np.random.default_rng(4)
+    passage = " ".join(" ".join(f"p{k}w{i}" for i in range(9)) + "." for k in range(8))
+    docs += [(10_000, passage), (10_001, "Own words come first here. " + passage + " Own words come last."), (10_002, "a  b\n" + passage.upper() + "\r\n\n  \nend")]
+    docs += [(10_100 + i, "\n".join(" ".join(rng.choice(["Ab.", "cd", "ef!", "g", "h?"], rng.integers(0, 12))) for _ in range(12))) for i in range(40)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_lines(docs)
+    assert got[10_000] == passage and "p4w4" not in got[10_001] + got[10_002].lower() and "Own words come first" in got[10_001]
+
+
 def test_line_dedup(spark, odd):
     out = {(r["doc_id"], r["text"]) for r in line_dedup.line_dedup(odd).collect()}
     assert (11, "a\nb\nc\nd") in out and (12, "x\ny") in out and (0, None) in out and (1, "") in out
     assert line_dedup.line_dedup(odd).columns == odd.columns and line_dedup.line_dedup(odd).count() == odd.count()
 
 
-def test_mixing_stays_within_a_block(spark):
-    quota = mixing.frame_quota({"a": 0.5, "b": 0.3, "c": 0.2, None: 0.01}, 100)
-    rows = mixing.frame_table(spark, quota).collect()
-    assert sum(quota.values()) == len(rows) == 100 and sorted(r["place"] for r in rows) == list(range(100))
-    for s, q in quota.items():
-        at = sorted(r["place"] for r in rows if r["source"] == s)
-        done = np.searchsorted(at, np.arange(101))
-        assert (np.abs(done - np.arange(101) * q / 100) < 1).all()
-    for r in rows:
-        assert r["release"] <= r["place"] < r["deadline"]
+def earliest_deadline_first(parts: dict) -> list:
+    """The frame, slot by slot, in exact fractions."""
+    size, done, order = sum(parts.values()), dict.fromkeys(parts, 0), []
+    for t in range(size):
+        due = []
+        for n, (s, p) in enumerate(parts.items()):
+            w, i = fractions.Fraction(p, size), done[s]
+            if i < p and math.floor(i / w) <= t:
+                due.append((math.ceil((i + 1) / w), n, s))
+        order.append(min(due)[2])
+        done[order[-1]] += 1
+    return order
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.09, "c": 0.009, "d": 0.001}, {"a": 5, "b": 3, "c": 2, None: 1}, {f"s{i}": 1 / (i + 1) for i in range(12)}])
+def test_mixing_schedule_is_earliest_deadline_first(spark, weights):
+    parts = mixing.whole_parts(weights, 1000)
+    total = sum(weights.values())
+    assert sum(parts.values()) == 1000 and all(abs(p - 1000 * weights[s] / total) < 1 for s, p in parts.items())
+    rows = sorted(mixing.frame_table(spark, parts).collect(), key=lambda r: r["place"])
+    assert [r["source"] for r in rows] == earliest_deadline_first(parts)
+    assert all(r["release"] <= r["place"] < r["deadline"] for r in rows)
+
+
+def test_mixing_stays_within_a_block_of_the_weights(spark):
+    """Over several frames, against the weights themselves."""
+    weights = {"a": 0.7, "b": 0.2, "c": 0.06, "d": 0.04}
+    made = [(f"{s}{i}", s) for s, w in weights.items() for i in range(int(w * 3000))]
+    docs = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(made)], "doc_id long, source string")
+    out = mixing.mix_sources(docs, weights, block=2, frame=100).collect()
+    slots = {r["mix_slot"]: r["source"] for r in out}
+    assert sorted(slots) == list(range(1500))
+    served = dict.fromkeys(weights, 0)
+    for t in range(1500):
+        assert all(abs(n - weights[s] * t) < 1 for s, n in served.items())
+        served[slots[t]] += 1
+
+
+def test_mixing_weights_of_all_kinds():
+    assert mixing.whole_parts({}) == {} and mixing.whole_parts({"a": 0, None: -1}) == {"a": 1, None: 1}
+    assert mixing.whole_parts({"a": 0.999, "b": 0.0}, 10) == {"a": 10, "b": 1}
+    assert mixing.whole_parts({1: 1.0, "x": 1.0, None: 2.0}, 4) == {1: 1, "x": 1, None: 2}
 
 
 def test_mixing_keeps_all_rows(spark, odd):
@@ -200,6 +303,105 @@ def test_battery_tells_keys_from_words(spark):
     assert sum(got[i] for i in range(60)) >= 50 and sum(got[i] for i in range(60, 120)) <= 3
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("Licensed under CC BY-NC 4.0", "cc-by-nc"), ("Licensed under CC BY-SA 4.0", "cc-by-sa"), ("Licensed under CC BY 4.0.", "cc-by"), ("Licensed under CC BY-ND 4.0", "cc-by-nd"),
+    ("GNU Lesser General Public License version 3", "lgpl-3"), ("apache license version 1 0", ""), ("Apache License, Version 2.0", "apache-2"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction", "mit"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"), ("Licensed under CC BY 4.0. " + "more words " * 30 + "Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa"),
+    ("the permission to use, copy and license by 4 0 is under cc", ""), (PROSE, ""),
+])
+def test_license_labels(spark, text, labels):
+    assert license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == labels
+
+
+def test_license_blocks_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    pool = [t.text.split() for t in license_scan.TEMPLATES]
+    texts = []
+    for i in range(120):
+        w = [f"x{rng.integers(50)}" for _ in range(rng.integers(0, 60))]
+        for _ in range(rng.integers(0, 3)):
+            t = list(pool[rng.integers(len(pool))])
+            for _ in range(rng.integers(0, 3)):
+                t[rng.integers(len(t))] = "zz"
+            at = rng.integers(0, len(w) + 1)
+            w[at:at] = t
+        texts.append((i, "\n".join(" ".join(w[k : k + 7]) for k in range(0, len(w), 7))))
+    made = license_scan.forms(license_scan.TEMPLATES, license_scan.THRESHOLD)
+    want = {}
+    for d, t in texts:
+        w, labels = t.split(), set()
+        for f in made:
+            for start in range(0, len(w), f.length):
+                block = w[start : start + 2 * f.length]
+                line = " " + " ".join(block) + " "
+                line = re.sub(f.unless, " | ", line) if f.unless else line
+                if len(set(block) & set(f.words)) >= f.m and all(p in line for p in f.telling):
+                    labels.add(f.label)
+        base = {label for p, label in license_scan.PHRASES if f" {p} " in " " + " ".join(w) + " "}
+        want[d] = ",".join(sorted(labels | base))
+    got = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == want and sum(map(bool, want.values())) > 30
+
+
+def brute_battery(piece: str) -> float:
+    """Fisher's combination of the three tests, in numpy."""
+    alphabet = next((a for n, p, a in secret_scan.ENCODINGS if re.search(p, piece)), None)
+    bare = piece if alphabet is None else piece.rstrip("=")
+    alphabet = alphabet or "-_+/=0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    v, a, n = np.array([alphabet.index(c) for c in bare], float), len(alphabet), len(bare)
+    tail = lambda z: 1 / (1 + math.exp(max(-300, min(300, 1.5976 * z + 0.070565988 * z**3))))
+    counts = np.array([bare.count(c) for c in alphabet], float)
+    chi2, k = max(0, a / n * (counts**2).sum() - n), a - 1
+    z1 = ((chi2 / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
+    high = v >= a / 2
+    runs, both = 1 + (high[1:] != high[:-1]).sum(), 2 * high.sum() * (n - high.sum())
+    var = both * (both - n) / (n * n * (n - 1))
+    z2 = abs(runs - both / n - 1) / math.sqrt(var) if var > 0 else 9
+    x = v - v.mean()
+    z3 = abs((x[1:] * x[:-1]).sum() / (x**2).sum()) * math.sqrt(n) if (x**2).sum() > 0 else 9
+    half = -sum(math.log(max(p, 1e-15)) for p in (tail(z1), min(1, 2 * tail(z2)), min(1, 2 * tail(z3))))
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_secrets_beyond_the_base_patterns(spark):
+    """Keys in base 62, 64 and upper hex that no base pattern fits, among identifiers, paths and words with digits."""
+    rng = np.random.default_rng(8)
+    letters = {n: a for n, _, a in secret_scan.ENCODINGS}
+    keys = ["".join(rng.choice(list(letters[n]), size)) for n, size in (("base62", 32), ("base62", 40), ("base64", 44), ("upper_hex", 48)) for _ in range(25)]
+    keys = [k if re.search("[0-9]", k) and re.search("[A-Za-z]", k) else "a1" + k[2:] for k in keys]
+    plain = [f"{a}_{b}_{a}_handler_v{i}" for i, (a, b) in enumerate((rng.choice(["user", "config", "session", "record"]), rng.choice(["create", "update", "delete"])) for _ in range(60))]
+    plain += [f"path/to/some/{w}/folder{i}/{w}/file{i}" for i, w in enumerate(rng.choice(["alpha", "beta", "gamma"], 40))] + ["abcdefghij0123456789abcdefghij", "1" * 30 + "a", "ab12" * 10]
+    docs = spark.createDataFrame([(i, f"value {k} here") for i, k in enumerate(keys + plain)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secret_scan.secret_scan(docs).collect()}
+    # upper hex of 16 characters or more is no base kind
+    assert not any(found[i]["base_spans"] for i in range(len(keys)))
+    recall, false = sum(found[i]["n_random"] > 0 for i in range(len(keys))) / len(keys), sum(found[i]["n_random"] > 0 for i in range(len(keys), len(keys) + len(plain)))
+    assert recall >= 0.85 and false <= 5, (recall, false)
+
+    tested = {r["piece"]: r["p"] for r in secret_scan.candidates(docs).collect()}
+    assert all(p == pytest.approx(brute_battery(t), rel=1e-6, abs=1e-11) for t, p in tested.items())
+    # the step-up over exact p-values of each class agrees but for candidates on the edge of the grid
+    for low, c in enumerate(secret_scan.CLASSES):
+        top = secret_scan.CLASSES[low + 1].least if low + 1 < len(secret_scan.CLASSES) else 10**9
+        ps = sorted(p for t, p in tested.items() if c.least <= len(t) < top)
+        passed = [k for k, p in enumerate(ps, 1) if p <= c.rate * k / len(ps)]
+        kept = len(ps) - (max(passed) if passed else 0)
+        spans = sum(len([s for s in r["spans"] if s["kind"] == 3 and c.least <= s["end"] - s["start"] < top]) for r in found.values())
+        assert abs(spans - kept) <= 2
+
+
+def test_secret_places_take_linear_time(spark):
+    took = []
+    for n in (4000, 4000, 8000):
+        docs = spark.createDataFrame([(1, " ".join(f"deadbeef{i:08d}" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        row = secret_scan.secret_scan(docs).first()
+        took.append(time.time() - began)
+        assert row["n_hex"] == n and [(s["start"], s["end"]) for s in row["base_spans"]] == [(17 * i, 17 * i + 16) for i in range(n)]
+    assert took[2] < 2.5 * took[1] + 2
+
+
 def test_license_and_rules_on_odd_rows(spark, odd):
     found = {r["doc_id"]: r for r in license_scan.license_scan(odd).collect()}
     assert found[13]["labels"] == "mit" and (found[13]["n_base"], found[13]["first_word"], found[13]["score"]) == (1, 1, 1.0)
@@ -221,6 +423,37 @@ def test_url_filter_on_odd_rows(spark):
     assert url_filter.url_filter(pages, listed.limit(0), ()).filter("verdict = 'block'").count() == 0
 
 
+def test_bloom_filter(spark):
+    from montage.llm import bloom
+
+    keys, asked = spark.range(0, 5000).selectExpr("concat('k', id) AS k"), spark.range(0, 50_000).selectExpr("concat('k', id) AS k").union(spark.createDataFrame([(None,)], "k string"))
+    made = bloom.build(keys.union(keys), "k")
+    hits = made.maybe(asked, F.col("k"), "maybe").filter("maybe")
+    assert 5000 == hits.join(keys, "k", "left_semi").count() and hits.count() < 5000 + 0.02 * 45_000
+    none = bloom.build(keys, "k", most_bytes=100)
+    assert none.table is None and none.maybe(asked, F.col("k"), "maybe").filter("maybe").count() == 50_000
+    pages = spark.createDataFrame([(1, "http://www.a.org/x/?utm_source=q"), (2, None), (3, "https://m.b.org/")], "page_id long, url string")
+    listed = spark.createDataFrame([("https://a.org/x",), ("http://b.org",)], "url string")
+    assert [r["listed"] for r in url_filter.url_filter(pages, listed, ()).orderBy("page_id").collect()] == [True, False, True]
+
+
+def test_classifier_grams_are_those_of_words():
+    from montage.llm.textbytes import characters, grams, utf8
+    import pyarrow as pa
+
+    texts = ["ab  cdé\nf", "", "x", "日本語 ok", "ab"]
+    data, at = utf8(pa.array(texts))
+    for n in (3, 4):
+        h, ends = grams(*characters(data, at), n)
+        names = {}
+        for k, t in enumerate(texts):
+            want = [g for w in re.findall(r"[^\x20\x09-\x0D]+", t) for g in (f" {w} "[i : i + n] for i in range(len(w) + 3 - n))]
+            assert len(want) == ends[k + 1] - ends[k]
+            for g, x in zip(want, h[ends[k] : ends[k + 1]].tolist()):
+                assert names.setdefault(g, x) == x
+        assert len(set(names.values())) == len(names)
+
+
 def test_classifier_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     scored = queries.op6_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
@@ -274,4 +507,27 @@ def test_pipeline(spark, small):
     want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, (_, c) in want.items() if c == d)
     assert sorted(map(tuple, corpus_pipeline.mix(spark, docs, small).collect())) == sorted(map(tuple, docs.collect()))
+    lines = corpus_pipeline.line_dedup(spark, docs, small)
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == brute_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
+    model = quality_classifier.train(docs, spark.read.parquet(f"{small}/labels.parquet"), ~quality_classifier.held_out(F.col("doc_id")))
+    good = {r["doc_id"] for r in docs.collect() if model.scores(pa.array([r["text"]]))[0] >= quality_classifier.THRESHOLD}
+    assert {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, small).collect()} == good
     assert corpus_pipeline.run(spark, small).count() > 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, small, odd, name, empty):
+    docs = odd.limit(0) if empty else odd
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, small)
+    if name != "pack":
+        assert out.columns == docs.columns
+    ids = [r["doc_id"] for r in out.collect()]
+    if empty:
+        assert ids == []
+    elif name in ("line_dedup", "mix"):
+        assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in docs.collect())
+    elif name == "pack":
+        assert set(ids) == {r["doc_id"] for r in docs.collect()}
+    else:
+        assert set(ids) <= {r["doc_id"] for r in docs.collect()}
