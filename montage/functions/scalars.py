@@ -20,6 +20,29 @@ def clock(seconds: Column) -> Column:
     return F.format_string("%02d:%05.2f", F.floor(seconds / 60).cast("int"), seconds % 60)
 
 
+def minutes(seconds: Column) -> Column:
+    """m:ss, fractions cut off."""
+    return F.format_string("%d:%02d", F.floor(seconds / 60).cast("int"), F.floor(seconds % 60).cast("int"))
+
+
+def minutes_exact(seconds: Column) -> Column:
+    """m:ss.ss"""
+    return F.format_string("%d:%05.2f", F.floor(seconds / 60).cast("int"), seconds % 60)
+
+
+# Colours of speakers, by number.
+COLOURS = 8
+
+
+def colour(number: Column) -> Column:
+    return F.pmod(number, F.lit(COLOURS))
+
+
+def title(label: Column) -> Column:
+    """The first underscore becomes a blank, all letters capitals."""
+    return F.upper(F.regexp_replace(label, r"^([^_]*)_", "$1 "))
+
+
 def safe_name(name: Column) -> Column:
     """Letters, digits and `._-` of a file name."""
     return F.regexp_replace(name, r"[^\p{L}\p{N}._-]", "")

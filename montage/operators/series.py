@@ -44,6 +44,12 @@ def peaks(series: DataFrame, share: float = 0.7) -> DataFrame:
     return rows.filter((F.col("n") < 3) | high).select("media_id", "idx", "smooth")
 
 
+def raw_peaks(series: DataFrame, share: float = 0.75) -> DataFrame:
+    """Places of plain scores above both neighbours and above the percentile `share`."""
+    rows = series.withColumns({"high": F.percentile("score", F.lit(share)).over(whole()), "before": F.lag("score").over(in_order()), "after": F.lead("score").over(in_order())})
+    return rows.filter((F.col("score") > F.col("before")) & (F.col("score") > F.col("after")) & (F.col("score") > F.col("high"))).select("media_id", "idx", "score")
+
+
 def spaced_peaks(series: DataFrame) -> DataFrame:
     """Peaks that keep a distance: the highest first, lower ones strictly nearer than max(3, n / 20) are dropped.
 

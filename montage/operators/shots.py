@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from montage.functions.vectors import clamp, cosine, pearson
+from montage.functions.vectors import clamp, cosine, distance, pearson
 
 MIN_GAP = 30
 #: Frames of a bin in which frames and shots meet, so that one long video is many pieces of work.
@@ -32,6 +32,29 @@ def deltas(series: DataFrame) -> DataFrame:
     return series.select("media_id", "idx", F.round(step, 6).alias("diff")).filter(F.col("diff").isNotNull())
 
 
+def vector_motion(frames: DataFrame) -> DataFrame:
+    """media_id, idx, motion: the distance of each vector to the one before, 0 for the first row."""
+    before = F.lag("clip").over(by_media().orderBy("frame_idx"))
+    rows = frames.withColumn("before", before)
+    return rows.select("media_id", F.col("frame_idx").alias("idx"), F.round(F.coalesce(distance(F.col("clip"), F.col("before")), F.lit(0.0)), 6).alias("motion"))
+
+
+#: Sizes of a clip vector and of a colour vector.
+CLIP, COLOUR = 512, 64
+
+
+def all_features(frames: DataFrame, motion: DataFrame, colours: DataFrame | None = None) -> DataFrame:
+    """media_id, frame_idx, clip, motion, colour of every frame; zeros where a feature is missing.
+
+    motion: media_id, frame_idx, score; colours: media_id, frame_idx, colour.
+    """
+    key = ["media_id", "frame_idx"]
+    rows = frames.join(motion.select(*key, F.col("score").alias("motion")), key, "left")
+    rows = rows.join(colours.select(*key, "colour"), key, "left") if colours is not None else rows.withColumn("colour", F.lit(None).cast("array<double>"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    return rows.select(*key, F.coalesce("clip", zeros(CLIP)).alias("clip"), F.coalesce("motion", F.lit(0.0)).alias("motion"), F.coalesce("colour", zeros(COLOUR)).alias("colour"))
+
+
 def histogram_threshold(diffs: DataFrame) -> DataFrame:
     """Mean and 2.5 deviations; the 95th percentile where that lies above the 98th."""
     wide = F.avg("diff") + 2.5 * F.stddev_pop("diff")
@@ -140,10 +163,18 @@ def frames_in_shots(frames: DataFrame, shots: DataFrame) -> DataFrame:
 
 def nearest_frame(frames: DataFrame, shots: DataFrame) -> DataFrame:
     """The frame nearest to the middle of each shot, the lower of two."""
-    middle = F.floor((F.col("start_frame") + F.col("end_frame")) / 2)
-    met = shots.join(frames.select("media_id", "frame_idx"), "media_id").withColumn("off", F.abs(F.col("frame_idx") - middle))
-    best = met.groupBy("media_id", "shot_id").agg(F.min(F.struct("off", "frame_idx")).alias("best"))
-    return best.select("media_id", "shot_id", F.col("best.frame_idx").alias("frame_idx"), F.col("best.off").cast("long").alias("off"))
+    middle = F.floor((F.col("start_frame") + F.col("end_frame")) / 2).cast("long")
+    none = F.lit(None)
+    # one ordered pass over frames and middles: the last frame up to a middle and the first one after it
+    line = frames.select("media_id", F.col("frame_idx").cast("long").alias("place"), none.cast(shots.schema["shot_id"].dataType).alias("shot_id"), F.col("frame_idx").cast("long").alias("f"))
+    line = line.union(shots.select("media_id", middle, "shot_id", none.cast("long")))
+    order = by_media().orderBy("place", F.col("f").asc_nulls_last())
+    below = F.last("f", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first("f", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    met = line.withColumns({"below": below, "above": above}).filter(F.col("f").isNull() & (F.col("below").isNotNull() | F.col("above").isNotNull()))
+    low = (F.col("above").isNull()) | (F.col("place") - F.col("below") <= F.col("above") - F.col("place"))
+    best = F.when(F.col("below").isNotNull() & low, F.col("below")).otherwise(F.col("above"))
+    return met.select("media_id", "shot_id", best.alias("frame_idx"), F.abs(best - F.col("place")).alias("off"))
 
 
 def best_per_shot(rows: DataFrame, most: int) -> DataFrame:

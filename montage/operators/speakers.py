@@ -27,12 +27,13 @@ def exported(segments: DataFrame) -> DataFrame:
 def summary(segments: DataFrame) -> DataFrame:
     """Per speaker: segments, seconds, mean, the first three texts, how many more, total as a clock."""
     length = F.col("end") - F.col("start")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("start", "seg_index", "text"))), lambda s: s["text"])
-    rows = segments.groupBy("media_id", "speaker").agg(
+    place = F.row_number().over(Window.partitionBy("media_id", "speaker").orderBy("start", "seg_index"))
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", "text")))), lambda s: s["text"])
+    rows = segments.withColumn("place", place).groupBy("media_id", "speaker").agg(
         F.count(F.lit(1)).alias("segments"), F.round(F.sum(length), 4).alias("seconds"), F.round(F.avg(length), 4).alias("mean_seconds"), texts.alias("texts")
     )
     return rows.select(
-        "media_id", "speaker", "segments", "seconds", "mean_seconds", F.array_join(F.slice("texts", 1, 3), " / ").alias("first_texts"),
+        "media_id", "speaker", "segments", "seconds", "mean_seconds", F.array_join("texts", " / ").alias("first_texts"),
         F.greatest(F.lit(0), F.col("segments") - 3).cast("long").alias("more"), clock(F.col("seconds")).alias("clock"),
     )
 

@@ -40,9 +40,10 @@ def _lines(*parts: Column) -> Column:
 def speaker_text(segments: DataFrame) -> DataFrame:
     """media_id, value: a block per speaker with up to three sample texts, then the totals."""
     length = F.col("end") - F.col("start")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("start", "seg_index", "text"))), lambda s: preview(s["text"]))
-    of = segments.groupBy("media_id", "speaker").agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("seconds"), texts.alias("texts"))
-    samples = F.transform(F.slice("texts", 1, 3), lambda t, i: F.concat(F.lit("    "), (i + 1).cast("string"), F.lit(". "), t))
+    place = F.row_number().over(Window.partitionBy("media_id", "speaker").orderBy("start", "seg_index"))
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", preview(F.col("text")).alias("text"))))), lambda s: s["text"])
+    of = segments.withColumn("place", place).groupBy("media_id", "speaker").agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("seconds"), texts.alias("texts"))
+    samples = F.transform("texts", lambda t, i: F.concat(F.lit("    "), (i + 1).cast("string"), F.lit(". "), t))
     block = _lines(
         F.concat(F.col("speaker"), F.lit(":")), F.format_string("  segments: %d", F.col("n")), F.concat(F.lit("  duration: "), clock(F.col("seconds"))),
         F.format_string("  mean: %.2f s", F.col("seconds") / F.col("n")), samples, F.when(F.col("n") > 3, F.format_string("    ... %d more", F.col("n") - 3)),
