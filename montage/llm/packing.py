@@ -37,6 +37,8 @@ CLOSING = 0
 DIMS, BITS = 3, 10
 HASHED = 4096
 _PROJECTION = np.random.Generator(np.random.PCG64(11)).normal(size=(HASHED, DIMS))
+#: Bytes of text that are tokenised at once (one longer text is alone).
+TEXT = 1 << 22
 #: Words a worker keeps the ids of.
 CACHE = 200_000
 
@@ -219,7 +221,7 @@ def pack_documents(
 
         for b in batches:
             _, offsets = utf8(b.column(1))
-            for i, j in spans(offsets):
+            for i, j in spans(offsets, TEXT):
                 doc_ids = b.column(0).slice(i, j - i).to_pylist()
                 for doc_id, ids in zip(doc_ids, known.ids(b.column(1).slice(i, j - i).to_pylist()), strict=True):
                     filler.add(doc_id, ids)
