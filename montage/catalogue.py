@@ -230,7 +230,7 @@ def density_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _clustered(spark, sf)[1]
 
 
-_CENTRES = f"""{_DENSITY}, x AS (SELECT cl.media_id, cluster_id, cl.frame_idx, CAST(unnest(clip) AS DOUBLE) AS x, generate_subscripts(clip, 1) AS i FROM cl JOIN f USING (media_id, frame_idx) WHERE cluster_id >= 0),
+_CENTRES = f"""{_DENSITY}, x AS (SELECT cl.media_id, cluster_id, cl.frame_idx, CAST(unnest(clip) AS DOUBLE) / sqrt(list_inner_product(clip::DOUBLE[], clip::DOUBLE[])) AS x, generate_subscripts(clip, 1) AS i FROM cl JOIN f USING (media_id, frame_idx) WHERE cluster_id >= 0),
 ce AS (SELECT media_id, cluster_id, i, avg(x) AS m FROM x GROUP BY ALL)"""
 
 
