@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents.
+
+Defined cases, in every stage: an empty table gives no rows; null texts count as empty; extra columns are kept, whatever
+their names, but for the last stage. quality judges repeated and empty texts as any other; line_dedup and mix keep every
+row; near_duplicates keeps rows without an id and empty texts, and one of rows equal in id and text; pack gives every row
+at least one piece, its closing id.
 """
 
 from __future__ import annotations
