@@ -17,7 +17,6 @@ document may be null or repeated; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator, Mapping
 from functools import partial
 
@@ -37,10 +36,8 @@ CLOSING = 0
 DIMS, BITS = 3, 10
 HASHED = 4096
 _PROJECTION = np.random.Generator(np.random.PCG64(11)).normal(size=(HASHED, DIMS))
-#: Bytes of text that are tokenised at once (one longer text is alone).
+#: Bytes of text that become Python strings at once (one longer text is alone).
 TEXT = 1 << 22
-#: Words a worker keeps the ids of.
-CACHE = 200_000
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -82,14 +79,8 @@ def curve_keys(texts: pa.Array) -> np.ndarray:
     return out
 
 
-class TokenIds(dict):
-    """Ids of whole texts; single words are looked up among those already seen.
-
-    A text is cut at its single blanks. No token of the vocabulary's pattern reaches over such a cut unless white space
-    stands next to the blank; texts with that are encoded whole.
-    """
-
-    _beside = re.compile(r" \s|\s ")
+class TokenIds:
+    """Ids of whole texts, straight from the encoder as arrays."""
 
     def __init__(self, ranks_path: str, added: Mapping[str, int]):
         import public_tokenizers
@@ -98,48 +89,11 @@ class TokenIds(dict):
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
-        self.encode = partial(encoding.encode, allowed_special="all") if added else encoding.encode_ordinary
-        # an added token with a blank inside must not be cut either
-        self._whole = re.compile("|".join([self._beside.pattern, *(re.escape(a) for a in added if " " in a)]))
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.new: list[list[int]] = []
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        self.new.append(self.encode(" " + word))
-        return at
-
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """For each text its ids and the closing id."""
-        if len(self) > CACHE:
-            self.forget()
-        plan, looked = [], []
-        for text in texts:
-            if self._whole.search(text):
-                plan.append((self.encode(text), 0))
-            else:
-                first, *rest = text.split(" ")
-                plan.append((self.encode(first), len(rest)))
-                looked += map(self.__getitem__, rest)
-        if self.new:
-            sizes = np.array([len(x) for x in self.new], np.int64)
-            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
-            self.size = np.concatenate((self.size, sizes))
-            self.flat = np.concatenate((self.flat, *(np.array(x, np.uint32) for x in self.new)))
-            self.new = []
-        w = np.array(looked, np.int64)
-        sizes = self.size[w]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        every = self.flat[np.repeat(self.start[w] - ends[:-1], sizes) + np.arange(ends[-1])]
-        at = 0
-        closing = np.array([CLOSING], np.uint32)
-        for first, n in plan:
-            yield np.concatenate((np.array(first, np.uint32), every[ends[at] : ends[at + n]], closing))
-            at += n
+        self.encode = partial(encoding.encode_to_numpy, allowed_special=set(added), disallowed_special=())
+
+    def ids(self, text: str) -> np.ndarray:
+        """The text's ids and the closing id."""
+        return np.append(self.encode(text), np.uint32(CLOSING))
 
 
 class _Filler:
@@ -187,7 +141,7 @@ _known: dict[tuple, TokenIds] = {}
 
 
 def token_ids(ranks_path: str, added: Mapping[str, int]) -> TokenIds:
-    """One per worker process: its words stay known from task to task."""
+    """One per worker process, kept from task to task."""
     name = (ranks_path, *sorted(added.items()))
     if name not in _known:
         _known[name] = TokenIds(ranks_path, added)
@@ -223,8 +177,8 @@ def pack_documents(
             _, offsets = utf8(b.column(1))
             for i, j in spans(offsets, TEXT):
                 doc_ids = b.column(0).slice(i, j - i).to_pylist()
-                for doc_id, ids in zip(doc_ids, known.ids(b.column(1).slice(i, j - i).to_pylist()), strict=True):
-                    filler.add(doc_id, ids)
+                for doc_id, text in zip(doc_ids, b.column(1).slice(i, j - i).to_pylist(), strict=True):
+                    filler.add(doc_id, known.ids(text))
                 if len(filler.out) >= 1000:
                     yield rows()
         filler.finish()
