@@ -1,7 +1,8 @@
 """Line dedup over overlapping three-line windows, with built-in functions only.
 
-A line is a unit; one of many words is cut into several: a unit ends at the first sentence end from its LEAST-th word on,
-and after MOST words at the latest. Units are compared trimmed, with white space collapsed and A-Z in lower case; blank
+A line is a unit; one of many words is cut into several: from its LEAST-th word on a unit ends at the first word that ends
+in one of CLOSERS, and after MOST words at the latest. The words decide, so that two texts with a passage in common soon
+cut it alike wherever it begins. Units are compared trimmed, with white space collapsed and A-Z in lower case; blank
 lines are passed over and always kept. Every run of three units is hashed (two hashes, 96 bits together). Windows found
 more than once have a first occurrence, the smallest (doc_id, text hash, unit); every later one covers its three units,
 overlapping covers merge, and covered units go, a line with its last unit. Each removed unit has an equal one earlier in
@@ -11,9 +12,8 @@ Shuffles: first the 64-bit hashes alone, counted with map-side combining, which
 filter of these (bloom.py) then lets few other windows through to the exact comparison, and the texts are shuffled once.
 A window that a third of the documents share is combined before its shuffle, and its join is one Spark can split.
 
-A repeated passage is found as far as it holds three whole units: cuts in two texts agree from the first sentence end
-that both have inside the passage, so some words at either end may stay, and a passage without sentence ends that starts
-inside a line at another word count may stay whole.
+A repeated passage is found as far as it holds three whole units: cuts in two texts agree from the first closing word at
+which both cut, so some words at either end may stay, and so may a short passage whose cuts meet too late.
 
 Defined cases: null text stays null and empty text stays empty; a text of under three units has no window and is left
 alone; rows equal in doc_id and text count as one occurrence and are treated alike; row order is not kept; other columns
@@ -29,13 +29,17 @@ from .bloom import build
 from .common import ascii_lower, as_text, free, quoted, settle
 
 WINDOW = 3
-#: Words that a unit holds before a sentence end may close it, and at most.
+#: Words that a unit holds before a closing word may end it, and at most.
 LEAST, MOST = 6, 15
+#: Last characters of closing words: punctuation and two frequent last letters, so that the cut after MOST words is rare.
+CLOSERS = ".!?,;:enEN"
 #: White space inside a line.
 _GAP = r"[\x20\x09\x0B-\x0D]"
+#: White space that is not one plain blank.
+_UNEVEN = rf"[\x09\x0B-\x0D]{_GAP}*|\x20{_GAP}+"
 _WORD = r"[^\x20\x09-\x0D]"
 #: A unit with the white space about it; a blank line matches as a whole.
-UNIT = rf"{_GAP}*(?:{_WORD}+{_GAP}+){{0,{LEAST - 1}}}(?:{_WORD}*[^\x20\x09-\x0D.!?]{_GAP}+){{0,{MOST - LEAST}}}{_WORD}+{_GAP}*"
+UNIT = rf"{_GAP}*(?:{_WORD}+{_GAP}+){{0,{LEAST - 1}}}(?:{_WORD}*[^\x20\x09-\x0D{CLOSERS}]{_GAP}+){{0,{MOST - LEAST}}}{_WORD}+{_GAP}*"
 _ANY = rf"{UNIT}|^{_GAP}*$"
 
 
@@ -46,7 +50,7 @@ def _units(text: Column) -> Column:
 
 def _filled(text: Column) -> Column:
     """Array of (a, b, i): two hashes and the place of each unit that has a word."""
-    plain = ascii_lower(F.regexp_replace(text, f"{_GAP}+", " "))
+    plain = ascii_lower(F.regexp_replace(text, _UNEVEN, " "))
     placed = F.transform(_units(plain), lambda u, i: F.struct(F.trim(u).alias("l"), i.alias("i")))
     return F.transform(F.filter(placed, lambda s: s["l"] != ""), lambda s: F.struct(F.xxhash64(s["l"]).alias("a"), F.hash(s["l"]).alias("b"), s["i"].alias("i")))
 

@@ -183,7 +183,7 @@ def brute_lines(rows: list[tuple]) -> dict:
         out, begun, n = [], 0, 0
         for m in re.finditer(rf"[^{blank}]+[{blank}]*", line):
             n += 1
-            ends = m[0].rstrip(blank)[-1] in ".!?" and n >= line_dedup.LEAST
+            ends = m[0].rstrip(blank)[-1] in line_dedup.CLOSERS and n >= line_dedup.LEAST
             if ends or n == line_dedup.MOST:
                 out.append(line[begun : m.end()])
                 begun, n = m.end(), 0
@@ -219,6 +219,19 @@ def test_line_dedup_against_brute_force(spark, small):
     assert got[10_000] == passage and "p4w4" not in got[10_001] + got[10_002].lower() and "Own words come first" in got[10_001]
 
 
+def test_line_dedup_of_passages_without_sentence_ends(spark):
+    """Passages of 60 words at other word counts inside lines: most later ones lose all but their ends (51 of these 60)."""
+    rng = np.random.default_rng(8)
+    drawn = lambda n: [*map("".join, rng.choice(list("abdeginorstu"), (n, 4)))]
+    docs, passages = [], [drawn(60) for _ in range(60)]
+    for k, p in enumerate(passages):
+        docs += [(2 * k, " ".join(drawn(3 + k % 9) + p + drawn(20))), (2 * k + 1, " ".join(drawn(12 + k % 11) + p + drawn(9)))]
+    got = {r["doc_id"]: r["text"].split() for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    left = [sum(w in set(got[2 * k + 1]) for w in p) for k, p in enumerate(passages)]
+    assert all(" ".join(got[2 * k]) == docs[2 * k][1] for k in range(60)) and all(len(got[2 * k + 1]) >= 12 + k % 11 for k in range(60))
+    assert sum(n <= 35 for n in left) >= 48, left
+
+
 def test_line_dedup(spark, odd):
     out = {(r["doc_id"], r["text"]) for r in line_dedup.line_dedup(odd).collect()}
     assert (11, "a\nb\nc\nd") in out and (12, "x\ny") in out and (0, None) in out and (1, "") in out
