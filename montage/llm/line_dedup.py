@@ -3,7 +3,7 @@
 A line is a unit; one of many words is cut into several: from its LEAST-th word on a unit ends at the first word that ends
 in one of CLOSERS, and after MOST words at the latest. The words decide, so that two texts with a passage in common soon
 cut it alike wherever it begins. Units are compared trimmed, with white space collapsed and A-Z in lower case; blank
-lines are passed over and always kept. Every run of three units is hashed (two hashes, 96 bits together). Windows found
+lines are passed over and always kept. Every run of three units is hashed (two hashes of the units' own, 96 bits together). Windows found
 more than once have a first occurrence, the smallest (doc_id, text hash, unit); every later one covers its three units,
 overlapping covers merge, and covered units go, a line with its last unit. Each removed unit has an equal one earlier in
 that order, so no content is lost.
@@ -49,26 +49,25 @@ def _units(text: Column) -> Column:
 
 
 def _filled(text: Column) -> Column:
-    """Array of (a, b, i): two hashes and the place of each unit that has a word."""
+    """Array of the hashes of the units that have a word."""
     plain = ascii_lower(F.regexp_replace(text, _UNEVEN, " "))
-    placed = F.transform(_units(plain), lambda u, i: F.struct(F.trim(u).alias("l"), i.alias("i")))
-    return F.transform(F.filter(placed, lambda s: s["l"] != ""), lambda s: F.struct(F.xxhash64(s["l"]).alias("a"), F.hash(s["l"]).alias("b"), s["i"].alias("i")))
+    return F.transform(F.filter(F.transform(_units(plain), lambda u: F.trim(u)), lambda u: u != ""), lambda u: F.xxhash64(u))
 
 
 def _windows(filled: Column, made) -> Column:
-    """made(filled, k) for each window of three, k being the place of its first unit among the filled ones."""
+    """made(window, k) for each window of three, k being the place of its first unit among the filled ones."""
     some = lambda v: F.when(F.size(v) >= WINDOW, F.sequence(F.lit(0), F.size(v) - WINDOW))
     # transform over a one-element array binds the units once for all windows
-    return F.get(F.transform(F.array(filled), lambda v: F.transform(some(v), lambda k: made(v, k))), F.lit(0))
+    cut = F.get(F.transform(F.array(filled), lambda v: F.transform(some(v), lambda k: F.slice(v, k + 1, WINDOW))), F.lit(0))
+    return F.transform(cut, made)
 
 
-def _mark(v: Column, k: Column) -> Column:
-    return F.xxhash64(*(F.get(v, k + d)["a"] for d in range(WINDOW)))
+def _mark(window: Column, k: Column) -> Column:
+    return F.xxhash64(window)
 
 
-def _spot(v: Column, k: Column) -> Column:
-    second = F.hash(*(F.get(v, k + d)["b"] for d in range(WINDOW)))
-    return F.struct(_mark(v, k).alias("w1"), second.alias("w2"), F.array(*(F.get(v, k + d)["i"] for d in range(WINDOW))).alias("covered"))
+def _spot(window: Column, k: Column) -> Column:
+    return F.struct(F.xxhash64(window).alias("w1"), F.hash(window).alias("w2"), k.alias("k"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
@@ -82,15 +81,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = docs.select(F.explode(_windows(_filled(text), _mark)).alias("w1")).groupBy("w1").agg(F.count(F.lit(1)).alias("n"))
     often = settle(marks.filter("n > 1").select("w1"))
     spots = docs.select(quoted(id_col).alias("id"), row_key.alias("key"), F.explode(_windows(_filled(text), _spot)).alias("w"))
-    spots = build(often, "w1", often.count()).maybe(spots.select("id", "key", "w.w1", "w.w2", "w.covered"), F.col("w1"), "maybe").filter("maybe").drop("maybe")
-    at = F.struct("id", "key", F.col("covered")[0].alias("unit"))
+    spots = build(often, "w1", often.count()).maybe(spots.select("id", "key", "w.w1", "w.w2", "w.k"), F.col("w1"), "maybe").filter("maybe").drop("maybe")
+    at = F.struct("id", "key", "k")
     spots = settle(spots)
     repeated = spots.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(F.col("first") != F.col("last"))
     # written, so that a window in very many texts is a large partition of a plain join, which Spark splits
     later = (
         spots.join(settle(repeated.select("w1", "w2", "first")), ["w1", "w2"])
         .filter(at != F.col("first"))
-        .select("id", "key", F.explode("covered").alias("unit"))
+        .select("id", "key", F.explode(F.sequence("k", F.col("k") + WINDOW - 1)).alias("unit"))
     )
     covered = later.groupBy(F.col("id").alias(gone_id), F.col("key").alias(gone)).agg(F.collect_set("unit").alias(f"{gone}l"))
 
@@ -105,11 +104,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _without(text: Column, gone: Column) -> Column:
-    """The text without the units at the places `gone`; a hash-based difference of places keeps this linear."""
+    """The text without the filled units at the places `gone`; a hash-based difference of places keeps this linear."""
     placed = F.flatten(F.transform(F.split(text, "\n"), lambda line, i: F.transform(F.regexp_extract_all(line, F.lit(_ANY), F.lit(0)), lambda u: F.struct(u.alias("u"), i.alias("line")))))
 
     def joined(v: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(v) - 1), gone)
+        every = F.sequence(F.lit(0), F.size(v) - 1)
+        filled = F.transform(F.array(F.filter(every, lambda i: F.get(v, i)["u"].rlike(_WORD))), lambda f: F.transform(gone, lambda k: F.get(f, k)))
+        left = F.array_except(every, F.get(filled, F.lit(0)))
         pieces = F.transform(F.array(left), lambda k: F.transform(k, lambda i, n: F.concat(F.when((n > 0) & (F.get(v, i)["line"] != F.get(v, F.get(k, n - 1))["line"]), "\n").otherwise(""), F.get(v, i)["u"])))
         return F.array_join(F.get(pieces, F.lit(0)), "")
 
