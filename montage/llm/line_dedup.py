@@ -8,7 +8,7 @@ more than once have a first occurrence, the smallest (doc_id, text hash, unit);
 overlapping covers merge, and covered units go, a line with its last unit. Each removed unit has an equal one earlier in
 that order, so no content is lost.
 
-Shuffles: first the 64-bit hashes alone, counted with map-side combining, which gives the repeated ones; a blocked Bloom
+Shuffles: the hashes of the units are written once, a sixth of the text's size; first the 64-bit hashes of windows alone, counted with map-side combining, which gives the repeated ones; a blocked Bloom
 filter of these (bloom.py) then lets few other windows through to the exact comparison, and the texts are shuffled once.
 A window that a third of the documents share is combined before its shuffle, and its join is one Spark can split.
 
@@ -41,17 +41,14 @@ _WORD = r"[^\x20\x09-\x0D]"
 #: A unit with the white space about it; a blank line matches as a whole.
 UNIT = rf"{_GAP}*(?:{_WORD}+{_GAP}+){{0,{LEAST - 1}}}(?:{_WORD}*[^\x20\x09-\x0D{CLOSERS}]{_GAP}+){{0,{MOST - LEAST}}}{_WORD}+{_GAP}*"
 _ANY = rf"{UNIT}|^{_GAP}*$"
-
-
-def _units(text: Column) -> Column:
-    """The text's units as strings, in order; joined with the line ends between them they are the text."""
-    return F.flatten(F.transform(F.split(text, "\n"), lambda line: F.regexp_extract_all(line, F.lit(_ANY), F.lit(0))))
+#: The same units over a whole text with even gaps; group 1 is the unit trimmed. Words are never given back in part.
+_TRIMMED = rf"{_GAP}*+((?:{_WORD}++{_GAP}++){{0,{LEAST - 1}}}(?:{_WORD}++(?<![{CLOSERS}]){_GAP}++){{0,{MOST - LEAST}}}{_WORD}++)"
 
 
 def _filled(text: Column) -> Column:
     """Array of the hashes of the units that have a word."""
-    plain = ascii_lower(F.regexp_replace(text, _UNEVEN, " "))
-    return F.transform(F.filter(F.transform(_units(plain), lambda u: F.trim(u)), lambda u: u != ""), lambda u: F.xxhash64(u))
+    plain = F.regexp_replace(ascii_lower(text), _UNEVEN, " ")
+    return F.transform(F.regexp_extract_all(plain, F.lit(_TRIMMED), F.lit(1)), lambda u: F.xxhash64(u))
 
 
 def _windows(filled: Column, made) -> Column:
@@ -78,9 +75,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, gone, gone_id, row_id = free(docs, "key", "gone", "gone_id", "row_id")
     text = as_text(text_col)
     row_key = F.xxhash64(text)
-    marks = docs.select(F.explode(_windows(_filled(text), _mark)).alias("w1")).groupBy("w1").agg(F.count(F.lit(1)).alias("n"))
+    # written, so that every text is cut once; some 8 bytes a unit
+    units = settle(docs.select(quoted(id_col).alias("id"), row_key.alias("key"), _filled(text).alias("filled")))
+    marks = units.select(F.explode(_windows(F.col("filled"), _mark)).alias("w1")).groupBy("w1").agg(F.count(F.lit(1)).alias("n"))
     often = settle(marks.filter("n > 1").select("w1"))
-    spots = docs.select(quoted(id_col).alias("id"), row_key.alias("key"), F.explode(_windows(_filled(text), _spot)).alias("w"))
+    spots = units.select("id", "key", F.explode(_windows(F.col("filled"), _spot)).alias("w"))
     spots = build(often, "w1", often.count()).maybe(spots.select("id", "key", "w.w1", "w.w2", "w.k"), F.col("w1"), "maybe").filter("maybe").drop("maybe")
     at = F.struct("id", "key", "k")
     spots = settle(spots)
