@@ -457,6 +457,14 @@ def keyframe_summary(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.keyframe_text(keyframes.described(_keyframes(spark, sf)))
 
 
-@query()
+_CLOCK = "printf('%02d:%05.2f', CAST(floor(seconds / 60) AS INTEGER), seconds % 60)"
+
+
+@query(f"""WITH {_SEGMENTS}, a AS (SELECT media_id, speaker, count(*) AS n, round(sum("end" - start), 4) AS seconds, list(text ORDER BY start, seg_index) AS t FROM g GROUP BY ALL),
+b AS (SELECT *, concat_ws(chr(10), speaker || ':', '  segments: ' || n, '  duration: ' || {_CLOCK}, '  mean: ' || CAST(CAST(round(seconds / n, 4) AS DECIMAL(18, 4)) AS DECIMAL(18, 2)) || ' s',
+  array_to_string(list_transform(t[1:3], lambda x, i: '    ' || i || '. ' || CASE WHEN length(x) > 50 THEN x[1:50] || '...' ELSE x END), chr(10)), CASE WHEN n > 3 THEN '    ... ' || (n - 3) || ' more' END) AS block FROM a),
+m AS (SELECT media_id, count(*) AS k, sum(n) AS n, round(sum(seconds), 4) AS seconds, string_agg(block, chr(10) || chr(10) ORDER BY speaker) AS blocks FROM b GROUP BY media_id)
+SELECT media_id, concat_ws(chr(10), blocks || chr(10), '{sinks.RULE}', 'speakers: ' || k, 'segments: ' || n, 'duration: ' || {_CLOCK},
+  'segments per speaker: ' || CAST(CAST(round(n / k, 4) AS DECIMAL(18, 4)) AS DECIMAL(18, 1))) AS value FROM m""")
 def speaker_text(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.speaker_text(segments(spark, sf))

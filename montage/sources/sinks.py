@@ -42,14 +42,14 @@ def speaker_text(segments: DataFrame) -> DataFrame:
     length = F.col("end") - F.col("start")
     place = F.row_number().over(Window.partitionBy("media_id", "speaker").orderBy("start", "seg_index"))
     texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", preview(F.col("text")).alias("text"))))), lambda s: s["text"])
-    of = segments.withColumn("place", place).groupBy("media_id", "speaker").agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("seconds"), texts.alias("texts"))
+    of = segments.withColumn("place", place).groupBy("media_id", "speaker").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(length), 4).alias("seconds"), texts.alias("texts"))
     samples = F.transform("texts", lambda t, i: F.concat(F.lit("    "), (i + 1).cast("string"), F.lit(". "), t))
     block = _lines(
         F.concat(F.col("speaker"), F.lit(":")), F.format_string("  segments: %d", F.col("n")), F.concat(F.lit("  duration: "), clock(F.col("seconds"))),
-        F.format_string("  mean: %.2f s", F.col("seconds") / F.col("n")), samples, F.when(F.col("n") > 3, F.format_string("    ... %d more", F.col("n") - 3)),
+        F.format_string("  mean: %.2f s", F.round(F.col("seconds") / F.col("n"), 4)), samples, F.when(F.col("n") > 3, F.format_string("    ... %d more", F.col("n") - 3)),
     )
     whole = of.withColumn("block", block).groupBy("media_id").agg(
-        F.count(F.lit(1)).alias("speakers"), F.sum("n").alias("n"), F.sum("seconds").alias("seconds"), F.array_sort(F.collect_list(F.struct("speaker", "block"))).alias("blocks")
+        F.count(F.lit(1)).alias("speakers"), F.sum("n").alias("n"), F.round(F.sum("seconds"), 4).alias("seconds"), F.array_sort(F.collect_list(F.struct("speaker", "block"))).alias("blocks")
     )
     total = _lines(
         F.lit(RULE), F.format_string("speakers: %d", F.col("speakers")), F.format_string("segments: %d", F.col("n")), F.concat(F.lit("duration: "), clock(F.col("seconds"))),
