@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from montage.llm import license_scan, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, queries, secret_scan, topk_search, url_filter
+from montage.llm.common import ascii_lower
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PROSE = "the quick brown fox jumps over the lazy dog and runs away from it all day long"
@@ -544,3 +545,18 @@ def test_stages_on_odd_rows(spark, small, odd, name, empty):
         assert set(ids) == {r["doc_id"] for r in docs.collect()}
     else:
         assert set(ids) <= {r["doc_id"] for r in docs.collect()}
+
+
+def test_ascii_lower_changes_no_other_letter(spark):
+    texts = ["ABCxyz", "", None, "É AB", "K Kelvin", "İI", "A\U0001f600Z", "ẞ STRASSE", "1[@`{Z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", ascii_lower(F.col("text")).alias("low")).collect()
+    assert {(r["text"], r["low"]) for r in rows} == {(t, None if t is None else t.translate(LOW)) for t in texts}
+
+
+def test_units_are_found_alike_over_whole_texts_and_by_line(spark):
+    texts = [" a b c\n\n d e f g h ending i\n", "\t\n \n", "", "x" * 5000, " " * 5000 + "y", "one\x0btwo  three\r\n" * 40, "no closer at all to say " * 30 + "\nA. B! C? " * 20]
+    plain = F.regexp_replace("text", line_dedup._UNEVEN, " ")
+    lines = F.flatten(F.transform(F.split(plain, "\n"), lambda x: F.regexp_extract_all(x, F.lit(line_dedup.UNIT), F.lit(0))))
+    whole = F.regexp_extract_all(plain, F.lit(line_dedup._TRIMMED), F.lit(1))
+    for r in spark.createDataFrame([(t,) for t in texts], "text string").select(F.transform(lines, lambda u: F.trim(u)).alias("a"), whole.alias("b")).collect():
+        assert r["a"] == r["b"]
