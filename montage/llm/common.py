@@ -76,3 +76,23 @@ def ship(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key that holds at least this part of all rows is hot: there are at most as many such keys as its inverse.
+HOT_PART = 1 / 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """`rows` with the columns of `groups`, one row per key; `count` is the number of rows that share the key.
+
+    The rows of hot keys meet their groups by broadcast (1000 groups at most) and are not shuffled; the others are joined
+    by key. Null keys meet each other. Both tables are read twice, so they should be settled.
+    """
+    (other,) = free(rows, "other")
+    total = groups.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    named = groups.withColumnRenamed(key, other)
+    hot = named.filter(F.col(count) >= max(2, total * HOT_PART))
+    met = F.col(key).eqNullSafe(F.col(other))
+    dense = rows.join(F.broadcast(hot), met).drop(other)
+    rest = rows.join(F.broadcast(hot.select(other)), met, "left_anti").join(named.filter(F.col(count) < max(2, total * HOT_PART)), met).drop(other)
+    return dense.unionByName(rest)

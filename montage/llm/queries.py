@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import exact_dedup, lexical_search, vector_codes
 from . import license_scan as licenses
 from . import line_dedup as lines
 from . import mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, topk_search, url_filter
@@ -96,6 +97,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier half of the ids is history, the other half arrives; rows of both halves are judged."""
+    docs = read(spark, sf_dir, "documents")
+    judged = exact_dedup.exact_dedup(docs, exact_dedup.earlier_half(docs))
+    return judged.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,7 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_ngram_join, op3_topk_search, op4_packing, op5_line_dedup, op6_quality_classifier, op7_mixing,
-        op8_license_scan, op9_quality_rules, op10_secret_scan, pipeline,
+        op8_license_scan, op9_quality_rules, op10_secret_scan, op11_exact_dedup, op12_lexical_search, op13_vector_codes, pipeline,
     )
 }
 
@@ -250,10 +266,80 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {checks} AS kept FROM r"""
 
 
+_DEDUP_SQL = r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS plain FROM documents
+), k AS (
+  SELECT doc_id, plain, first_value(doc_id) OVER (PARTITION BY plain ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size FROM t
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM k"""
+
+_SEARCH_SQL = f"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term
+), size AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id
+), total AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM size
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, n_docs
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term
+), scored AS (
+  SELECT item_id, tf.doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN tf ON asked.term = tf.term JOIN size ON size.doc_id = tf.doc_id JOIN weight ON weight.term = tf.term, total GROUP BY item_id, tf.doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+def _codes_sql() -> str:
+    parts, entries, scale = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.SCALE
+    steps = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT r, i AS part, e[i * (len(e) // {parts}) + 1 : (i + 1) * (len(e) // {parts})] AS x FROM v, range({parts}) AS t(i)
+), b0 AS MATERIALIZED (
+  SELECT part, r - 1 AS entry, x FROM p WHERE r <= {entries}
+)"""]
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f""", a{k} AS MATERIALIZED (
+  SELECT r, part, min({{'d': d, 'entry': entry}}) AS best FROM (
+    SELECT r, p.part, entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT AS d FROM p JOIN b{k} b ON p.part = b.part
+  ) GROUP BY r, part
+)""")
+        if k < vector_codes.ROUNDS:
+            steps.append(f""", b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+    SELECT part, entry, list(m ORDER BY i) AS x FROM (
+      SELECT part, entry, i, CAST(floor(sum(c) / count(*)) AS BIGINT) AS m FROM (
+        SELECT a.part, a.best.entry AS entry, unnest(range(len(x))) AS i, unnest(x) AS c FROM a{k} a JOIN p ON a.r = p.r AND a.part = p.part
+      ) GROUP BY part, entry, i) GROUP BY part, entry
+  ) m ON b.part = m.part AND b.entry = m.entry
+)""")
+    last = vector_codes.ROUNDS
+    steps.append(f""", coded AS (
+  SELECT r, string_agg(format('{{:02x}}', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{last} GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{last}) AS codebooks_sha256
+FROM coded JOIN v ON coded.r = v.r""")
+    return "".join(steps)
+
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": _url_sql(),
     "op3_topk_search": _TOPK_SQL,
     "op5_line_dedup": _LINES_SQL,
     "op8_license_scan": _license_sql(),
     "op9_quality_rules": _rules_sql(),
+    "op11_exact_dedup": _DEDUP_SQL,
+    "op12_lexical_search": _SEARCH_SQL,
+    "op13_vector_codes": _codes_sql(),
 }

@@ -67,12 +67,19 @@ def spans(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, n + 1 offsets of each text's words)."""
+def separators(kept: str) -> np.ndarray:
+    """Bytes that end a word: all ASCII ones but those of `kept`; what is beyond ASCII belongs to words."""
+    out = np.arange(256) < 128
+    out[[ord(c) for c in kept]] = False
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, n + 1 offsets of each text's words); `blank` marks the bytes between words."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~blank[data]
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
     first = offsets[:-1][offsets[:-1] < n]

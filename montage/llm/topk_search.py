@@ -36,10 +36,10 @@ PIVOTS = 48
 SCALE = 1024
 
 
-def scaled(vector: Column) -> Column:
-    """floor(1024 * x) of each component as long; null for vectors that take no part."""
+def scaled(vector: Column, scale: int = SCALE) -> Column:
+    """floor(scale * x) of each component as long; null for vectors that take no part."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
-    return F.when(vector.isNotNull() & fine, F.transform(vector, lambda x: F.floor(SCALE * x.cast("double")).cast("long")))
+    return F.when(vector.isNotNull() & fine, F.transform(vector, lambda x: F.floor(scale * x.cast("double")).cast("long")))
 
 
 def _packed(rows: DataFrame, count: int, size: int, pivots: dict[int, np.ndarray]) -> DataFrame:
