@@ -112,7 +112,7 @@ def _bytes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _words(digests: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(digests).view("<u8").reshape(len(digests), -1)
+    return np.ascontiguousarray(digests).view("<u8").reshape(len(digests), DIGEST // 8)
 
 
 # ---- index and lookup -----------------------------------------------------------------------------------------------
@@ -184,7 +184,7 @@ def looked_up(arrivals: DataFrame, index: DigestIndex) -> DataFrame:
             levels = Levels(sizes, np.unpackbits(np.frombuffer(row["bits"][0].as_py(), np.uint8), count=int(sizes.sum())))
             held = pa.array([d.tobytes() for d in digests], pa.binary())
             slots = pa.table([held, *(row[name].combine_chunks().flatten().cast(new[name].type) for name in LISTS)], names=["digest", *LISTS])
-            hit, at = member_slots(_bytes(new["digest"]) if len(new) else np.zeros((0, DIGEST), np.uint8), levels, digests)
+            hit, at = member_slots(_bytes(new["digest"]), levels, digests)
         out = [new.filter(pa.array(~hit)).append_column("member", pa.array(np.zeros((~hit).sum(), bool)))]
         if slots is not None:
             out.append(_overtaken(slots, new.filter(pa.array(hit)), at[hit]))
