@@ -5,14 +5,22 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder and read from there; a local folder only where none is configured and all work is local."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local one only where none is configured and all work is local."""
+    sc = spark.sparkContext
+    if (named := sc.getConf().get("spark.checkpoint.dir")) is not None:
+        return named
+    if sc.getCheckpointDir() is None:
         if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
