@@ -3,9 +3,11 @@
 Words are runs of digits, ASCII letters (A-Z in lower case) and all non-ASCII characters. Each template belongs to the
 smallest length class that holds its words; the blocks of class L are the windows of 2 * L words that start at every
 L-th word of a text, across its lines, so that any passage of up to L + 1 words stands whole in one of them. A template
-is found in a block of its class if the block holds at least `threshold` of the template's distinct words and each of
-its telling phrases, word after word: the words that set it apart from its relatives may not be missing. The join is
-exact:
+is found in every block of its class that holds at least `threshold` of the template's distinct words; the names of
+licenses, a few common words each, are found only where these stand one after the other (`exact`). What is found is
+reported; telling phrases, the words that set a template apart from its relatives, choose between the templates of one
+block: those whose phrases all stand there give the labels, and where none's do, those that the block holds most of. The
+join is exact:
 
 1. one pass over each text counts its words and keeps the template words that it holds; only texts that hold enough
    words of some template keep the places of these words (length filter);
@@ -13,7 +15,7 @@ exact:
 3. a template of n words that needs m of them must share one of its n - m + 1 rarest with a block (prefix filter);
 4. a block must hold m template words, and at a shared word at place j of its own ordered words at least m must remain
    in both (length and positional filters);
-5. pairs that are left are verified by the size of the intersection and the telling phrases.
+5. pairs that are left are verified by the size of the intersection, those of names by their phrase too.
 
 Built-in functions only. The template index is broadcast: its size is that of the list of templates. What the first pass
 finds is written once, without texts; matches are aggregated per document before they join it.
@@ -45,15 +47,21 @@ CLASSES = (8, 16, 32, 64)
 
 @dataclass(frozen=True)
 class Template:
-    """`telling` phrases must stand in a block, not counting places where one of `unless` continues them."""
+    """`telling` phrases tell it from its relatives, not counting places where one of `unless` continues them; `exact` needs them."""
 
     text: str
     label: str
     telling: tuple[str, ...]
     unless: tuple[str, ...] = ()
+    exact: bool = False
 
 
-# Usual wordings of license notices and grants.
+def name(text: str, label: str, *unless: str) -> Template:
+    """The name of a license: found where its words stand one after the other."""
+    return Template(text, label, (text,), unless, True)
+
+
+# Usual wordings of license notices and grants, names and identifiers, and whole texts.
 TEMPLATES = (
     Template("released under the mit license", "mit", ("mit license",)),
     Template("licensed under the mit license", "mit", ("mit license",)),
@@ -89,6 +97,55 @@ TEMPLATES = (
         "bsd", ("redistribution and use in source and binary forms",),
     ),
     Template("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2", ("mozilla public license v 2 0",)),
+    Template("this is free and unencumbered software released into the public domain", "unlicense", ("unencumbered software released into the public domain",)),
+    # names
+    name("the mit license", "mit"), name("mit license", "mit"), name("apache license 2 0", "apache-2"), name("apache license version 2 0", "apache-2"),
+    name("gnu general public license v2 0", "gpl-2"), name("gnu general public license v3 0", "gpl-3"), name("gnu general public license v3", "gpl-3"),
+    name("gnu lesser general public license v2 1", "lgpl-2.1"), name("gnu lesser general public license v3 0", "lgpl-3"), name("gnu affero general public license v3 0", "agpl-3"),
+    name("cc0 1 0", "cc0"), name("creative commons zero v1 0", "cc0"), name("creative commons attribution 4 0", "cc-by"), name("creative commons attribution sharealike 4 0", "cc-by-sa"),
+    name("creative commons attribution noderivatives 4 0", "cc-by-nd"), name("creative commons attribution noncommercial 4 0", "cc-by-nc"),
+    name("creative commons attribution noncommercial sharealike 4 0", "cc-by-nc-sa"), name("creative commons attribution noncommercial noderivatives 4 0", "cc-by-nc-nd"),
+    name("mozilla public license 2 0", "mpl-2"), name("bsd 2 clause license", "bsd"), name("bsd 3 clause license", "bsd"), name("isc license", "isc"), name("the unlicense", "unlicense"),
+    # identifiers
+    name("spdx license identifier mit", "mit"), name("spdx license identifier apache 2 0", "apache-2"), name("spdx license identifier gpl 2 0", "gpl-2"), name("spdx license identifier gpl 3 0", "gpl-3"),
+    name("spdx license identifier lgpl 2 1", "lgpl-2.1"), name("spdx license identifier lgpl 3 0", "lgpl-3"), name("spdx license identifier agpl 3 0", "agpl-3"),
+    name("spdx license identifier bsd 2 clause", "bsd"), name("spdx license identifier bsd 3 clause", "bsd"), name("spdx license identifier isc", "isc"), name("spdx license identifier mpl 2 0", "mpl-2"),
+    name("spdx license identifier cc0 1 0", "cc0"), name("spdx license identifier unlicense", "unlicense"), name("spdx license identifier cc by 4 0", "cc-by"),
+    name("spdx license identifier cc by sa 4 0", "cc-by-sa"), name("spdx license identifier cc by nc 4 0", "cc-by-nc"),
+    # whole texts
+    Template(
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
+        "to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is "
+        "provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no "
+        "event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection "
+        "with the software or the use or other dealings in the software",
+        "mit", ("permission is hereby granted", "free of charge"),
+    ),
+    Template(
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice "
+        "appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in "
+        "no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of "
+        "contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "isc", ("with or without fee is hereby granted",),
+    ),
+    Template(
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the "
+        "above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+        "following disclaimer in the documentation and or other materials provided with the distribution",
+        "bsd", ("redistribution and use in source and binary forms",),
+    ),
+    Template(
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as "
+        "a compiled binary for any purpose commercial or non commercial and by any means",
+        "unlicense", ("unencumbered software released into the public domain",),
+    ),
+    Template(
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org "
+        "licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of "
+        "any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "apache-2", ("apache license version 2 0", "except in compliance with the license"),
+    ),
 )
 
 
@@ -132,6 +189,7 @@ class _Form:
     length: int
     telling: tuple[str, ...]
     unless: str
+    exact: bool
 
 
 def forms(templates: Sequence[Template], threshold: float) -> list[_Form]:
@@ -142,7 +200,7 @@ def forms(templates: Sequence[Template], threshold: float) -> list[_Form]:
         if every:
             unless = "|".join(f" {p} {u} " for p in t.telling for u in t.unless)
             distinct = tuple(sorted(set(every)))
-            out.append(_Form(t.label, distinct, needed(len(distinct), threshold), class_of(len(every)), tuple(f" {p} " for p in t.telling), unless))
+            out.append(_Form(t.label, distinct, needed(len(distinct), threshold), class_of(len(every)), tuple(f" {p} " for p in t.telling), unless, t.exact))
     return out
 
 
@@ -182,16 +240,16 @@ def word_order(scanned: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
 
 
 def template_blocks(scanned: DataFrame, made: list[_Form]) -> DataFrame:
-    """Every (block, template) pair that is found: id, key, length (class), block, template, label, containment."""
+    """Every (block, template) pair that is found: id, key, length (class), block, template, label, containment, told (its phrases stand)."""
     vocabulary = sorted({w for f in made for w in f.words})
     rank = word_order(scanned, vocabulary)
     index, full = [], []
     for t, f in enumerate(made):
-        full.append((t, f.length, f.label, list(f.words), f.m, list(f.telling), f.unless))
+        full.append((t, f.length, f.label, list(f.words), f.m, list(f.telling), f.unless, f.exact))
         index += [(w, f.length, t, p) for p, w in enumerate(sorted(f.words, key=rank.__getitem__)[: len(f.words) - f.m + 1])]
     spark = scanned.sparkSession
     prefix = F.broadcast(spark.createDataFrame(index, "word string, length int, template int, place int"))
-    known = F.broadcast(spark.createDataFrame(full, "template int, of int, label string, template_words array<string>, m int, telling array<string>, unless string"))
+    known = F.broadcast(spark.createDataFrame(full, "template int, of int, label string, template_words array<string>, m int, telling array<string>, unless string, exact boolean"))
     ranks = F.create_map(*(F.lit(x) for w, r in rank.items() for x in (w, r)))
 
     rows = scanned.filter(F.col("spots").isNotNull()).select("id", "key", "spots").dropDuplicates(["id", "key"])
@@ -211,8 +269,18 @@ def template_blocks(scanned: DataFrame, made: list[_Form]) -> DataFrame:
     overlap = F.size(F.array_intersect("block_words", "template_words"))
     plain = F.when(F.col("unless") == "", F.col("line")).otherwise(F.regexp_replace("line", F.col("unless"), F.lit(" | ")))
     tells = F.forall("telling", lambda p: F.contains(plain, p))
-    found = pairs.filter(first & (overlap >= F.col("m")) & tells)
-    return found.select("id", "key", "length", "block", "template", "label", (overlap / F.size("template_words")).alias("containment"))
+    found = pairs.filter(first & (overlap >= F.col("m"))).withColumn("told", tells).filter(F.col("told") | ~F.col("exact"))
+    return found.select("id", "key", "length", "block", "template", "label", (overlap / F.size("template_words")).alias("containment"), "told")
+
+
+def block_labels(found: DataFrame) -> DataFrame:
+    """id, key, length, block, label, containment: of the templates found in a block those that name it.
+
+    Those whose telling phrases stand there, or where there are none such, those with the largest containment.
+    """
+    rank = F.when(F.col("told"), 2.0).otherwise(F.col("containment"))
+    best = found.groupBy("id", "key", "length", "block").agg(F.max(rank).alias("best"), F.collect_set(F.struct(rank.alias("rank"), "label", "containment")).alias("s"))
+    return best.select("id", "key", "length", "block", F.explode(F.filter("s", lambda x: x["rank"] == F.col("best"))).alias("s")).select("id", "key", "length", "block", "s.label", "s.containment")
 
 
 def license_scan(
@@ -226,12 +294,12 @@ def license_scan(
     """Per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks.
 
     n_base counts the phrase places, first_word and last_word are their smallest and largest word number. labels are
-    those of phrases and templates, distinct, sorted, joined by commas. score is 1 with a phrase, else the best
-    containment of a template that was found, else 0. n_blocks counts the blocks with a template.
+    those of phrases and blocks, distinct, sorted, joined by commas. score is 1 with a phrase, else the best
+    containment of a template that names a block, else 0. n_blocks counts the blocks with a template.
     """
     made = forms(templates, threshold)
     scanned = settle(_scanned(docs, phrases, made, id_col, text_col))
-    per = template_blocks(scanned, made).groupBy(F.col("id").alias("found_id"), F.col("key").alias("found_key")).agg(
+    per = block_labels(template_blocks(scanned, made)).groupBy(F.col("id").alias("found_id"), F.col("key").alias("found_key")).agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.count_distinct("length", "block").alias("n_blocks")
     )
     both = scanned.join(per, (F.col("key") == F.col("found_key")) & F.col("id").eqNullSafe(F.col("found_id")), "left")

@@ -204,7 +204,7 @@ def _license_sql() -> str:
         test = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(w))
         phrase.append(f"list_transform(list_filter(range(0, greatest(0, len(w) - {len(w) - 1})), lambda i: {test}), lambda i: {{'p': i, 'l': '{label}'}})")
     rows = ", ".join(
-        f"({t}, {f.length}, '{f.label}', {list(f.words)!r}, {f.m}, {list(f.telling)!r}, '{f.unless or '(?:$^)'}')" for t, f in enumerate(licenses.forms(licenses.TEMPLATES, licenses.THRESHOLD))
+        f"({t}, {f.length}, '{f.label}', {list(f.words)!r}, {f.m}, {list(f.telling)!r}, '{f.unless or '(?:$^)'}', {f.exact})" for t, f in enumerate(licenses.forms(licenses.TEMPLATES, licenses.THRESHOLD))
     )
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
@@ -212,14 +212,16 @@ WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{word}') AS w FROM documents
 ), base AS (
   SELECT doc_id, text, len(w) AS n_words, list_concat({phrase[0]}, list_concat({phrase[1]}, {phrase[2]})) AS places FROM d
-), templates(t, length, label, s, m, telling, unless) AS (VALUES {rows}), starts AS (
+), templates(t, length, label, s, m, telling, unless, exact) AS (VALUES {rows}), starts AS (
   SELECT doc_id, w, length, unnest(range(0, len(w), length)) AS start FROM d, (SELECT DISTINCT length FROM templates)
 ), b AS (
   SELECT doc_id, length, start, w[start + 1 : start + 2 * length] AS w FROM starts
+), pairs AS (
+  SELECT doc_id, b.length, start, label, exact, len(list_intersect(b.w, s)) / len(s) AS c,
+    len(list_filter(telling, lambda p: NOT contains(regexp_replace(' ' || array_to_string(b.w, ' ') || ' ', unless, ' | ', 'g'), p))) = 0 AS told
+  FROM b JOIN templates ON b.length = templates.length WHERE len(list_intersect(b.w, s)) >= m
 ), found AS (
-  SELECT doc_id, b.length, start, label, len(list_intersect(b.w, s)) / len(s) AS c FROM b JOIN templates ON b.length = templates.length
-  WHERE len(list_intersect(b.w, s)) >= m
-    AND len(list_filter(telling, lambda p: NOT contains(regexp_replace(' ' || array_to_string(b.w, ' ') || ' ', unless, ' | ', 'g'), p))) = 0
+  SELECT * FROM (SELECT *, CASE WHEN told THEN 2 ELSE c END AS r FROM pairs WHERE told OR NOT exact) QUALIFY r = max(r) OVER (PARTITION BY doc_id, length, start)
 ), per AS (
   SELECT doc_id, list(DISTINCT label) AS more, max(c) AS best, count(DISTINCT (length, start)) AS n_blocks FROM found GROUP BY doc_id
 )

@@ -277,6 +277,31 @@ def test_mixing_stays_within_a_block_of_the_weights(spark):
         served[slots[t]] += 1
 
 
+def test_mixing_does_not_drift_from_irrational_weights(spark):
+    """20 sources, weights that no decimal holds, all sources supplied for 24,000 slots."""
+    weights = {f"s{i:02d}": 1 / math.sqrt(i + 1) for i in range(20)}
+    total = sum(weights.values())
+    counts = {s: math.ceil(24_000 * w / total) + 2 for s, w in weights.items()}
+    names = [s for s, n in counts.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "doc_id long, source string")
+    slots = {r["mix_slot"]: r["source"] for r in mixing.mix_sources(docs, weights, block=1).select("mix_slot", "source").collect()}
+    served, worst = dict.fromkeys(weights, 0), 0.0
+    for t in range(24_000):
+        served[slots[t]] += 1
+        worst = max(worst, *(abs(n - weights[s] / total * (t + 1)) for s, n in served.items()))
+    assert worst < 1
+
+
+def test_mixing_parts_of_weights():
+    assert mixing.weight_parts({"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 70, "b": 20, "c": 10}) == ({"a": 7, "b": 2, "c": 1}, 10)
+    parts, slots = mixing.weight_parts({"a": 2**0.5, "b": 1.0}, {"a": 100, "b": 100})
+    assert mixing.FINE % sum(parts.values()) == 0 and sum(parts.values()) > 2**30 and 170 < slots < 260
+    # a source without weight keeps its rows, at the resolution of long schedules
+    parts, slots = mixing.weight_parts({"a": 2**0.5, "b": 0.0}, {"a": 10, "b": 10})
+    assert parts["b"] == 1 and slots <= sum(parts.values()) <= mixing.LONGEST + 1
+    assert mixing.weight_parts({}, {}) == ({}, 0)
+
+
 def test_mixing_weights_of_all_kinds():
     assert mixing.whole_parts({}) == {} and mixing.whole_parts({"a": 0, None: -1}) == {"a": 1, None: 1}
     assert mixing.whole_parts({"a": 0.999, "b": 0.0}, 10) == {"a": 10, "b": 1}
@@ -317,15 +342,38 @@ def test_battery_tells_keys_from_words(spark):
     assert sum(got[i] for i in range(60)) >= 50 and sum(got[i] for i in range(60, 120)) <= 3
 
 
-@pytest.mark.parametrize(("text", "labels"), [
+LABELLED = [
     ("Licensed under CC BY-NC 4.0", "cc-by-nc"), ("Licensed under CC BY-SA 4.0", "cc-by-sa"), ("Licensed under CC BY 4.0.", "cc-by"), ("Licensed under CC BY-ND 4.0", "cc-by-nd"),
     ("GNU Lesser General Public License version 3", "lgpl-3"), ("apache license version 1 0", ""), ("Apache License, Version 2.0", "apache-2"),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction", "mit"),
     ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"), ("Licensed under CC BY 4.0. " + "more words " * 30 + "Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa"),
     ("the permission to use, copy and license by 4 0 is under cc", ""), (PROSE, ""),
-])
-def test_license_labels(spark, text, labels):
-    assert license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == labels
+    ("this program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License v3 as published by the Free Software Foundation", "gpl,gpl-3"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is now hereby granted", "isc"),
+    ("MIT License", "mit"), ("SPDX-License-Identifier: MIT", "mit"), ("GNU General Public License v3.0", "gpl-3"), ("CC0 1.0 Universal", "cc0"),
+    ("Creative Commons Attribution-NonCommercial 4.0 International", "cc-by-nc"), ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("komm mit, die license ist da", ""), ("SPDX-License-Identifier: Apache-2.0", "apache-2"), ("Creative Commons Attribution 4.0 International", "cc-by"),
+]
+
+
+def test_license_labels(spark):
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(LABELLED)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(docs).collect()}
+    assert [(text, got[i]) for i, (text, _) in enumerate(LABELLED)] == LABELLED
+
+
+def test_whole_license_texts(spark):
+    """Texts of some hundred words, with a few words changed, among others."""
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for i, t in enumerate(t for t in license_scan.TEMPLATES if len(t.text.split()) > 60):
+        w = t.text.split()
+        for _ in range(6):
+            w[rng.integers(len(w))] = "changed"
+        rows.append((i, "some words before " * 9 + " ".join(w) + " and after" * 9))
+        want[i] = t.label
+    found = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(want) >= 4 and all(want[r["doc_id"]] in r["labels"].split(",") for r in found)
 
 
 def test_license_blocks_against_brute_force(spark):
@@ -342,20 +390,27 @@ def test_license_blocks_against_brute_force(spark):
             w[at:at] = t
         texts.append((i, "\n".join(" ".join(w[k : k + 7]) for k in range(0, len(w), 7))))
     made = license_scan.forms(license_scan.TEMPLATES, license_scan.THRESHOLD)
-    want = {}
+    want, pairs = {}, 0
     for d, t in texts:
-        w, labels = t.split(), set()
+        w, found = t.split(), {}
         for f in made:
             for start in range(0, len(w), f.length):
                 block = w[start : start + 2 * f.length]
                 line = " " + " ".join(block) + " "
                 line = re.sub(f.unless, " | ", line) if f.unless else line
-                if len(set(block) & set(f.words)) >= f.m and all(p in line for p in f.telling):
-                    labels.add(f.label)
+                share = len(set(block) & set(f.words))
+                told = all(p in line for p in f.telling)
+                if share >= f.m and (told or not f.exact):
+                    found.setdefault((f.length, start), []).append((told, share / len(f.words), f.label))
+        pairs += sum(map(len, found.values()))
+        labels = {label for block in found.values() for told, share, label in block if (told, share if not told else 0) == max((a, b if not a else 0) for a, b, _ in block)}
         base = {label for p, label in license_scan.PHRASES if f" {p} " in " " + " ".join(w) + " "}
         want[d] = ",".join(sorted(labels | base))
-    got = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    rows = license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["labels"] for r in rows}
     assert got == want and sum(map(bool, want.values())) > 30
+    scanned = license_scan._scanned(spark.createDataFrame(texts, "doc_id long, text string"), license_scan.PHRASES, made, "doc_id", "text")
+    assert license_scan.template_blocks(scanned, made).count() == pairs
 
 
 def brute_battery(piece: str) -> float:
