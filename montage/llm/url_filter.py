@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import build
-from .common import ascii_lower, free, quoted
+from .common import ascii_lower, free, quoted, settle
 
 Rule = tuple[str, str]
 #: Query parameters that name a visit and not a page.
@@ -65,7 +65,8 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     made = ("host", "path", "rule", "verdict", "listed")
     pages = pages.drop(*(c for c in pages.columns if c.lower() in made and c != url))
     canon, maybe, action, hit = free(pages, "canon", "maybe", "action", "hit")
-    names = listed.select(canonical_url(quoted(listed_url)).alias(hit)).filter(F.col(hit).isNotNull()).distinct()
+    # read once, whatever it takes to tell what is listed: for the filter's size, its bits and the exact join
+    names = settle(listed.select(canonical_url(quoted(listed_url)).alias(hit)).filter(F.col(hit).isNotNull()).distinct())
     bloom = build(names, hit)
 
     host, path = url_host(quoted(url)), url_path(quoted(url))
