@@ -4,13 +4,14 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as P
 docs. All but the last return the columns of documents.
 
 Defined cases, in every stage: an empty table gives no rows; null texts count as empty; extra columns are kept, whatever
-their names, but for the last stage. quality judges repeated and empty texts as any other; line_dedup and mix keep every
-row; near_duplicates keeps rows without an id and empty texts, and one of rows equal in id and text; pack gives every row
+their names, but for the last stage. quality judges repeated and empty texts as any other; line_dedup keeps every row but
+those of whose words none is left, mix every row; near_duplicates keeps rows without an id and empty texts, and one of rows equal in id and text; pack gives every row
 at least one piece, its closing id.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from montage.llm import line_dedup as lines
 from montage.llm import mixing, ngram_join, quality_classifier
-from montage.llm.common import checkpoint_dir, free, partitions, quoted
+from montage.llm.common import BLANK, as_text, checkpoint_dir, free, partitions, quoted
 from montage.llm.queries import pieces, read
 
 #: Documents of the mixture that are packed along the curve together: the mixture holds from run to run.
@@ -35,8 +36,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later occurrences of repeated three-line windows."""
-    return lines.line_dedup(docs)
+    """Documents without later occurrences of repeated three-line windows; those of which nothing is left go.
+
+    Texts that had no words to begin with stay.
+    """
+    (full,) = free(docs, "full")
+    has_words = as_text("text").rlike(f"[^{BLANK}]")
+    cut = lines.line_dedup(docs.withColumn(full, has_words))
+    return cut.filter(has_words | ~F.col(full)).select(*map(quoted, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +62,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order that mixes their sources to tempered weights."""
     mixed = mixing.mix_sources(docs, mixing.tempered_weights(docs))
-    return mixed.repartitionByRange(partitions(spark), "mix_at").sortWithinPartitions("mix_at").select(*map(quoted, docs.columns))
+    # twice the input's splits: their bytes bound a partition's, whatever the shuffle's setting
+    parts = max(partitions(spark), 2 * docs.rdd.getNumPartitions())
+    return mixed.repartitionByRange(parts, "mix_at").sortWithinPartitions("mix_at").select(*map(quoted, docs.columns))
+
+
+def part_number(path: str) -> tuple[int, str]:
+    """What orders part files: their number, which may have more digits than the five that names are filled to."""
+    name = path.rsplit("/", 1)[-1]
+    found = re.match(r"part-(\d+)", name)
+    return (int(found[1]) if found else -1, path)
 
 
 def written_place(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
     """`docs` plus `name`, each row's number (long, from 0) in the order in which its files were written.
 
-    Part files are named in the order of the partitions that wrote them. One row per file reaches the driver. Rows that
+    Part files are numbered in the order of the partitions that wrote them. One row per file reaches the driver. Rows that
     were not read from files have no such order: they get the places that `mix` would give them.
     """
     file, row, at, before = free(docs, "file", "row", "at", "before")
@@ -71,7 +87,7 @@ def written_place(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
         mixed = mixing.mix_sources(docs, mixing.tempered_weights(docs))
         return mixed.select(*map(quoted, docs.columns), F.col("mix_at").alias(name))
     starts, n = [], 0
-    for path, last in sorted(map(tuple, placed.groupBy(file).agg(F.max(row)).collect())):
+    for path, last in sorted(map(tuple, placed.groupBy(file).agg(F.max(row)).collect()), key=lambda r: part_number(r[0])):
         starts.append((path, n))
         n += last + 1
     files = spark.createDataFrame(starts, f"{at} string, {before} long")
