@@ -4,8 +4,8 @@ Every word of a text and every run of 3 or 4 characters of a word, its beginning
 learned table; a document is the average of its rows, and a softmax layer over that average gives the label's
 probabilities. Training is stochastic gradient descent in numpy (mini-batches, step sizes per parameter by the squared
 gradients so far) on a bounded sample of labelled documents: at most
-`most_labelled`, those with the smallest hash of their id, whole texts. Only hashed counts of the sample reach the
-driver.
+`most_labelled`, those with the smallest hash of their id, whole texts, and of these as many as have features of
+`most_bytes` at most. Only hashed counts of the sample reach the driver.
 
 Since averaging and the layer are linear, a trained model is one weight per hashed row and one bias, and scoring a
 document is the mean of its rows' weights. Scoring runs in Arrow batches without shuffles; the model, of fixed size,
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text, free, quoted, ship
+from .common import as_text, free, quoted, settle, ship
 from .textbytes import characters, grams, segment_sums, spans, utf8, words
 
 WORD_ROWS = 1 << 15
@@ -40,9 +40,10 @@ THRESHOLD = 0.3
 
 @dataclass(frozen=True)
 class Training:
-    """most_labelled bounds the sample; the rest are the settings of the descent."""
+    """most_labelled and most_bytes (of features, one text at least) bound the sample; the rest are the settings of the descent."""
 
     most_labelled: int = 3000
+    most_bytes: int = 512 << 20
     dim: int = 4
     epochs: int = 12
     batch: int = 32
@@ -91,6 +92,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["label", "rows", "shares"])
 
 
+def most_bytes_of(chars: int) -> int:
+    """What the features of a text of so many characters take at most: a row and a share for each of its words and grams."""
+    return 8 * min(ROWS, (1 + len(GRAMS)) * chars + 1)
+
+
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, how: Training = Training(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learns `label_col` of `labels` (rows where `learn_from`, over the id, holds) from the texts of `docs`."""
     ship(docs.sparkSession)
@@ -99,7 +105,17 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, how: Training
     sample = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(how.most_labelled))
     rows = docs.select(quoted(id_col).alias("id"), as_text(text_col).alias("text")).join(sample, "id")
     # one text an id, so that repeated rows of a sampled id do not lift the bound
-    rows = rows.withColumn("seal", F.xxhash64("text")).groupBy("id").agg(F.min(F.struct("seal", "label", "text")).alias("r")).select("r.label", "r.text")
+    rows = settle(rows.withColumn("seal", F.xxhash64("text")).groupBy("id").agg(F.min(F.struct("seal", "label", "text")).alias("r")).select("id", "r.label", "r.text"))
+    # what reaches the driver is bounded in bytes too: texts in the order of the sample, as far as they fit
+    sizes = rows.select(F.xxhash64("id").alias("h"), "id", F.char_length("text")).collect()
+    fits, total = [], 0
+    for h, _, chars in sorted(sizes, key=lambda r: (r[0], str(r[1]))):
+        total += most_bytes_of(chars)
+        if total > how.most_bytes and fits:
+            break
+        fits.append(h)
+    rows = rows.filter(F.xxhash64("id").isin(fits)) if len(fits) < len(sizes) else rows
+    rows = rows.select("label", "text")
     found = sorted(map(tuple, rows.mapInArrow(_features, "label int, rows binary, shares binary").collect()))
     label = [int(r[0]) for r in found]
     which, shares = [np.frombuffer(r[1], "<i4") for r in found], [np.frombuffer(r[2], "<f4") for r in found]

@@ -544,6 +544,66 @@ def test_classifier_grams_are_those_of_words():
         assert len(set(names.values())) == len(names)
 
 
+def test_classifier_scores_are_means_of_weights():
+    """Of every text alone, row by row, against all texts at once."""
+    rng = np.random.default_rng(13)
+    model = quality_classifier.Model(rng.normal(size=quality_classifier.ROWS), 0.25)
+    texts = ["", None, " \n", "one", "Ünï 日本語 x", PROSE, PROSE.upper(), "a b " * 3000, "word " * 7]
+    want = []
+    for t in texts:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        rows = [int(r) for part, _ in quality_classifier.hashed_rows(data, np.array([0, len(data)])) for r in part]
+        mean = sum(model.weights[r] for r in rows) / len(rows) if rows else 0.0
+        want.append(1 / (1 + math.exp(-(mean + 0.25))))
+    assert model.scores(pa.array(texts)) == pytest.approx(want, abs=1e-12)
+
+
+def test_classifier_descent_against_plain_gradients():
+    """The same batches and steps on a dense matrix of shares, the gradient written out per document."""
+    how = quality_classifier.Training(dim=3, epochs=4, batch=5, rate=0.5, seed=3)
+    rng = np.random.default_rng(14)
+    label = rng.integers(0, 2, 23).tolist()
+    rows = [np.unique(rng.integers(0, 40, rng.integers(1, 9))).astype("<i4") * 1000 for _ in label]
+    shares = [(lambda w: w / w.sum())(rng.random(len(r))).astype("<f4") for r in rows]
+    used = sorted({int(x) for r in rows for x in r})
+    dense = np.zeros((len(label), len(used)))
+    for d, (r, w) in enumerate(zip(rows, shares, strict=True)):
+        for x, share in zip(r, w, strict=True):
+            dense[d, used.index(int(x))] = share
+    draw = np.random.Generator(np.random.PCG64(how.seed))
+    table, layer = draw.normal(0, 0.1, (len(used), how.dim)), draw.normal(0, 0.5, (how.dim, 2))
+    bias = np.log(np.bincount(label, minlength=2) / len(label))
+    past = [np.full_like(a, 1e-8) for a in (table, layer, bias)]
+    for epoch in range(how.epochs):
+        rate, order = how.rate * (1 - epoch / how.epochs), draw.permutation(len(label))
+        for i in range(0, len(label), how.batch):
+            grads = [np.zeros_like(a) for a in (table, layer, bias)]
+            ids = order[i : i + how.batch]
+            for d in ids:
+                hidden = dense[d] @ table
+                e = np.exp(hidden @ layer + bias)
+                error = (e / e.sum() - np.eye(2)[label[d]]) / len(ids)
+                grads[0] += np.outer(dense[d], layer @ error)
+                grads[1] += np.outer(hidden, error)
+                grads[2] += error
+            for value, grad, sums, speed in zip((table, layer, bias), grads, past, (1, 0.1, 0.1), strict=True):
+                sums += grad**2
+                value -= speed * rate * grad / np.sqrt(sums)
+    model = quality_classifier.fit(list(label), [r.copy() for r in rows], [w.copy() for w in shares], how)
+    assert model.weights[used] == pytest.approx(table @ (layer[:, 1] - layer[:, 0]), abs=1e-8)
+    assert model.bias == pytest.approx(bias[1] - bias[0], abs=1e-8) and np.count_nonzero(model.weights) == len(used)
+
+
+def test_classifier_sample_is_bounded_in_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda label, *rest: seen.append(len(label)))
+    docs = spark.createDataFrame([(i, "word " * (100 if i % 2 else 10)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for how in (quality_classifier.Training(), quality_classifier.Training(most_labelled=7), quality_classifier.Training(most_bytes=60_000), quality_classifier.Training(most_bytes=1)):
+        quality_classifier.train(docs, labels, F.lit(True), how)
+    assert seen[:2] == [40, 7] and 2 < seen[2] < 40 and seen[3] == 1
+
+
 def test_classifier_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     scored = queries.op6_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
