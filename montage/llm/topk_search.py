@@ -6,7 +6,7 @@ a query q and a candidate x the largest |d(q, p) - d(x, p)| over the pivots is a
 until the k-th best score so far exceeds it: nothing that could enter the result is passed over.
 
 Rows equal in id and vector are counted once and stand in a block once, with their number. Vectors are packed into blocks
-of bounded size by their nearest pivot, large cells by a hash too, so that a block covers little of the space; each block
+of bounded size by their nearest pivot (of as many pivots as there are full blocks), large cells by a hash too, so that a block covers little of the space; each block
 knows the least and largest distance of its rows to every pivot and their largest length. A first pass scores each block of
 queries against one block of its own cell, which gives every query a score that its k-th best will reach. Pairs of blocks
 whose bound is below that of all their queries are dropped before any vector is copied; each other pair of a query block
@@ -50,7 +50,7 @@ def _distances(v: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def _celled(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """`rows` (id, v, asks, times, dim) with the number of their nearest pivot as `cell`."""
+    """`rows` (id, v, asks, times, dim) with the number of the nearest of `pivots` as `cell`."""
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -179,7 +179,9 @@ def prepared_blocks(vectors: DataFrame, is_query: Column, id_col: str, vector_co
     for r in ranked.filter(F.col("r") <= PIVOTS).select("dim", "v").collect():
         of.setdefault(r["dim"], []).append(r["v"])
     pivots = {d: np.array(v, dtype=np.float64).reshape(len(v), d) for d, v in of.items()}
-    celled = settle(_celled(rows, pivots))
+    # no more cells than full blocks: small blocks cost more than they drop
+    full = {r["dim"]: -(-r["n"] // BLOCK_ROWS) for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    celled = settle(_celled(rows, {d: p[: full[d]] for d, p in pivots.items()}))
     sizes = celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).collect()
     base, count = _blocked(celled, {(r["dim"], r["cell"]): r["n"] for r in sizes}, BLOCK_ROWS)
     asks, _ = _blocked(celled.filter("asks"), {(r["dim"], r["cell"]): r["q"] for r in sizes}, QUERY_ROWS)
