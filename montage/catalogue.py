@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from montage.functions import scalars, vectors
-from montage.operators import clusters, series, shots, speakers
+from montage.operators import clusters, radius, series, shots, speakers
 from montage.plans import keyframes
 from montage.sources import results, sinks
 from montage.sources.tables import frames, motion, read, segments
@@ -211,7 +211,13 @@ def pairwise_cosine(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_PAIRS}, z AS (SELECT media_id, a, min(dist) AS near FROM (SELECT media_id, a, dist FROM q UNION ALL SELECT media_id, b, dist FROM q) GROUP BY ALL)
 SELECT media_id, round(greatest(0.05, least(0.3, 1.5 * median(near))), 6) AS eps FROM z WHERE near < 2 GROUP BY media_id""")
 def adaptive_eps(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.adaptive_eps(clusters.pairs(frames(spark, sf)))
+    rows = frames(spark, sf)
+    return radius.adaptive_eps(rows, radius.near_pairs(rows, radius.ENOUGH))
+
+
+@query(f"WITH {_PAIRS} SELECT media_id, a, b, dist FROM q WHERE dist <= {EPS}")
+def near_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return radius.near_pairs(frames(spark, sf), EPS)
 
 
 _DENSITY = f"""{_PAIRS}, e AS (SELECT media_id, a, b FROM q WHERE dist <= {EPS} UNION ALL SELECT media_id, b, a FROM q WHERE dist <= {EPS}),
@@ -222,7 +228,7 @@ cl AS (SELECT f.media_id, f.frame_idx, coalesce(cluster_id, -1) AS cluster_id FR
 
 def _clustered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = frames(spark, sf)
-    return rows, clusters.density_clusters(rows, clusters.pairs(rows), EPS)
+    return rows, clusters.density_clusters(rows, radius.near_pairs(rows, EPS), EPS)
 
 
 @query(f"WITH RECURSIVE {_DENSITY} SELECT * FROM cl")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from montage.catalogue import _FRAMES, _SEGMENTS, _SERIES, query
 from montage.functions import scalars, vectors
-from montage.operators import clusters, sampling, series, shots
+from montage.operators import clusters, places, sampling, series, shots, vector_sums
 from montage.plans import dialogue, settings
 from montage.sources.tables import frames, motion, read, segments
 
@@ -181,6 +181,23 @@ def clip_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("media_id").agg(F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("deviation"), F.round(F.coalesce(F.avg(x - F.col("b")), F.lit(0.0)), 6).alias("mean_delta"))
 
 
+@query(f"""WITH {_FRAMES}, e AS (SELECT media_id, frame_idx, generate_subscripts(clip, 1) - 1 AS i, unnest(clip)::DOUBLE AS x FROM f), s AS (SELECT *, lag(x) OVER (PARTITION BY media_id, i ORDER BY frame_idx) AS b FROM e WHERE i < 13)
+SELECT media_id, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation, round(coalesce(avg(x - b), 0), 6) AS mean_delta FROM s GROUP BY media_id, i""")
+def clip_vector_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Means, deviations and mean steps of 13 components per clip, in one pass."""
+    found = vector_sums.statistics(frames(spark, sf), ["media_id"], "clip", "frame_idx", 13)
+    each = found.select("media_id", F.posexplode(F.arrays_zip("mean", "deviation", "mean_delta")).alias("i", "s"))
+    return each.select("media_id", "i", *(F.round(F.col(f"s.{c}"), 6).alias(c) for c in ("mean", "deviation", "mean_delta")))
+
+
+@query("""WITH g AS (SELECT conv_id AS media_id, turn AS seg_index, row_number() OVER (ORDER BY conv_id, turn) - 1 AS place FROM conversations),
+l AS (SELECT quality AS label, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM labels) SELECT place, media_id, seg_index, label FROM g JOIN l USING (place)""")
+def zipped_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments beside labels that share no key with them, by place; the longer table's rest is left out."""
+    left = read(spark, sf, "conversations").orderBy("conv_id", "turn").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("seg_index"))
+    return places.zipped(left, read(spark, sf, "labels").orderBy("doc_id").select(F.col("quality").alias("label")))
+
+
 @query(f"""WITH {_FRAMES}, s AS (SELECT user_id AS media_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, value AS score FROM events)
 SELECT media_id, frame_idx, len(clip) AS clip_size, coalesce(score, 0) AS motion, 0::DOUBLE AS colour FROM f LEFT JOIN s USING (media_id, frame_idx)""")
 def all_features(spark: SparkSession, sf: str) -> DataFrame:

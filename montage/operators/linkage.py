@@ -1,0 +1,67 @@
+"""Average linkage of media that are too large for a task: rounds of reciprocal nearest neighbours over a table of distances.
+
+Average linkage never brings two clusters nearer than what they were made of, so clusters that are each other's nearest
+may be merged whatever the order, and the tree is that of merging one pair at a time. A round finds every cluster's
+nearest, merges all reciprocal pairs at once and brings the distances up to date: that of two merged clusters is the mean
+of their parts' distances, weighted by size. The table is keyed by pairs, so one media is as many tasks as it needs.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import functions as F
+
+from montage.functions.vectors import unit, unit_cosine
+from montage.operators.components import components
+from montage.plans.checkpoints import settled
+
+
+def merges(rows: DataFrame, k: DataFrame) -> DataFrame:
+    """media_id, i < j, height of the merges that leave the wanted number of clusters, clusters being named by their first row.
+
+    rows: media_id, frame_idx, clip; k: media_id, n (rows), k (wanted, 1 to n). Of equal distances the smallest names go first.
+    """
+    whole = settled(rows.select("media_id", F.col("frame_idx").alias("i"), unit(F.col("clip")).alias("u")))
+    far = whole.join(whole.select("media_id", F.col("i").alias("j"), F.col("u").alias("v")), "media_id").filter(F.col("i") != F.col("j"))
+    now = settled(far.select("media_id", "i", "j", (1 - unit_cosine(F.col("u"), F.col("v"))).alias("d")))
+    sizes = settled(whole.select("media_id", "i", F.lit(1).cast("long").alias("size")))
+    rounds: list[DataFrame] = []
+    while True:
+        near = now.groupBy("media_id", "i").agg(F.min(F.struct("d", "j")).alias("m")).select("media_id", "i", "m.d", "m.j")
+        back = near.select("media_id", F.col("i").alias("j"), F.col("j").alias("i"))
+        seen = Observation()
+        pairs = near.join(back, ["media_id", "i", "j"]).filter("i < j").select("media_id", "i", "j", F.col("d").alias("height"), F.lit(len(rounds)).alias("turn"))
+        new = settled(pairs.observe(seen, F.count(F.lit(1)).alias("n")))
+        if seen.get["n"] == 0:
+            break
+        rounds.append(new)
+        done = reduce(DataFrame.union, rounds)
+        # every cluster's name after the round, and its part of the merged one
+        both = F.array(F.struct(F.col("i").alias("i"), F.col("i").alias("to")), F.struct(F.col("j").alias("i"), F.col("i").alias("to")))
+        to = new.select("media_id", F.explode(both).alias("s")).select("media_id", "s.*")
+        named = sizes.join(to, ["media_id", "i"], "left").withColumn("to", F.coalesce("to", "i"))
+        every = F.sum("size").over(Window.partitionBy("media_id", "to"))
+        parts = settled(named.withColumn("all", every).select("media_id", "i", "to", "all", (F.col("size") / F.col("all")).alias("part")))
+        sizes = parts.groupBy("media_id", F.col("to").alias("i")).agg(F.max("all").alias("size"))
+        one, two = (parts.select("media_id", F.col("i").alias(c), F.col("to").alias(f"to_{c}"), F.col("part").alias(f"part_{c}")) for c in "ij")
+        moved = now.join(one, ["media_id", "i"]).join(two, ["media_id", "j"]).filter(F.col("to_i") != F.col("to_j"))
+        moved = settled(moved.groupBy("media_id", F.col("to_i").alias("i"), F.col("to_j").alias("j")).agg(F.sum(F.col("d") * F.col("part_i") * F.col("part_j")).alias("d")))
+        # a media is done when as many merges as it takes are lower than all that may come
+        least = moved.groupBy("media_id").agg(F.min("d").alias("least"))
+        lower = done.join(least, "media_id").filter(F.col("height") <= F.col("least")).groupBy("media_id").agg(F.count(F.lit(1)).alias("lower"))
+        over = lower.join(k, "media_id").filter(F.col("lower") >= F.col("n") - F.col("k")).select("media_id")
+        now = moved.join(over, "media_id", "left_anti")
+    if not rounds:
+        return whole.select("media_id", "i", F.col("i").alias("j"), F.lit(0.0).alias("height")).limit(0)
+    rank = F.row_number().over(Window.partitionBy("media_id").orderBy("height", "turn", "i"))
+    return reduce(DataFrame.union, rounds).withColumn("r", rank).join(k, "media_id").filter(F.col("r") <= F.col("n") - F.col("k")).select("media_id", "i", "j", "height")
+
+
+def linked(rows: DataFrame, k: DataFrame) -> DataFrame:
+    """media_id, frame_idx, cluster_id (from 0, by first row) of every row: the wanted number of clusters per media."""
+    found = components(merges(rows, k).select("media_id", F.col("i").alias("a"), F.col("j").alias("b")))
+    every = rows.select("media_id", "frame_idx").join(found.withColumnRenamed("v", "frame_idx"), ["media_id", "frame_idx"], "left")
+    label = F.coalesce("label", "frame_idx")
+    return every.select("media_id", "frame_idx", (F.dense_rank().over(Window.partitionBy("media_id").orderBy(label)) - 1).alias("cluster_id"))

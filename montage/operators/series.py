@@ -54,9 +54,12 @@ def spaced_peaks(series: DataFrame) -> DataFrame:
     """Peaks that keep a distance: the highest first, lower ones strictly nearer than max(3, n / 20) are dropped.
 
     Series without a peak at the 70th percentile try the median with a distance of max(2, n / 30). Of equal peaks the
-    earlier is kept. Series of under three keep all their places. The peaks of one series fit a row.
+    earlier is kept. Series of under three keep all their places. Series with scores that are no numbers cannot be
+    smoothed: they give their raw_peaks, whatever the distance. The peaks of one series fit a row.
     """
-    n = series.groupBy("media_id").agg(F.count(F.lit(1)).alias("n"))
+    odd = F.bool_or(F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf")))
+    known = series.groupBy("media_id").agg(F.count(F.lit(1)).alias("n"), odd.alias("odd"))
+    n, rough = known.filter(~F.col("odd")).drop("odd"), known.filter("odd").select("media_id")
     high, low = (
         peaks(series, share).join(n, "media_id").groupBy("media_id", "n").agg(F.collect_list(F.struct((-F.col("smooth")).alias("depth"), "idx")).alias("found"))
         for share in (0.7, 0.5)
@@ -69,7 +72,8 @@ def spaced_peaks(series: DataFrame) -> DataFrame:
         chosen = F.aggregate(places, F.array().cast("array<long>"), lambda have, x: F.when(fits(have, x), F.concat(have, F.array(x))).otherwise(have))
         return found.withColumn("apart", apart).select("media_id", F.explode(chosen).alias("idx"))
 
-    return kept(high, 3, 20).union(kept(low.join(high, "media_id", "left_anti"), 2, 30))
+    plain = raw_peaks(series.join(rough, "media_id", "left_semi")).select("media_id", F.col("idx").cast("long").alias("idx"))
+    return kept(high, 3, 20).union(kept(low.join(high, "media_id", "left_anti"), 2, 30)).union(plain)
 
 
 def pattern_changes(series: DataFrame) -> DataFrame:

@@ -8,13 +8,19 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Sampled frames above which a setting does not suit a video.
+# Fixed value: sampled frames above which a setting does not suit a video.
 MOST_SAMPLED = 10_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Names and defaults. Unknown names raise TypeError, values out of range ValueError."""
+    """Names and defaults. Unknown names raise TypeError, values out of range ValueError.
+
+    target_fps, sampling_strategy, frames_per_second, fps_ratio and random_select_count say which frames are looked at;
+    enable_shot_filtering, min_shot_duration and max_shot_duration which shots; cluster_eps is the radius where none can be
+    told from the frames; max_keyframes_per_shot bounds what is kept; preserve_original_resolution, max_resolution,
+    output_resolution and image_quality say how its pictures are to be written.
+    """
 
     target_fps: int = 10
     output_resolution: tuple[int, int] = (512, 512)
@@ -24,18 +30,16 @@ class Settings:
     random_select_count: int = 3
     preserve_original_resolution: bool = False
     max_resolution: tuple[int, int] = (1920, 1080)
-    similarity_threshold: float = 0.9
     min_shot_duration: int = 10
     max_shot_duration: int = 3000
     enable_shot_filtering: bool = True
     cluster_eps: float = 0.15
-    cluster_min_samples: int = 2
     max_keyframes_per_shot: int = 30
     image_quality: int = 95
 
     def __post_init__(self) -> None:
         ranges = {
-            "target_fps": self.target_fps > 0, "similarity_threshold": 0 < self.similarity_threshold <= 1, "cluster_eps": self.cluster_eps > 0,
+            "target_fps": self.target_fps > 0, "cluster_eps": self.cluster_eps > 0,
             "max_keyframes_per_shot": self.max_keyframes_per_shot > 0, "image_quality": 1 <= self.image_quality <= 100,
         }
         if wrong := [name for name, fine in ranges.items() if not fine]:
@@ -50,11 +54,11 @@ class Settings:
 
 # What each preset changes.
 PRESETS: dict[str, dict[str, Any]] = {
-    "fast": {"target_fps": 5, "cluster_eps": 0.2, "max_keyframes_per_shot": 3, "similarity_threshold": 0.85},
-    "balanced": {"target_fps": 10, "cluster_eps": 0.15, "max_keyframes_per_shot": 5, "similarity_threshold": 0.9},
-    "quality": {"target_fps": 15, "cluster_eps": 0.12, "max_keyframes_per_shot": 8, "similarity_threshold": 0.95, "output_resolution": (768, 768)},
-    "detailed": {"target_fps": 20, "cluster_eps": 0.1, "max_keyframes_per_shot": 10, "similarity_threshold": 0.97, "output_resolution": (1024, 1024)},
-    "original": {"target_fps": 10, "cluster_eps": 0.15, "max_keyframes_per_shot": 5, "similarity_threshold": 0.9, "preserve_original_resolution": True, "image_quality": 100},
+    "fast": {"target_fps": 5, "cluster_eps": 0.2, "max_keyframes_per_shot": 3},
+    "balanced": {"target_fps": 10, "cluster_eps": 0.15, "max_keyframes_per_shot": 5},
+    "quality": {"target_fps": 15, "cluster_eps": 0.12, "max_keyframes_per_shot": 8, "output_resolution": (768, 768)},
+    "detailed": {"target_fps": 20, "cluster_eps": 0.1, "max_keyframes_per_shot": 10, "output_resolution": (1024, 1024)},
+    "original": {"target_fps": 10, "cluster_eps": 0.15, "max_keyframes_per_shot": 5, "preserve_original_resolution": True, "image_quality": 100},
 }
 
 
@@ -64,6 +68,7 @@ def preset(name: str) -> Settings:
     return Settings().changed(**PRESETS[name])
 
 
+# The lengths, rates and sizes of the rule for a video.
 def fitted(how: Column, fps: Column, seconds: Column, width: Column, height: Column) -> dict[str, Column]:
     """target_fps, side of the output and max_keyframes_per_shot for a video; `how` is a struct of the last two."""
     whole = F.floor(fps)

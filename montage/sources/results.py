@@ -31,6 +31,15 @@ def folder_sizes(files: DataFrame) -> DataFrame:
     return files.groupBy(run_of("path").alias("run")).agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("length") / 1048576, 2).alias("megabytes"))
 
 
+def tree_sizes(files: DataFrame, root: str) -> DataFrame:
+    """folder (path below `root`, "" for itself), files, bytes of each folder with all that lies below it, however deep."""
+    below = F.split(F.substring_index("path", root.rstrip("/") + "/", -1), "/")
+    parts = files.select("length", F.slice(below, F.lit(1), F.size(below) - 1).alias("parts"))
+    folders = F.transform(F.sequence(F.lit(0), F.size("parts")), lambda k: F.array_join(F.slice("parts", F.lit(1), k), "/"))
+    each = parts.select("length", F.explode(folders).alias("folder"))
+    return each.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
 def report(spark: SparkSession, path: str) -> DataFrame:
     """run, shots_covered, avg_confidence of each run folder below `path`.
 
