@@ -31,10 +31,13 @@ def keyframes(frames: DataFrame, motion: DataFrame, found: DataFrame, most: int
     """
     inside = settle(progress, STAGES[0], shots.frames_in_shots(frames, found))
     scored = inside.join(motion.select("media_id", F.col("idx").alias("frame_idx"), "score"), ["media_id", "frame_idx"], "left")
-    # the operators below work per media_id: here that is a shot of a media
+    # the operators below work per media_id and by place in the series: here that is a shot of a media, and a frame's place in it
     key = F.struct("media_id", "shot_id").alias("media_id")
-    line = settle(progress, STAGES[1], scored.select(key, F.col("frame_idx").alias("idx"), F.coalesce("score", F.lit(0.0)).alias("score")))
-    some = settle(progress, STAGES[2], series.candidates(line, series.spaced_peaks(line)).select(F.col("media_id").alias("shot"), F.col("idx").alias("frame_idx")))
+    place = F.row_number().over(Window.partitionBy("media_id", "shot_id").orderBy("frame_idx")) - 1
+    line = settle(progress, STAGES[1], scored.select(key, place.cast("long").alias("idx"), F.coalesce("score", F.lit(0.0)).alias("score"), "frame_idx"))
+    scores = line.drop("frame_idx")
+    picked = series.candidates(scores, series.spaced_peaks(scores)).join(line.drop("score"), ["media_id", "idx"])
+    some = settle(progress, STAGES[2], picked.select(F.col("media_id").alias("shot"), "frame_idx"))
     clips = some.withColumn("media_id", F.col("shot.media_id")).join(frames.select("media_id", "frame_idx", "clip"), ["media_id", "frame_idx"])
     clips = settle(progress, STAGES[3], clips.select(F.col("shot").alias("media_id"), "frame_idx", "clip"))
 
