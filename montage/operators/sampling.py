@@ -44,9 +44,10 @@ def random_frames(videos: DataFrame, k: int) -> DataFrame:
     whole = videos.filter((F.col("fps") > 0) & (F.col("total") >= F.col("fps")))
     seconds = whole.select("media_id", "fps", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("total") / F.col("fps")) - 1)).alias("second"))
     first, last = F.floor(F.col("second") * F.col("fps")), F.least(F.floor((F.col("second") + 1) * F.col("fps")), F.col("total")) - 1
-    rows = seconds.filter(first <= last).select("media_id", "second", F.explode(F.sequence(first, last)).alias("frame_idx"))
-    order = Window.partitionBy("media_id", "second").orderBy(F.md5(F.concat_ws(":", F.col("media_id").cast("string"), F.col("frame_idx").cast("string"))), "frame_idx")
-    return rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+    drawn = F.transform(F.sequence(first, last), lambda i: F.struct(F.md5(F.concat_ws(":", F.col("media_id").cast("string"), i.cast("string"))).alias("draw"), i.alias("i")))
+    # the frames of a second are drawn inside its row: k rows come out of it and nothing is shuffled
+    best = F.transform(F.slice(F.array_sort(drawn), 1, k), lambda d: d["i"])
+    return seconds.filter(first <= last).select("media_id", "second", F.explode(best).alias("frame_idx"))
 
 
 def eighths(rows: DataFrame) -> DataFrame:
@@ -63,6 +64,7 @@ def with_frame_info(chosen: DataFrame, sampled: DataFrame) -> DataFrame:
 
 def sampled_info(videos: DataFrame, step: Column) -> DataFrame:
     """media_id, sampled_idx (from 0), original_idx, timestamp of every strided frame."""
-    rows = strided(videos, step).join(videos.select("media_id", "fps"), "media_id")
-    number = F.row_number().over(Window.partitionBy("media_id").orderBy("frame_idx")) - 1
-    return rows.select("media_id", number.cast("long").alias("sampled_idx"), F.col("frame_idx").alias("original_idx"), F.round(frame_time(F.col("frame_idx"), F.col("fps")), 6).alias("timestamp"))
+    some = videos.filter(F.col("total") > 0).withColumn("step", step.cast("long"))
+    rows = some.select("media_id", "fps", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.col("step"))).alias("original_idx"))
+    number = F.call_function("div", F.col("original_idx"), F.col("step"))
+    return rows.select("media_id", number.alias("sampled_idx"), "original_idx", F.round(frame_time(F.col("original_idx"), F.col("fps")), 6).alias("timestamp"))

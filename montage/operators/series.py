@@ -1,27 +1,29 @@
-"""Windows over a series of scores: smoothing, peaks, rolling scores, picks."""
+"""Windows over a series of scores: smoothing, peaks, rolling scores, picks.
+
+A series has columns media_id, idx and score; idx counts a media's rows from 0, without gaps. Windows hold a stretch of a
+media, never all of it; what is of a whole media (its size, a percentile) is an aggregate that is joined to its rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from montage.operators.stretches import beside, overlapping, within
+
 # Quadratic least-squares weights over five points, for the inside and the first two places.
 SMOOTH = (-3, 12, 17, 12, -3)
 EDGE = ((31, 9, -3, -5, 3), (9, 13, 12, 6, -5))
 
 
-def whole() -> WindowSpec:
-    return Window.partitionBy("media_id")
-
-
-def in_order() -> WindowSpec:
-    return whole().orderBy("idx")
+def sizes(series: DataFrame) -> DataFrame:
+    """media_id, n."""
+    return series.groupBy("media_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def smoothed(series: DataFrame) -> DataFrame:
     """media_id, idx, smooth: quadratic smoothing over five points; series of under five stay as they are."""
-    n = F.count(F.lit(1)).over(whole())
-    at = lambda k: F.lag("score", -k).over(in_order())
+    at = lambda k: F.lag("score", -k).over(within())
 
     def weighted(weights: tuple[int, ...], first: int, turn: int) -> Column:
         return sum((w * at(turn * (k - first)) for k, w in enumerate(weights)), F.lit(0.0)) / 35
@@ -31,23 +33,31 @@ def smoothed(series: DataFrame) -> DataFrame:
     for k in (0, 1):
         value = value.when(i == k, weighted(EDGE[k], k, 1)).when(j == k, weighted(EDGE[k], k, -1))
     value = value.otherwise(weighted(SMOOTH, 2, 1))
-    return series.withColumn("n", n).select("media_id", "idx", F.round(value, 6).alias("smooth"))
+    rows = overlapping(beside(series.select("media_id", "idx", "score"), sizes(series)), len(SMOOTH) - 1)
+    return rows.withColumn("smooth", F.round(value, 6)).filter("own").select("media_id", "idx", "smooth")
+
+
+def _tips(rows: DataFrame, score: str) -> DataFrame:
+    """Rows above both neighbours, with tip true, and the first and last ones of their media."""
+    before, after = F.lag(score).over(within()), F.lead(score).over(within())
+    met = overlapping(rows, 1).withColumns({"before": before, "after": after}).filter("own")
+    tip = F.coalesce((F.col(score) > F.col("before")) & (F.col(score) > F.col("after")), F.lit(False))
+    return met.withColumn("tip", tip).filter(F.col("tip") | F.col("before").isNull() | F.col("after").isNull()).select("media_id", "idx", score, "tip")
 
 
 def peaks(series: DataFrame, share: float = 0.7) -> DataFrame:
     """Places of smoothed scores above both neighbours and at least at the percentile `share`; all of under three."""
-    rows = smoothed(series).withColumns({
-        "low": F.percentile("smooth", F.lit(share)).over(whole()), "n": F.count(F.lit(1)).over(whole()),
-        "before": F.lag("smooth").over(in_order()), "after": F.lead("smooth").over(in_order()),
-    })
-    high = (F.col("smooth") > F.col("before")) & (F.col("smooth") > F.col("after")) & (F.col("smooth") >= F.col("low"))
-    return rows.filter((F.col("n") < 3) | high).select("media_id", "idx", "smooth")
+    rows = smoothed(series)
+    whole = rows.groupBy("media_id").agg(F.percentile("smooth", F.lit(share)).alias("low"), F.count(F.lit(1)).alias("n"))
+    met = beside(_tips(rows, "smooth"), whole)
+    return met.filter((F.col("n") < 3) | (F.col("tip") & (F.col("smooth") >= F.col("low")))).select("media_id", "idx", "smooth")
 
 
 def raw_peaks(series: DataFrame, share: float = 0.75) -> DataFrame:
     """Places of plain scores above both neighbours and above the percentile `share`."""
-    rows = series.withColumns({"high": F.percentile("score", F.lit(share)).over(whole()), "before": F.lag("score").over(in_order()), "after": F.lead("score").over(in_order())})
-    return rows.filter((F.col("score") > F.col("before")) & (F.col("score") > F.col("after")) & (F.col("score") > F.col("high"))).select("media_id", "idx", "score")
+    whole = series.groupBy("media_id").agg(F.percentile("score", F.lit(share)).alias("high"))
+    met = beside(_tips(series.select("media_id", "idx", "score"), "score").filter("tip"), whole)
+    return met.filter(F.col("score") > F.col("high")).select("media_id", "idx", "score")
 
 
 def spaced_peaks(series: DataFrame) -> DataFrame:
@@ -81,28 +91,27 @@ def pattern_changes(series: DataFrame) -> DataFrame:
 
     The first and last two rows of a series never count. A row may be of two kinds and is then given twice.
     """
-    w = in_order()
-    before, now, after = F.lag("score").over(w), F.col("score"), F.lead("score").over(w)
-    place = F.row_number().over(w) - 1
-    rows = series.withColumns({"b": before, "a": after, "r": place, "n": F.count(F.lit(1)).over(whole())})
-    b, a = F.col("b"), F.col("a")
+    now, b, a = F.col("score"), F.col("b"), F.col("a")
+    rows = overlapping(series.select("media_id", "idx", "score"), 1)
+    rows = rows.withColumns({"b": F.lag("score").over(within()), "a": F.lead("score").over(within())}).filter("own")
     turn = F.when(F.abs((now - b) - (a - now)) > 0.5, F.lit("turn"))
     tip = F.when((now > b) & (now > a) & (now > 0.8), F.lit("peak")).when((now < b) & (now < a) & (b > 1.0), F.lit("valley"))
-    inner = rows.filter((F.col("r") >= 2) & (F.col("r") < F.col("n") - 2))
-    return inner.select("media_id", "idx", F.explode(F.array_compact(F.array(turn, tip))).alias("kind"))
+    found = rows.select("media_id", "idx", F.explode(F.array_compact(F.array(turn, tip))).alias("kind"))
+    return beside(found, sizes(series)).filter((F.col("idx") >= 2) & (F.col("idx") < F.col("n") - 2)).select("media_id", "idx", "kind")
 
 
 def rolling(series: DataFrame) -> DataFrame:
     """media_id, idx, rolled: the score plus the deviation of the five around it, fewer at the ends."""
-    return series.select("media_id", "idx", F.round(F.col("score") + F.stddev_pop("score").over(in_order().rowsBetween(-2, 2)), 6).alias("rolled"))
+    around = F.stddev_pop("score").over(within().rowsBetween(-2, 2))
+    rows = overlapping(series.select("media_id", "idx", "score"), 2).withColumn("rolled", F.round(F.col("score") + around, 6))
+    return rows.filter("own").select("media_id", "idx", "rolled")
 
 
 def uniform_pick(series: DataFrame, most: int = 3) -> DataFrame:
     """Up to `most` evenly spaced rows of each series, places cut to whole numbers."""
-    n = F.count(F.lit(1)).over(whole())
-    rows = series.withColumns({"n": n, "k": F.least(n, F.lit(most)), "r": F.row_number().over(in_order()) - 1})
+    rows = beside(series, sizes(series)).withColumn("k", F.least("n", F.lit(most)))
     wanted = F.transform(F.sequence(F.lit(0), F.col("k").cast("int") - 1), lambda i: F.floor(i * (F.col("n") - 1) / F.greatest(F.col("k") - 1, F.lit(1))))
-    return rows.filter(F.array_contains(wanted, F.col("r").cast("long"))).select("media_id", "idx", "score")
+    return rows.filter(F.array_contains(wanted, F.col("idx").cast("long"))).select("media_id", "idx", "score")
 
 
 def candidates(series: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -110,8 +119,8 @@ def candidates(series: DataFrame, found: DataFrame | None = None) -> DataFrame:
 
     `found` (media_id, idx) may stand in for the plain peaks.
     """
-    rows = series.withColumns({"n": F.count(F.lit(1)).over(whole()), "r": F.row_number().over(in_order()) - 1})
-    n, r = F.col("n"), F.col("r")
+    rows = beside(series.select("media_id", "idx"), sizes(series))
+    n, r = F.col("n"), F.col("idx")
     ends = (r == 0) | (r == n - 1) | ((n > 5) & ((r == F.floor(n / 3)) | (r == F.floor(2 * n / 3))))
     some = rows.filter(ends).select("media_id", "idx").union((peaks(series) if found is None else found).select("media_id", "idx")).distinct()
     fifth = F.floor(n / 5)

@@ -1,6 +1,7 @@
 """Shot boundaries: change scores of consecutive rows, adaptive thresholds, a minimum gap, intervals, confidences.
 
-All windows and folds are partitioned by media_id: a video is the unit that one task may hold.
+Windows over frames hold a stretch of a media (`stretches`); folds over boundaries and windows over shots hold those of
+one media in a task.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from montage.functions.vectors import clamp, cosine, distance, pearson
+from montage.operators.stretches import along, overlapping, within
 
 MIN_GAP = 30
 #: Frames of a bin in which frames and shots meet, so that one long video is many pieces of work.
@@ -19,23 +21,27 @@ def by_media() -> WindowSpec:
     return Window.partitionBy("media_id")
 
 
+def with_before(frames: DataFrame) -> DataFrame:
+    """media_id, frame_idx, clip, before: each frame with the vector of the one before it, null for the first."""
+    return along(frames.select("media_id", "frame_idx", "clip"), "frame_idx", 1, lambda w: {"before": F.lag("clip").over(w)})
+
+
 def changes(frames: DataFrame) -> DataFrame:
     """media_id, idx, diff: one minus the correlation with the row before; the first row has none."""
-    before = F.lag("clip").over(by_media().orderBy("frame_idx"))
-    rows = frames.withColumn("before", before).filter(F.col("before").isNotNull())
+    rows = with_before(frames).filter(F.col("before").isNotNull())
     return rows.select("media_id", F.col("frame_idx").alias("idx"), F.round(1 - pearson(F.col("before"), F.col("clip")), 6).alias("diff"))
 
 
 def deltas(series: DataFrame) -> DataFrame:
-    """media_id, idx, diff: absolute first difference of `score`."""
-    step = F.abs(F.col("score") - F.lag("score").over(by_media().orderBy("idx")))
-    return series.select("media_id", "idx", F.round(step, 6).alias("diff")).filter(F.col("diff").isNotNull())
+    """media_id, idx, diff: absolute first difference of `score`; idx counts a media's rows without gaps."""
+    step = F.abs(F.col("score") - F.lag("score").over(within()))
+    rows = overlapping(series.select("media_id", "idx", "score"), 1).withColumn("diff", F.round(step, 6))
+    return rows.filter(F.col("own") & F.col("diff").isNotNull()).select("media_id", "idx", "diff")
 
 
 def vector_motion(frames: DataFrame) -> DataFrame:
     """media_id, idx, motion: the distance of each vector to the one before, 0 for the first row."""
-    before = F.lag("clip").over(by_media().orderBy("frame_idx"))
-    rows = frames.withColumn("before", before)
+    rows = with_before(frames)
     return rows.select("media_id", F.col("frame_idx").alias("idx"), F.round(F.coalesce(distance(F.col("clip"), F.col("before")), F.lit(0.0)), 6).alias("motion"))
 
 
@@ -121,7 +127,7 @@ def flow_shots(series: DataFrame, gap: int = MIN_GAP) -> DataFrame:
 
 def semantic_changes(frames: DataFrame, least: float = 0.85) -> DataFrame:
     """media_id, frame_idx, similarity of frames whose cosine with the frame before is under `least`."""
-    rows = frames.withColumn("before", F.lag("clip").over(by_media().orderBy("frame_idx"))).filter(F.col("before").isNotNull())
+    rows = with_before(frames).filter(F.col("before").isNotNull())
     near = rows.select("media_id", "frame_idx", F.round(cosine(F.col("before"), F.col("clip")), 6).alias("similarity"))
     return near.filter(F.col("similarity") < least)
 
@@ -165,13 +171,21 @@ def nearest_frame(frames: DataFrame, shots: DataFrame) -> DataFrame:
     """The frame nearest to the middle of each shot, the lower of two."""
     middle = F.floor((F.col("start_frame") + F.col("end_frame")) / 2).cast("long")
     none = F.lit(None)
-    # one ordered pass over frames and middles: the last frame up to a middle and the first one after it
+    # an ordered pass over the frames and middles of each bin: the last frame up to a middle and the first one after it
     line = frames.select("media_id", F.col("frame_idx").cast("long").alias("place"), none.cast(shots.schema["shot_id"].dataType).alias("shot_id"), F.col("frame_idx").cast("long").alias("f"))
-    line = line.union(shots.select("media_id", middle, "shot_id", none.cast("long")))
-    order = by_media().orderBy("place", F.col("f").asc_nulls_last())
+    line = line.union(shots.select("media_id", middle, "shot_id", none.cast("long"))).withColumn("bin", binned("place"))
+    order = Window.partitionBy("media_id", "bin").orderBy("place", F.col("f").asc_nulls_last())
     below = F.last("f", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     above = F.first("f", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    met = line.withColumns({"below": below, "above": above}).filter(F.col("f").isNull() & (F.col("below").isNotNull() | F.col("above").isNotNull()))
+    met = line.withColumns({"below": below, "above": above}).filter(F.col("f").isNull())
+    # where a bin has none, the nearest bin that has: a row per bin
+    bins, along_bins = line.groupBy(F.col("media_id").alias("m"), F.col("bin").alias("at")).agg(F.min("f").alias("low"), F.max("f").alias("high")), Window.partitionBy("m").orderBy("at")
+    ends = bins.select(
+        "m", "at", F.last("high", ignorenulls=True).over(along_bins.rowsBetween(Window.unboundedPreceding, -1)).alias("last"),
+        F.first("low", ignorenulls=True).over(along_bins.rowsBetween(1, Window.unboundedFollowing)).alias("next"),
+    )
+    met = met.join(ends, (F.col("media_id") == F.col("m")) & (F.col("bin") == F.col("at"))).withColumns({"below": F.coalesce("below", "last"), "above": F.coalesce("above", "next")})
+    met = met.filter(F.col("below").isNotNull() | F.col("above").isNotNull())
     low = (F.col("above").isNull()) | (F.col("place") - F.col("below") <= F.col("above") - F.col("place"))
     best = F.when(F.col("below").isNotNull() & low, F.col("below")).otherwise(F.col("above"))
     return met.select("media_id", "shot_id", best.alias("frame_idx"), F.abs(best - F.col("place")).alias("off"))
