@@ -45,9 +45,9 @@ def random_frames(videos: DataFrame, k: int) -> DataFrame:
     seconds = whole.select("media_id", "fps", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("total") / F.col("fps")) - 1)).alias("second"))
     first, last = F.floor(F.col("second") * F.col("fps")), F.least(F.floor((F.col("second") + 1) * F.col("fps")), F.col("total")) - 1
     drawn = F.transform(F.sequence(first, last), lambda i: F.struct(F.md5(F.concat_ws(":", F.col("media_id").cast("string"), i.cast("string"))).alias("draw"), i.alias("i")))
-    # the frames of a second are drawn inside its row: k rows come out of it and nothing is shuffled
-    best = F.transform(F.slice(F.array_sort(drawn), 1, k), lambda d: d["i"])
-    return seconds.filter(first <= last).select("media_id", "second", F.explode(best).alias("frame_idx"))
+    # a row per second is shuffled, so that a long video is many tasks; its frames are drawn inside the row
+    best = F.transform(F.slice(F.sort_array(drawn), 1, k), lambda d: d["i"])
+    return seconds.filter(first <= last).repartition("media_id", "second").select("media_id", "second", F.explode(best).alias("frame_idx"))
 
 
 def eighths(rows: DataFrame) -> DataFrame:
