@@ -80,7 +80,7 @@ SELECT media_id, sampled_idx, original_idx, round(CASE WHEN fps > 0 THEN origina
 def keyframe_info(spark: SparkSession, sf: str) -> DataFrame:
     rows = videos(spark, sf)
     chosen = rows.select("media_id", F.explode(F.array(*(F.lit(i).cast("long") for i in (0, 3, 5000)))).alias("sampled_idx"))
-    return sampling.with_frame_info(chosen, sampling.sampled_info(rows, sampling.interval(F.col("fps"), STRATEGIES["fps"])))
+    return sampling.with_frame_info(chosen, rows, sampling.interval(F.col("fps"), STRATEGIES["fps"]))
 
 
 _FITTED = """CASE WHEN d > 3600 THEN least(5, f // 4) WHEN d > 1800 THEN least(8, f // 3) ELSE least(12, f // 2) END"""

@@ -57,9 +57,15 @@ def eighths(rows: DataFrame) -> DataFrame:
     return placed.filter(F.col("r") % F.greatest(F.lit(1), F.floor(F.col("n") / 8)) == 0).select("media_id", "shot_id", "frame_idx")
 
 
-def with_frame_info(chosen: DataFrame, sampled: DataFrame) -> DataFrame:
-    """Chosen rows whose sampled_idx stands for a frame that was sampled, with its original_idx and timestamp."""
-    return chosen.join(sampled.select("media_id", "sampled_idx", "original_idx", "timestamp"), ["media_id", "sampled_idx"])
+def with_frame_info(chosen: DataFrame, videos: DataFrame, step: Column) -> DataFrame:
+    """Chosen rows whose sampled_idx stands for a frame that is sampled by `step`, with its original_idx and timestamp.
+
+    What a video's frames are follows from the video: a chosen row meets its video, and no frames are formed.
+    """
+    some = videos.select("media_id", "fps", "total", step.cast("long").alias("step"))
+    met = chosen.join(some, "media_id").withColumn("original_idx", F.col("sampled_idx") * F.col("step"))
+    inside = met.filter((F.col("sampled_idx") >= 0) & (F.col("original_idx") < F.col("total")))
+    return inside.select(*chosen.columns, "original_idx", F.round(frame_time(F.col("original_idx"), F.col("fps")), 6).alias("timestamp"))
 
 
 def sampled_info(videos: DataFrame, step: Column) -> DataFrame:

@@ -71,3 +71,11 @@ def test_subtitle_encodings(spark, tmp_path):
         (tmp_path / f"{name}.srt").write_bytes(data)
     rows = read_srt(spark, str(tmp_path)).collect()
     assert [(r["seg_index"], r["start"], r["end"], r["text"]) for r in rows] == [(1, 1.0, 2.5, "你好 朋友")] * 3
+
+
+def test_frame_info_forms_no_frames(spark):
+    """A video of more frames than could be formed; places before, at and after the ends."""
+    videos = spark.createDataFrame([(1, 30.0, 10**15), (2, 0.0, 4), (3, 25.0, 0)], "media_id long, fps double, total long")
+    chosen = spark.createDataFrame([(1, 0), (1, 10**14), (1, 10**15), (1, -1), (2, 3), (2, 4), (3, 0), (4, 0)], "media_id long, sampled_idx long")
+    got = sampling.with_frame_info(chosen, videos, sampling.interval(F.col("fps"), settings.Settings())).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0, 0.0), (1, 10**14, 3 * 10**14, 10.0**13), (2, 3, 3, 0.0)]
