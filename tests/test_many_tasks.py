@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from montage.functions.vectors import unit_cosine
 from montage.operators import clusters, components, linkage, places, radius, vector_sums
 
 VECTORS = "media_id long, frame_idx long, clip array<double>"
@@ -124,3 +125,48 @@ def test_large_media_are_linked_by_rounds(spark):
     rows = spark.createDataFrame([(m, i, v) for m, n in ((1, 50), (2, 20)) for i, v in enumerate(made_vectors(rng, n, 4, 0.4, 8))], VECTORS)
     one = {tuple(r) for r in clusters.speaker_clusters(rows).collect()}
     assert {tuple(r) for r in clusters.speaker_clusters(rows, whole=30).collect()} == one and len(one) == 70
+
+
+def test_blocks_give_all_pairs_links_and_nearest_of_odd_vectors(spark, monkeypatch):
+    """Several blocks and strips of a media; null vectors, null components, unlike lengths, zeros, copies, rows without a media."""
+    monkeypatch.setattr(radius, "LEAST", 16)
+    rng = np.random.default_rng(10)
+    some = made_vectors(rng, 90, 8, 0.4)
+    odd = [None, [1.0] * 15 + [None], [1.0, 2.0], [0.0] * 16, [float("nan")] * 16, *[some[0]] * 5]
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(some)] + [(2, i, v) for i, v in enumerate(some + odd)] + [(None, i, v) for i, v in enumerate(some[:3])], VECTORS)
+    units = radius.units(rows)
+    one, two = units.toDF("media_id", "a", "u"), units.toDF("media_id", "b", "v")
+    dist = F.round(1 - unit_cosine(F.col("u"), F.col("v")), 6).alias("dist")
+    plain = {tuple(r) for r in one.join(two, "media_id").filter("a < b").select("media_id", "a", "b", dist).collect()}
+    every = [tuple(r) for r in radius.every_pair(rows).collect()]
+    assert set(every) == plain and len(every) == len(plain) == 90 * 89 // 2 + 100 * 99 // 2
+    assert {tuple(r) for r in radius.near_pairs(rows, 0.3).collect()} == {p for p in plain if p[3] <= 0.3}
+    by_pairs = clusters.density_clusters(rows, radius.every_pair(rows), 0.3)
+    assert {tuple(r) for r in clusters.labelled(rows, radius.links(rows, 0.3)).collect()} == {tuple(r) for r in by_pairs.collect()}
+    assert {tuple(r) for r in clusters.eps_of(radius.nearest(rows)).collect()} == {tuple(r) for r in clusters.adaptive_eps(radius.every_pair(rows)).collect()}
+
+
+def test_rounding_is_that_of_spark(spark):
+    x = np.concatenate([np.arange(2000) / 2e6, np.random.default_rng(11).random(5000) * 2, np.nextafter(np.arange(500) / 2e6, 1), [2.675e-6, 1.0000005, 1.9999995]])
+    rows = spark.createDataFrame([(float(v),) for v in x], "x double")
+    assert [r[0] for r in rows.select(F.round("x", 6)).collect()] == radius.rounded(x).tolist()
+
+
+def test_links_of_a_dense_media_are_a_forest(spark):
+    """All pairs of 1500 rows are near; a block pair gives a row at most for each of its rows, not for each pair."""
+    rng = np.random.default_rng(12)
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(made_vectors(rng, 1500, 1, 0.01))], VECTORS)
+    assert radius.links(rows, 0.7).count() < 1500 * 7
+
+
+def test_linkage_rounds_with_copies_and_zeros(spark):
+    """Every merge but the last few by rounds, copies and zero vectors among the rows."""
+    rng = np.random.default_rng(13)
+    groups = {1: (made_vectors(rng, 80, 6, 0.6, 8), 5), 2: (rng.normal(size=(40, 5)).tolist(), 2), 3: (rng.normal(size=(12, 3)).tolist(), 12)}
+    copied = [v for v in made_vectors(rng, 12, 12, 0.1, 8) for _ in range(9)]
+    groups |= {4: (copied, 4), 5: ([[1.0, 0.0]] * 30, 28), 6: ([*made_vectors(rng, 20, 2, 0.1, 4), [0.0] * 4, [0.0] * 4], 3)}
+    rows = spark.createDataFrame([(m, i, v) for m, (vs, _) in groups.items() for i, v in enumerate(vs)], VECTORS)
+    counts = spark.createDataFrame([(m, len(vs), k) for m, (vs, k) in groups.items()], "media_id long, n long, k long")
+    found = linkage.linked(rows, counts, 20).orderBy("media_id", "frame_idx").collect()
+    got = {m: [r["cluster_id"] for r in found if r["media_id"] == m] for m in groups}
+    assert got == {m: clusters.average_linkage(np.array(vs), k).tolist() for m, (vs, k) in groups.items()}
