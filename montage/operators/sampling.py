@@ -7,7 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from montage.operators import draws
+from montage.plans.checkpoints import ship
 from montage.plans.settings import Settings
 
 
@@ -44,10 +47,12 @@ def random_frames(videos: DataFrame, k: int) -> DataFrame:
     whole = videos.filter((F.col("fps") > 0) & (F.col("total") >= F.col("fps")))
     seconds = whole.select("media_id", "fps", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("total") / F.col("fps")) - 1)).alias("second"))
     first, last = F.floor(F.col("second") * F.col("fps")), F.least(F.floor((F.col("second") + 1) * F.col("fps")), F.col("total")) - 1
-    drawn = F.transform(F.sequence(first, last), lambda i: F.struct(F.md5(F.concat_ws(":", F.col("media_id").cast("string"), i.cast("string"))).alias("draw"), i.alias("i")))
-    # a row per second is shuffled, so that a long video is many tasks; its frames are drawn inside the row
-    best = F.transform(F.slice(F.sort_array(drawn), 1, k), lambda d: d["i"])
-    return seconds.filter(first <= last).repartition("media_id", "second").select("media_id", "second", F.explode(best).alias("frame_idx"))
+    head = F.when(F.col("media_id").isNull(), "").otherwise(F.concat(F.col("media_id").cast("string"), F.lit(":"))).cast("binary")
+    # a row per second is shuffled, so that a long video is many tasks; its frames are drawn in arrays
+    rows = seconds.filter(first <= last).repartition("media_id", "second").select("media_id", "second", head.alias("head"), first.alias("first"), last.alias("last"))
+    types = T.StructType([rows.schema["media_id"], rows.schema["second"], T.StructField("frame_idx", T.LongType())])
+    ship(videos.sparkSession)
+    return rows.mapInArrow(draws.draw(k), types)
 
 
 def eighths(rows: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from montage.operators import clusters, sampling, shots
+from montage.operators import clusters, draws, sampling, shots
 from montage.plans import dialogue, settings
 from montage.sources.subtitles import read_srt
 
@@ -79,3 +81,32 @@ def test_frame_info_forms_no_frames(spark):
     chosen = spark.createDataFrame([(1, 0), (1, 10**14), (1, 10**15), (1, -1), (2, 3), (2, 4), (3, 0), (4, 0)], "media_id long, sampled_idx long")
     got = sampling.with_frame_info(chosen, videos, sampling.interval(F.col("fps"), settings.Settings())).collect()
     assert sorted(map(tuple, got)) == [(1, 0, 0, 0.0), (1, 10**14, 3 * 10**14, 10.0**13), (2, 3, 3, 0.0)]
+
+
+def test_random_frames_are_those_of_least_md5(spark):
+    """Short and long names, one of null, names of several blocks of MD5, seconds of one frame and of very many."""
+    made = [("7", 24.0, 100), ("é" * 24, 30.0, 65), ("n" * 52, 29.97, 200), ("m" * 300, 12.0, 1201), (None, 25.0, 60), ("", 1.0, 12), ("big", 90_000.0, 180_001), ("b:2", 2.5, 9)]
+    videos = spark.createDataFrame(made, "media_id string, fps double, total long")
+    want = set()
+    for m, fps, total in made:
+        for second in range(int(total // fps)):
+            frames = range(int(second * fps // 1), min(int((second + 1) * fps // 1), total))
+            order = sorted(frames, key=lambda i: (hashlib.md5((f"{m}:{i}" if m is not None else f"{i}").encode()).hexdigest(), i))
+            want |= {(m, second, i) for i in order[:3]}
+    got = [tuple(r) for r in sampling.random_frames(videos, 3).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_digests_of_many_frames_at_once():
+    rng = np.random.default_rng(16)
+    heads = [b"x" * int(n) for n in rng.integers(0, 70, 200)]
+    row, idx = np.arange(draws.MESSAGES + 500) % 200, rng.integers(0, 10 ** rng.integers(1, 19, draws.MESSAGES + 500))
+    idx[:4] = 0, 9, 10, 10**18
+    high, low = draws.digests(heads, row, idx)
+    for r, i, h, s in zip(row, idx, high, low):
+        assert f"{h:016x}{s:016x}" == hashlib.md5(heads[r] + str(i).encode()).hexdigest()
+    # the chosen are the same where only the last bits of a digest's half differ
+    same = np.zeros(6, np.uint64)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(draws, "digests", lambda *_: (same, np.array([5, 1, 3, 9, 9, 2], np.uint64)))
+        assert [x.tolist() for x in draws.least([b"a", b"b"], np.array([0, 10]), np.array([3, 3]), 2)] == [[0, 0, 1, 1], [1, 2, 12, 10]]
