@@ -24,9 +24,17 @@ _BEGIN = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 _TENS = 10 ** np.arange(1, 19, dtype=np.int64)
 
 
-def md5_of_blocks(words: np.ndarray, used: int) -> list[np.ndarray]:
-    """The four words of the MD5 of one block per column; of the 16 rows of `words` those from `used` to 13, and 15, are zero."""
-    a, b, c, d = (np.full(words.shape[1], x, np.uint32) for x in _BEGIN)
+def _texts(form: bytes) -> np.ndarray:
+    return np.array([form % i for i in range(10_000)], "S8").view("<u8")
+
+
+#: Four digits as text, in the byte order of a word: without and with leading zeros; the last four with MD5's end mark.
+_LEADING, _LATER, _LAST_LEADING, _LAST = map(_texts, (b"%d", b"%04d", b"%d\x80", b"%04d\x80"))
+
+
+def md5_of_blocks(words: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+    """The four words of the MD5 of one block per column: `words` are its first words, the others are zero; lengths in bits."""
+    a, b, c, d = (np.full(len(bits), x, np.uint32) for x in _BEGIN)
     f, turned = np.empty_like(a), np.empty_like(a)
     for t in range(64):
         # into arrays that are there already: new ones would cost more than the sums
@@ -44,8 +52,8 @@ def md5_of_blocks(words: np.ndarray, used: int) -> list[np.ndarray]:
             np.bitwise_xor(np.bitwise_or(np.invert(d, out=f), b, out=f), c, out=f)
         f += a
         f += _SINES[t]
-        if g < used or g == 14:
-            f += words[g]
+        if g == 14 or g < len(words):
+            f += bits if g == 14 else words[g]
         np.right_shift(f, np.uint32(32 - _TURNS[t]), out=turned)
         f <<= np.uint32(_TURNS[t])
         f |= turned
@@ -56,39 +64,44 @@ def md5_of_blocks(words: np.ndarray, used: int) -> list[np.ndarray]:
 
 def digests(heads: list[bytes], row: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both halves, as numbers in the order of the hex digits, of the MD5 of heads[row] and the decimal digits of idx (0 or more)."""
-    padded = np.array(heads, "S64").view(np.uint8).reshape(len(heads), 64)
+    padded = np.ascontiguousarray(np.array(heads, "S56").view("<u4").reshape(len(heads), 14).T)
     sizes = np.fromiter(map(len, heads), np.int64, len(heads))
     high, low = np.empty(len(row), np.uint64), np.empty(len(row), np.uint64)
     for at in range(0, len(row), MESSAGES):
-        r, rest = row[at : at + MESSAGES], idx[at : at + MESSAGES]
-        digits = np.searchsorted(_TENS, rest, side="right") + 1
-        width = sizes[r] + digits
-        long = np.flatnonzero(width > SHORT)
-        inside = np.where(width > SHORT, digits, width)  # what stands there for a long message is not used
-        block = padded[r]
-        flat, begin = block.reshape(-1), np.arange(len(r)) * 64
-        for k in range(int(digits.max())):
-            live = np.flatnonzero(digits > k)
-            flat[begin[live] + inside[live] - 1 - k] = 48 + rest[live] % 10
-            rest = rest // 10
-        flat[begin + inside] = 0x80
-        words = np.ascontiguousarray(block.view("<u4").T)
-        words[14] = inside * 8
-        used = 14 if len(long) else int(inside.max()) // 4 + 1
-        a, b, c, d = (x.byteswap().astype(np.uint64) for x in md5_of_blocks(words, used))
+        r, i = row[at : at + MESSAGES], idx[at : at + MESSAGES]
+        digits, size = np.searchsorted(_TENS, i, side="right") + 1, sizes[r]
+        long = np.flatnonzero(size + digits > SHORT)
+        size[long] = 0  # what is made of these is not used
+        used = int((size + digits).max()) // 4 + 1
+        words = np.zeros((used + 1, len(r)), np.uint32)
+        for w in range(min(used, len(padded))):
+            np.take(padded[w], r, out=words[w])
+        flat = words.reshape(-1)
+        for k in range(0, 19, 4):  # four digits at a time, from the last
+            some = np.arange(len(r)) if k == 0 else np.flatnonzero(digits > k)
+            if not len(some):
+                break
+            four, first = i[some] // 10**k % 10_000, digits[some] <= k + 4
+            text = np.where(first, _LAST_LEADING[four], _LAST[four]) if k == 0 else np.where(first, _LEADING[four], _LATER[four])
+            place = size[some] + np.maximum(digits[some] - k - 4, 0)
+            text <<= (place % 4 * 8).astype(np.uint64)
+            spot = place // 4 * len(r) + some
+            flat[spot] |= text.astype(np.uint32)
+            flat[spot + len(r)] |= (text >> np.uint64(32)).astype(np.uint32)
+        a, b, c, d = (x.byteswap().astype(np.uint64) for x in md5_of_blocks(words[:used], ((size + digits) * 8).astype(np.uint32)))
         high[at : at + len(r)], low[at : at + len(r)] = a << np.uint64(32) | b, c << np.uint64(32) | d
         for j in long:
-            whole = hashlib.md5(heads[r[j]] + b"%d" % idx[at + j], usedforsecurity=False).digest()
+            whole = hashlib.md5(heads[r[j]] + b"%d" % i[j], usedforsecurity=False).digest()
             high[at + j], low[at + j] = int.from_bytes(whole[:8], "big"), int.from_bytes(whole[8:], "big")
     return high, low
 
 
-def least(heads: list[bytes], first: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, frame) of the k frames of each row with the least digests, frames being n >= 1 from `first` on."""
+def least(heads: list[bytes], head: np.ndarray, first: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(second, frame) of the k frames of each second with the least digests, frames being n >= 1 from `first` on."""
     start = np.cumsum(n) - n
     row = np.repeat(np.arange(len(n)), n)
-    idx = first[row] + np.arange(len(row)) - start[row]
-    high, low = digests(heads, row, idx)
+    idx = np.arange(len(row)) + (first - start)[row]
+    high, low = digests(heads, head[row], idx)
     key = row.astype(np.uint64) << np.uint64(48) | high >> np.uint64(16)
     order = np.argsort(key)
     if (np.diff(key[order]) == 0).any():
@@ -99,18 +112,30 @@ def least(heads: list[bytes], first: np.ndarray, n: np.ndarray, k: int) -> tuple
 
 
 def draw(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of media_id, second, head (binary), first, last to media_id, second, frame_idx."""
+    """Rows of media_id, head (binary), total, second (the first one), starts (first frames of it, of the next ones and of
+    the one after the last) to media_id, second, frame_idx."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, last = (batch.column(c).to_numpy() for c in ("first", "last"))
-            n, heads = last - first + 1, batch.column("head").to_pylist()
+            starts = batch.column("starts")
+            ends = starts.offsets.to_numpy()
+            frames, size = starts.values.to_numpy(), np.diff(ends)
+            # every start but a row's last one begins a second
+            video = np.repeat(np.arange(len(size)), size - 1)
+            at = np.arange(len(video)) + video + ends[0]
+            second = batch.column("second").to_numpy()[video] + at - ends[video]
+            first = frames[at]
+            n = np.minimum(frames[at + 1], batch.column("total").to_numpy()[video]) - first
+            some = n > 0
+            video, second, first, n = video[some], second[some], first[some], n[some]
+            heads = batch.column("head").to_pylist()
             parts = np.flatnonzero(np.diff((np.cumsum(n) - 1) // FRAMES)) + 1
             for a, b in zip([0, *parts], [*parts, len(n)]):
                 if a == b:
                     continue
-                row, idx = least(heads[a:b], first[a:b], n[a:b], k)
-                kept = [pc.take(batch.column(c), pa.array(row + a)) for c in ("media_id", "second")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(idx, pa.int64())], ["media_id", "second", "frame_idx"])
+                low, high = video[a], video[b - 1] + 1
+                row, idx = least(heads[low:high], video[a:b] - low, first[a:b], n[a:b], k)
+                kept = pc.take(batch.column("media_id"), pa.array(video[a + row]))
+                yield pa.RecordBatch.from_arrays([kept, pa.array(second[a + row]), pa.array(idx)], ["media_id", "second", "frame_idx"])
 
     return run

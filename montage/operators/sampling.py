@@ -13,6 +13,9 @@ from montage.operators import draws
 from montage.plans.checkpoints import ship
 from montage.plans.settings import Settings
 
+#: Seconds of a video that are drawn from together.
+SECONDS = 64
+
 
 def duration(total: Column, fps: Column) -> Column:
     """Seconds; 0 where the frame rate is 0."""
@@ -44,13 +47,17 @@ def seek_step(most: int) -> Column:
 
 def random_frames(videos: DataFrame, k: int) -> DataFrame:
     """media_id, second, frame_idx: k frames of each whole second, by digest; a last second that is not whole is dropped."""
-    whole = videos.filter((F.col("fps") > 0) & (F.col("total") >= F.col("fps")))
-    seconds = whole.select("media_id", "fps", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("total") / F.col("fps")) - 1)).alias("second"))
-    first, last = F.floor(F.col("second") * F.col("fps")), F.least(F.floor((F.col("second") + 1) * F.col("fps")), F.col("total")) - 1
+    long = lambda x: F.lit(x).cast("long")
+    whole = videos.filter((F.col("fps") > 0) & (F.col("total") >= F.col("fps"))).withColumn("seconds", F.floor(F.col("total") / F.col("fps")))
     head = F.when(F.col("media_id").isNull(), "").otherwise(F.concat(F.col("media_id").cast("string"), F.lit(":"))).cast("binary")
-    # a row per second is shuffled, so that a long video is many tasks; its frames are drawn in arrays
-    rows = seconds.filter(first <= last).repartition("media_id", "second").select("media_id", "second", head.alias("head"), first.alias("first"), last.alias("last"))
-    types = T.StructType([rows.schema["media_id"], rows.schema["second"], T.StructField("frame_idx", T.LongType())])
+    # a row per SECONDS seconds is shuffled, so that a long video is many tasks; frames are drawn in arrays
+    parts = whole.select("media_id", "fps", F.col("total").cast("long").alias("total"), "seconds", F.explode(F.sequence(long(0), F.col("seconds") - 1, long(SECONDS))).alias("second"))
+    until = F.least(F.col("second") + SECONDS, F.col("seconds"))
+    starts = F.transform(F.sequence(F.col("second"), until), lambda s: F.floor(s * F.col("fps")).cast("long"))
+    # as many as are set: by their bytes, which say little of the work, small ones would be put together
+    tasks = int(videos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = parts.repartition(tasks, "media_id", "second").select("media_id", head.alias("head"), "total", "second", starts.alias("starts"))
+    types = T.StructType([rows.schema["media_id"], T.StructField("second", T.LongType()), T.StructField("frame_idx", T.LongType())])
     ship(videos.sparkSession)
     return rows.mapInArrow(draws.draw(k), types)
 
