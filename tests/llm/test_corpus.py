@@ -708,3 +708,41 @@ def test_units_are_found_alike_over_whole_texts_and_by_line(spark):
     whole = F.regexp_extract_all(plain, F.lit(line_dedup._TRIMMED), F.lit(1))
     for r in spark.createDataFrame([(t,) for t in texts], "text string").select(F.transform(lines, lambda u: F.trim(u)).alias("a"), whole.alias("b")).collect():
         assert r["a"] == r["b"]
+
+
+def by_deadline(parts, slots):
+    """(n, turn) of each slot: earliest deadline first in one run from slot 0."""
+    size, done, out = sum(parts), [0] * len(parts), []
+    for t in range(slots):
+        n = min((-(-(done[n] + 1) * size // p), n) for n, p in enumerate(parts) if done[n] * size // p <= t)[1]
+        out.append((n, done[n], t))
+        done[n] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [{f"s{i:02d}": 1 / math.sqrt(i + 1) for i in range(20)}, {"a": 0.5, "b": math.pi / 100, "c": 1.0}, {"a": 2**0.5, "b": 1.0}, {"a": 1.0}])
+def test_mixing_stretches_are_one_schedule(spark, monkeypatch, weights):
+    """Stretches that start by themselves, a little before their first slot, give the slots of a single run."""
+    parts, _ = mixing.weight_parts(weights, {})
+    monkeypatch.setattr(mixing, "STRETCH", 50)
+    got = sorted(map(tuple, mixing._places(spark, parts, 2000).collect()), key=lambda r: r[2])
+    assert got == by_deadline(list(parts.values()), 2000)
+
+
+def test_mixing_weights_do_not_depend_on_the_size():
+    """Larger tables took multiples of 2^-18, by which sources drift, and whole decimals beyond that were lost."""
+    weights = {f"s{i:02d}": 1 / math.sqrt(i + 1) for i in range(20)}
+    for some in (weights, {"a": 0.654321, "b": 0.345679}, {"a": 1.0, "b": 0.0}, {"a": 1.0, "b": 1e-9}):
+        assert len({tuple(mixing.weight_parts(some, dict.fromkeys(some, n))[0].items()) for n in (1, 100, 10**4, 10**7, 10**9)}) == 1
+    parts, slots = mixing.weight_parts(weights, dict.fromkeys(weights, 10**7))
+    total, size = sum(weights.values()), sum(parts.values())
+    assert all(abs(p / size - weights[s] / total) * slots < 0.01 for s, p in parts.items())
+
+
+def test_mixing_places_far_along(spark):
+    """Products of slots and parts beyond a long: releases and deadlines as Python's whole numbers have them."""
+    parts = mixing.weight_parts({"a": 2**0.5, "b": 1.0}, {})[0]
+    size, p = sum(parts.values()), parts["a"]
+    rows = spark.createDataFrame([(i,) for i in (0, 10**6, 10**9, 10**11)], "i long")
+    for i, q, rest in rows.select("i", *mixing._divided(F.col("i"), size, p)).collect():
+        assert (q, rest) == (i * size // p, i * size % p > 0)
