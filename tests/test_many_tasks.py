@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +172,57 @@ def test_linkage_rounds_with_copies_and_zeros(spark):
     found = linkage.linked(rows, counts, 20).orderBy("media_id", "frame_idx").collect()
     got = {m: [r["cluster_id"] for r in found if r["media_id"] == m] for m in groups}
     assert got == {m: clusters.average_linkage(np.array(vs), k).tolist() for m, (vs, k) in groups.items()}
+
+
+def test_linkage_of_thousands_of_rows_is_a_few_jobs(spark):
+    """A media over the size of a table of distances is one task, whose tree is that of the distances; no job per round."""
+    rng = np.random.default_rng(14)
+    vectors = made_vectors(rng, 2100, 2100, 1.0)
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(vectors)], VECTORS)
+    spark.sparkContext.setJobGroup("linkage", "")
+    try:
+        found = clusters.speaker_clusters(rows).orderBy("frame_idx").collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("linkage")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 12
+    assert [int(r["speaker_id"][-2:]) for r in found] == clusters.average_linkage(np.array(vectors), 8).tolist()
+
+
+def test_linkage_by_rounds_over_blocks(spark, monkeypatch):
+    """Rounds ask only for the nearest of clusters that have lost theirs; blocks, copies, zeros and rings give the same tree."""
+    monkeypatch.setattr(linkage, "BLOCK", 32)
+    rng = np.random.default_rng(15)
+    groups = {1: made_vectors(rng, 90, 90, 1.0), 2: [v for v in made_vectors(rng, 50, 3, 0.5) for _ in range(3)], 3: [*made_vectors(rng, 40, 4, 0.1), [0.0] * 16, [0.0] * 16], 4: made_vectors(rng, 15, 3, 0.5)}
+    rows = spark.createDataFrame([(m, i, v) for m, vs in groups.items() for i, v in enumerate(vs)], VECTORS)
+    asked, plain = [], linkage.nearest
+
+    def counted(now):
+        asked.append(now.filter("asks").count())
+        return plain(now)
+
+    monkeypatch.setattr(linkage, "nearest", counted)
+    found = clusters.speaker_clusters(rows, whole=10, most=35).orderBy("media_id", "frame_idx").collect()
+    wanted = {m: clusters.average_linkage(np.array(vs), min(8, max(2, len(vs) // 15))).tolist() for m, vs in groups.items()}
+    assert {m: [int(r["speaker_id"][-2:]) for r in found if r["media_id"] == m] for m in groups} == wanted
+    assert len(asked) > 2 and asked[0] == 182 and asked[-1] < 60
+    # each is nearest to the next one, as rounding may have it
+    near = spark.createDataFrame([(1, 0, 1, 0.5, 0.0), (1, 1, 2, 0.5, 0.0), (1, 2, 0, 0.5, 0.0), (2, 3, 4, 0.2, 0.3), (2, 4, 3, 0.2, 0.0)], "media_id long, i long, j long, height double, high double")
+    assert {tuple(r) for r in linkage.reciprocal(near, 3).collect()} == {(1, 0, 1, 0.5, 3), (2, 3, 4, 0.3, 3)}
+
+
+def test_tree_keeps_no_distances():
+    rng = np.random.default_rng(16)
+    u = np.array(made_vectors(rng, 6000, 6000, 1.0, 4))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    tracemalloc.start()
+    height = linkage.tree(u, np.ones(len(u)), np.zeros(len(u)))[2]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(height) == 5999 and most < 6000**2 * 8 / 2
+
+
+def test_labels_of_odd_vectors():
+    some = [None, [1.0, None], [1.0], [0.0, 2.0], [float("inf"), 0.0]]
+    assert linkage.labels(linkage.matrix(some), 3).tolist() == [0, 0, 1, 2, 1] or len(set(linkage.labels(linkage.matrix(some), 3))) == 3
+    assert linkage.labels(linkage.matrix([]), 1).tolist() == [] and linkage.matrix([None, None]).shape == (2, 0)
