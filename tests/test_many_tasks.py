@@ -226,3 +226,35 @@ def test_labels_of_odd_vectors():
     some = [None, [1.0, None], [1.0], [0.0, 2.0], [float("inf"), 0.0]]
     assert linkage.labels(linkage.matrix(some), 3).tolist() == [0, 0, 1, 2, 1] or len(set(linkage.labels(linkage.matrix(some), 3))) == 3
     assert linkage.labels(linkage.matrix([]), 1).tolist() == [] and linkage.matrix([None, None]).shape == (2, 0)
+
+
+def test_all_pairs_of_large_blocks_leave_by_distance(spark, monkeypatch):
+    """Groups of many pairs come in the order of their distances, which halves their files; rows are those of small groups."""
+    rng = np.random.default_rng(17)
+    some = made_vectors(rng, 300, 20, 0.4)
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(some)] + [(2, i, v) for i, v in enumerate(some[:40] + [None, [1.0, 2.0], [0.0] * 16])], VECTORS)
+    plain = [tuple(r) for r in radius.every_pair(rows).collect()]
+    monkeypatch.setattr(radius, "IN_ORDER", 5000)
+    found = radius.every_pair(rows)
+    told = [tuple(r) for r in found.collect()]
+    assert sorted(told) == sorted(plain) and len(told) == 300 * 299 // 2 + 43 * 42 // 2
+    falls = [sum(a > b for a, b in zip(d, d[1:], strict=False)) for d in ([r[0] for r in part] for part in found.filter("media_id = 1").select("dist").rdd.glom().collect())]
+    assert sum(falls) <= 2
+
+
+def test_distances_from_matrices_are_those_of_sums():
+    """To the last bit, also where a sum in another order is rounded otherwise."""
+    rng = np.random.default_rng(18)
+    u = rng.normal(size=(150, 64))
+    # products of a half of the last place and about it
+    x = 1 - (rng.integers(0, 2_000_000, 300) + 0.5) / 1e6
+    parts = rng.normal(size=(300, 63)) * 0.1
+    v = np.concatenate([parts, (x - parts.sum(1))[:, None]], axis=1)
+    one = radius.Rows(np.arange(151), np.concatenate([u / np.linalg.norm(u, axis=1, keepdims=True), np.ones((1, 64))]), np.full(151, 64))
+    two = radius.Rows(np.arange(300), v, np.full(300, 64))
+    i, j = np.repeat(np.arange(151), 300), np.tile(np.arange(300), 151)
+    wanted = radius.distances(radius.summed(one.u, two.u, i, j))
+    assert np.concatenate([d.ravel() for _, d in radius.strips(one, two)]).tolist() == wanted.tolist()
+    for made in (radius.as_they_come, radius.in_order):
+        i, j, dist = (np.concatenate(p) for p in zip(*made(one, two, False), strict=True))
+        assert dist.tolist() == wanted.reshape(151, 300)[i, j].tolist() and len(set(zip(i.tolist(), j.tolist(), strict=True))) == 151 * 300
