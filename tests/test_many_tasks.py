@@ -224,7 +224,7 @@ def test_tree_keeps_no_distances():
 
 def test_labels_of_odd_vectors():
     some = [None, [1.0, None], [1.0], [0.0, 2.0], [float("inf"), 0.0]]
-    assert linkage.labels(linkage.matrix(some), 3).tolist() == [0, 0, 1, 2, 1] or len(set(linkage.labels(linkage.matrix(some), 3))) == 3
+    assert linkage.labels(linkage.matrix(some), 3).tolist() == [0, 1, 1, 2, 1]
     assert linkage.labels(linkage.matrix([]), 1).tolist() == [] and linkage.matrix([None, None]).shape == (2, 0)
 
 
